@@ -100,8 +100,13 @@ class SpanHash:
         if len(self.power) < n:
             size = 1 << (n - 1).bit_length()
             root = int(_MULT)
-            back = pow(root, -1, 1 << 64)
-            self.power, self.inverse = (np.cumprod(np.concatenate([[1], np.full(size - 1, r, np.uint64)]).astype(np.uint64), dtype=np.uint64) for r in (root, back))
+            self.power, self.inverse = (self._powers(r, size) for r in (root, pow(root, -1, 1 << 64)))
+
+    @staticmethod
+    def _powers(root: int, size: int) -> np.ndarray:
+        out = np.full(size, root, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
 
     def __call__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(buf)
