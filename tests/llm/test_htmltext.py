@@ -1,0 +1,52 @@
+import html
+import re
+
+from conftest import SF
+from foliant.llm import htmltext, queries
+
+
+def article(page):
+    """What the test pages hold by their making: heading and paragraphs of the one article."""
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)>", body))
+    return "\n".join(p for p in parts if p)
+
+
+def test_pages(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = queries.op4_main_text(spark, SF).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r.text == article(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+LONG = "A long sentence of prose that goes on for a good while, so its ratio of text to tags is high. "
+PAGE = f"""<html><body class="has-sidebar"><header><a href=/>Site</a></header><div class="cookie-notice">We use cookies</div>
+<ul><li><a>One</a><li><a>Two</a></ul><div id=content><h2>Title &amp; more</h2><p>{LONG}</p><p>Short.</p><p>{LONG}<form><input>Find</form>
+<div class="comments"><p>{LONG}</p></div><p>End&nbsp;&eacute; a<br>b <script>if (a < b) "</p>"</script> c</p></div>
+<aside>{LONG}</aside><p><a>x</a> <a>y</a></p><footer>&copy; us</footer>"""
+
+
+def test_a_page_without_article():
+    line = LONG.strip()
+    assert htmltext.main_text(PAGE) == "\n".join(["Title & more", line, "Short.", line, "End é a b", "c"])
+
+
+def test_article_header_keeps_its_title():
+    page = f"<main><article><header><h1>T</h1><p>by us</p></header><p>{LONG}</p><nav>n</nav></article><article class=related>r</article></main>"
+    assert htmltext.main_text(page) == f"T\n{LONG.strip()}"
+
+
+def test_broken_pages():
+    assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p>") == htmltext.main_text("<script>x") == ""
+    assert htmltext.main_text("plain & text") == "plain & text"
+    assert htmltext.main_text("<nav>only menu</nav>") == ""
+    assert htmltext.main_text("<article><p>a &am<p>b</div></span> c") == "a &am\nb\nc"
+    assert len(htmltext.main_text("<div>" * 3000 + "deep")) == 4
+
+
+def test_odd_rows(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (3, "", "", "x")], "page_id long, url string, html string, text string")
+    got = sorted(map(tuple, htmltext.extract(pages).collect()), key=str)
+    assert [(g[0], g[3]) for g in got] == [(1, len(htmltext.main_text(PAGE)))] * 2 + [(3, 0), (None, 0)]
+    assert htmltext.extract(pages.limit(0)).count() == 0
