@@ -97,5 +97,5 @@ def terminals(configured: Column, defaults: tuple[str, ...] = ("iTerm", "Ghostty
 def sample_statistics(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Median (the upper one of an even number), least and most of samples."""
     w = Window.partitionBy(by).orderBy(value)
-    ranked = rows.select(by, value, (F.row_number().over(w) - 1).alias("k"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    return ranked.groupBy(by).agg(F.max(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col(value))).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
+    ranked = rows.select(by, value, (F.row_number().over(w) - 1).alias("__k"), F.count("*").over(Window.partitionBy(by)).alias("__n"))
+    return ranked.groupBy(by).agg(F.max(F.when(F.col("__k") == F.floor(F.col("__n") / 2), F.col(value))).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
