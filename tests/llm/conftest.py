@@ -3,9 +3,10 @@ import sys
 
 import pytest
 
+from cases import ODD_TEXTS
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, ROOT)
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -18,10 +19,6 @@ def spark():
     return session
 
 
-#: Nulls, empty and odd texts, repeated rows and ids.
-ODD_TEXTS = [(1, "Hello world\nagain"), (2, None), (3, ""), (4, "  two  blanks \n\n tabs\tand\r\nmore "), (5, "été naïve wide 'quoted' don't"), (6, "x" * 5000), (7, "a b " * 3000), (None, "no id"), (1, "Hello world\nagain"), (9, "\n"), (10, "日本語 text 🎉 123 <|endoftext|>")]
-
-
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Such rows in a table with columns whose names clash with the operators' own."""

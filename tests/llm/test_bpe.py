@@ -6,7 +6,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import ODD_TEXTS, SF
+from cases import ODD_TEXTS, SF
 from foliant.llm import bpe
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from conftest import SF
+from cases import SF
 from foliant.llm import features, langid, quality, queries
 from foliant.llm.textbatch import SpanHash, text_bytes
 
@@ -44,7 +44,7 @@ def test_language_held_out_accuracy(spark):
 def test_language_odd_rows(spark, odd_docs):
     model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     got = langid.predict(odd_docs, model).collect()
-    texts = [t for _, t in __import__("conftest").ODD_TEXTS]
+    texts = [t for _, t in __import__("cases").ODD_TEXTS]
     assert sum(r.lang_pred == "und" for r in got) == sum(not langid.has_letter(t) for t in texts)
     assert all(r.score == 0 and r.rejected for r in got if r.lang_pred == "und")
     nothing = langid.fit(odd_docs.limit(0))

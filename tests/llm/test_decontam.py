@@ -5,7 +5,7 @@ import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import SF
+from cases import SF
 from foliant.llm import decontam, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -1,7 +1,7 @@
 import html
 import re
 
-from conftest import SF
+from cases import SF
 from foliant.llm import htmltext, queries
 
 

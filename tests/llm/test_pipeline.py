@@ -5,7 +5,7 @@ import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
-from conftest import SF
+from cases import SF
 from foliant.llm import bpe, queries, secretscan
 from test_decontam import brute as brute_hits
 from test_simhash import brute_components, plain_fingerprint

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from conftest import ODD_TEXTS, SF
+from cases import ODD_TEXTS, SF
 from foliant.llm import queries, rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from conftest import SF
+from cases import SF
 from foliant.llm import graph, simhash
 
 

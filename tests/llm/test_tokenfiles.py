@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from conftest import ODD_TEXTS, SF
+from cases import ODD_TEXTS, SF
 from foliant.llm import tokenfiles
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models, normalizers
 
-from conftest import ODD_TEXTS, SF
+from cases import ODD_TEXTS, SF
 from foliant.llm import queries, unigram
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
