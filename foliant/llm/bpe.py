@@ -107,7 +107,7 @@ class TreeBPE:
 class DocumentEncoder:
     """TreeBPE over batches: each distinct unit (see bpe_units) once while it stays in a bounded table."""
 
-    def __init__(self, ranks_path: str, pattern: str, capacity: int = 1 << 20) -> None:
+    def __init__(self, ranks_path: str, pattern: str, capacity: int = 1 << 18) -> None:
         self.bpe = TreeBPE(load_ranks(ranks_path), pattern)
         self.pool = Pool(np.int32)
         self.joined: list[bytes] = []  # each unit's ids in decimal

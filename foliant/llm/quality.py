@@ -1,8 +1,9 @@
 """Quality classifier over learned subword embeddings.
 
-A text's features are its words and its byte n-grams, hashed into BUCKETS rows of a
-learned embedding table. Their vectors are averaged over the whole text and go
-through a softmax layer. Table and layer are trained together by plain stochastic
+A text's features are its words, its byte n-grams, and one more for each word that
+repeats the one before, hashed into the rows of a learned embedding table. Their
+vectors are averaged over the whole text, together with PRIOR vectors of zero that
+keep a text of few features near the labels' share, and go through a softmax layer. Table and layer are trained together by plain stochastic
 gradient descent in numpy, on at most ``TRAIN_ROWS`` labelled texts, chosen evenly
 by a hash of their id with no regard to the label, so scores keep the labels' share.
 
@@ -32,6 +33,7 @@ SIZE = 8
 EPOCHS = 6
 RATE = 2.0
 THRESHOLD = 0.7
+PRIOR = 100
 #: Labelled texts to fit on at most.
 TRAIN_ROWS = 3000
 
@@ -48,11 +50,18 @@ class Model:
         for h, per in features(buf, offsets):
             total += group_sums(self.weight[h], per)
             n += per
-        return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(n, 1), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + total / (n + PRIOR), -30, 30)))
 
 
 def features(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    yield word_hashes(buf, offsets, BITS)
+    words, count = word_hashes(buf, offsets, BITS)
+    yield words, count
+    same = words[1:] == words[:-1]
+    first = np.cumsum(count) - count
+    same[first[(first > 0) & (first < len(words))] - 1] = False  # words of two texts
+    end = np.concatenate([[0], np.cumsum(same)])
+    at = np.minimum(np.maximum(np.concatenate([first, [len(words)]]) - 1, 0), len(same))
+    yield np.zeros(int(same.sum()), np.uint32), np.diff(end[at])
     for g in GRAMS:
         yield byte_grams(buf, offsets, g, BITS)
 
@@ -104,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for k in range(batch.num_rows):
                 h, c = np.unique(np.concatenate([h[at[k] : at[k + 1]] for h, at in parts]), return_counts=True)
                 bucket.append(h.astype(np.uint16).tobytes())
-                share.append((c / max(1, c.sum())).astype(np.float32).tobytes())
+                share.append((c / (c.sum() + PRIOR)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "label": batch.column("label"), "bucket": bucket, "share": share})
 
     got = texts.mapInArrow(vectors, "id string, label int, bucket binary, share binary").collect()

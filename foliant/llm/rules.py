@@ -92,7 +92,9 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     bucket and task, and what reaches the driver a row for each bucket.
     """
     small_batches(docs.sparkSession)
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted.select(F.col(id_col).alias("id"), F.lit(True).alias("target")).where("id is not null").distinct(), "id", "left")
+    ids = trusted.select(F.col(id_col).alias("id"), F.lit(True).alias("target")).where("id is not null").distinct()
+    # ids grow with the corpus: they meet the texts in one shuffle at every size, and are never broadcast
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "id", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)

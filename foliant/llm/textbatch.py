@@ -7,6 +7,7 @@ at once instead of one Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -322,5 +323,18 @@ def bpe_units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def arrow_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches that have rows."""
-    return (b for b in batches if b.num_rows)
+    """Batches that have rows. At a task's end its memory goes back: workers live on and share an executor's."""
+    try:
+        yield from (b for b in batches if b.num_rows)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory that the allocators hold to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it

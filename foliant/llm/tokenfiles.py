@@ -14,7 +14,7 @@ next word, of selector 14, the high ones. A block's last word may have room left
 
 A file set is a folder of Parquet files, written by Spark's committer (a retried
 task leaves no double), one row per segment:
-part and segment (their order), doc_ids (int64), lengths (uint32: ids of each
+part and segment (their order), inside (ids of the part before it), doc_ids (int64), lengths (uint32: ids of each
 document), offsets (uint32) and words (uint64), all little-endian bytes. Rows in
 order of (part, segment) hold documents in ascending order of id.
 """
@@ -41,7 +41,7 @@ BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 ESCAPE = 15
 END_ID = 2
 
-SEGMENTS = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("segment", T.IntegerType()), ("n_ids", T.LongType()), ("doc_ids", T.BinaryType()), ("lengths", T.BinaryType()), ("offsets", T.BinaryType()), ("words", T.BinaryType()))])
+SEGMENTS = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("segment", T.IntegerType()), ("inside", T.LongType()), ("n_ids", T.LongType()), ("doc_ids", T.BinaryType()), ("lengths", T.BinaryType()), ("offsets", T.BinaryType()), ("words", T.BinaryType()))])
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ class LibraryEncoder:
     through it whole.
     """
 
-    def __init__(self, path: str, capacity: int = 1 << 20) -> None:
+    def __init__(self, path: str, capacity: int = 1 << 18) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -196,7 +196,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     parted = docs.withColumn("part", part).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, inside = encoder(tokenizer), 0
         for k, batch in enumerate(arrow_batches(batches)):
             ids, count = encode(batch.column("text"))
             length = count + 1
@@ -205,34 +205,32 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             words, offsets = pack(whole)
             doc_ids = batch.column("doc_id")
             known = np.asarray(doc_ids.fill_null(NULL_ID), np.int64)
-            yield pa.RecordBatch.from_pydict({"part": [batch.column("part")[0].as_py()], "segment": [k], "n_ids": [len(whole)], "doc_ids": [known.tobytes()], "lengths": [length.astype(np.uint32).tobytes()], "offsets": [offsets.tobytes()], "words": [words.tobytes()]}, schema=_ARROW)
+            yield pa.RecordBatch.from_pydict({"part": [batch.column("part")[0].as_py()], "segment": [k], "inside": [inside], "n_ids": [len(whole)], "doc_ids": [known.tobytes()], "lengths": [length.astype(np.uint32).tobytes()], "offsets": [offsets.tobytes()], "words": [words.tobytes()]}, schema=_ARROW)
+            inside += len(whole)
 
     parted.mapInArrow(code, SEGMENTS).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 #: Stands for a null id inside a segment.
 NULL_ID = -(1 << 63)
-_ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "lengths", "offsets", "words"))])
+_ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("inside", pa.int64()), ("n_ids", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "lengths", "offsets", "words"))])
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The file set's segments with ``start``: how many ids all earlier ones have.
 
-    Totals are summed by part, one row each; their running sum over the parts is
-    the only thing that meets in one place. Inside a part it is a running sum too.
+    A segment knows how many its part has before it. The parts' totals, one row for
+    each range of ids that was written, are summed up and joined back; the coded words
+    stay where they are.
     """
-    from pyspark.sql import Window
-
     rows = spark.read.schema(SEGMENTS).parquet(path)
-    parts = rows.groupBy("part").agg(F.sum("n_ids").alias("all_ids")).collect()  # a row for each file range
-    base, sofar = {}, 0
-    for row in sorted(parts):
-        base[row.part], sofar = sofar, sofar + row.all_ids
-    starts = spark.createDataFrame(list(base.items()) or [(0, 0)], "part int, base long")
-    heads = rows.select("part", "segment", "n_ids").withColumn("inside", F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)))
-    at = heads.join(F.broadcast(starts), "part").select("part", "segment", (F.coalesce("inside", F.lit(0)) + F.col("base")).alias("start"))
-    return rows.join(at, ["part", "segment"])
+    base, sofar = [], 0
+    for row in sorted(rows.groupBy("part").agg(F.sum("n_ids").alias("all_ids")).collect()):
+        base.append((row.part, sofar))
+        sofar += row.all_ids
+    starts = spark.createDataFrame(base, "part int, base long")
+    return rows.join(F.broadcast(starts), "part").withColumn("start", F.col("base") + F.col("inside"))
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

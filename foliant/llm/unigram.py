@@ -47,7 +47,7 @@ def load_vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class UnigramCounter:
-    def __init__(self, vocabulary: list[tuple[str, float]], unknown: int = 0, capacity: int = 1 << 20) -> None:
+    def __init__(self, vocabulary: list[tuple[str, float]], unknown: int = 0, capacity: int = 1 << 18) -> None:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
