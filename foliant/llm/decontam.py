@@ -9,7 +9,7 @@ are hit; documents over the coverage limit are contaminated, and spans can be cu
 
 The items are handled in shards of bounded size, each one automaton that is
 sent to the tasks; the documents pass the shards one behind the other without a
-shuffle, so neither side ever meets the other in a join.
+shuffle, so neither side ever meets the other in a join. Usual benchmarks are one shard.
 
 Nulls and empty texts have no words and are never hit. Items with no words
 occur nowhere; rows that repeat an item_id count as one item.
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import small_batches
+from .session import free_name, fresh_path, small_batches
 from .textbatch import WordTable, arrow_batches, fold_ascii, plain_words, text_bytes
 
 WINDOW = 13
@@ -207,13 +207,22 @@ def runs_of(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return runs(mask, first)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, **named: object) -> DataFrame:
-    """``docs`` with a struct column ``__hits``, all items taken together. No shuffle."""
-    small_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema, T.StructField("__hits", HITS)])
+def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, name: str = "__hits", **named: object) -> DataFrame:
+    """``docs`` with a struct column ``name``, all items taken together. No shuffle.
+
+    A task holds one automaton, in one Python worker: between two shards the rows are
+    written in the shared folder and read again.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    schema = T.StructType([*docs.schema, T.StructField(name, HITS)])
     out = docs
-    for shard in [*shards(benchmark, window, **named)] or [Shard([], Automaton(window).build([]), window)]:
-        sent = docs.sparkSession.sparkContext.broadcast(shard)
+    for number, shard in enumerate(either(shards(benchmark, window, **named), Shard([], Automaton(window).build([]), window))):
+        if number:
+            path = fresh_path(spark, "decontam-hits")
+            out.write.parquet(path)
+            out = spark.read.parquet(path)
+        sent = spark.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             shard = sent.value
@@ -229,17 +238,24 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
                 table.long = {w: int(back[k]) for w, k in table.long.items()}
             for batch in arrow_batches(batches):
                 new = scan(batch, text_col, shard, table)
-                if "__hits" in batch.schema.names:
-                    k = batch.schema.get_field_index("__hits")
+                if name in batch.schema.names:
+                    k = batch.schema.get_field_index(name)
                     new = merge(batch.column(k).to_pylist(), new)
                     batch = batch.remove_column(k)
                 hits = pa.StructArray.from_arrays([pa.array(new[f.name], f.type) for f in _HITS], fields=list(_HITS))
-                yield batch.append_column("__hits", hits)
+                yield batch.append_column(name, hits)
 
         out = out.mapInArrow(run, schema)
     return out
 
 
+def either(found: Iterator[Shard], otherwise: Shard) -> Iterator[Shard]:
+    """What is found, one at a time, or ``otherwise`` if nothing is."""
+    first = next(found, otherwise)
+    yield first
+    yield from found
+
+
 def merge(old: list[dict], new: dict[str, list]) -> dict[str, list]:
     """Hits of an earlier shard and of this one."""
     for k, was in enumerate(old):
@@ -251,9 +267,9 @@ def merge(old: list[dict], new: dict[str, list]) -> dict[str, list]:
     return new
 
 
-def contaminated(coverage: int = COVERAGE) -> Column:
-    hit = F.size("__hits.hit_words")
-    return (hit > 0) & (coverage * hit >= F.col("__hits.n_words"))
+def contaminated(coverage: int = COVERAGE, name: str = "__hits") -> Column:
+    hit = F.size(f"{name}.hit_words")
+    return (hit > 0) & (coverage * hit >= F.col(f"{name}.n_words"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: int = COVERAGE, **named: object) -> DataFrame:
@@ -294,8 +310,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     and removes the spans that are hit from the contaminated ones; "cut_all"
     removes them wherever they are, as the length limit alone asks.
     """
-    found = find_hits(docs, benchmark, text_col, **named)
+    name = free_name(docs, "__hits")
+    found = find_hits(docs, benchmark, text_col, name=name, **named)
     if action == "drop":
-        return found.where(~contaminated(coverage)).drop("__hits")
-    spans = F.when(F.lit(action == "cut_all") | contaminated(coverage), F.col("__hits.hit_bytes"))
-    return found.withColumn(text_col, _cut(F.col(text_col), spans)).drop("__hits")
+        return found.where(~contaminated(coverage, name)).drop(name)
+    spans = F.when(F.lit(action == "cut_all") | contaminated(coverage, name), F.col(f"{name}.hit_bytes"))
+    return found.withColumn(text_col, _cut(F.col(text_col), spans)).drop(name)

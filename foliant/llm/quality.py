@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .features import byte_grams, group_sums, word_hashes
-from .session import small_batches
+from .session import free_name, small_batches
 from .textbatch import arrow_batches, text_bytes
 
 BITS = 15
@@ -135,4 +135,5 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
 
 def good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score at least ``threshold``; columns as they are."""
-    return with_score(docs, model, text_col).where(F.col("__score") >= threshold).drop("__score")
+    name = free_name(docs, "__score")
+    return with_score(docs, model, text_col, name).where(F.col(name) >= threshold).drop(name)

@@ -357,25 +357,32 @@ def report(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(said(F.filter("__spans", lambda s: s.kind != "crf")), 256).alias("base_sha256"), said(F.col("__spans")).alias("spans"), count("crf").alias("n_crf"))
 
 
+def redacted(text: str | None, spans: list[tuple[str, int, int]], by: str) -> str | None:
+    """``text`` with each stretch that spans cover replaced by ``by``; spans that overlap are one stretch."""
+    if not text or not spans:
+        return text
+    out, at = [], 0
+    for _, i, j in spans:
+        if j > at:
+            if i >= at:
+                out += [text[at:i], by]
+            at = j
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, field: Field, text_col: str = "text", by: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each secret, from its first base or field span on, replaced by ``by``. Columns as they are."""
-    found = with_spans(docs, field, text_col)
-
-    @F.pandas_udf(T.StringType())
-    def cut(text, spans):
-        import pandas as pd
-
-        def one(t: str | None, found) -> str | None:
-            if t is None or found is None or not len(found):
-                return t
-            out, at = [], 0
-            for s in found:
-                if s["end"] > at:
-                    if s["start"] >= at:
-                        out += [t[at : s["start"]], by]
-                    at = s["end"]
-            return "".join([*out, t[at:]])
-
-        return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
-
-    return found.withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).drop("__spans")
+    """``docs`` with each secret, from its first base or field span on, replaced by ``by``. Columns as they are. One pass, no shuffle."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_batches(batches):
+            k = batch.schema.get_field_index(text_col)
+            texts = batch.column(k)
+            spans = scan(texts, sent.value)
+            hit = {row: redacted(texts[row].as_py(), found, by) for row, found in enumerate(spans) if found}
+            if hit:
+                texts = pa.array([hit.get(row, t) for row, t in enumerate(texts.to_pylist())], texts.type)
+            yield batch.set_column(k, batch.schema.field(k), texts)
+
+    return docs.mapInArrow(run, docs.schema)

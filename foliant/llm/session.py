@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch; a batch is what a Python worker holds at a time.
+#: Rows and bytes in one Arrow batch at most (but one row at least); a batch is what a Python worker holds at a time.
 ARROW_ROWS = 512
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,5 +37,14 @@ def fresh_path(spark: SparkSession, stem: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows per Arrow batch: documents may be long."""
+    """Bound Arrow batches by rows and by bytes: documents may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, made longer until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

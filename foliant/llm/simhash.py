@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import stars
-from .session import cut_lineage, fresh_path, small_batches
+from .session import cut_lineage, free_name, fresh_path, small_batches
 from .textbatch import arrow_batches, mix
 
 WORDS = 3
@@ -221,12 +221,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row of each component, that of the smallest id (null ids last; of repeated rows any one). Columns as they are."""
     spark = docs.sparkSession
-    path = fresh_path(spark, "simhash-documents")
+    path, fp, row = fresh_path(spark, "simhash-documents"), free_name(docs, "__fp"), free_name(docs, "__row")
     # written once with a row number, so what is kept can be named exactly
-    with_fingerprint(docs, text_col, words).withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    with_fingerprint(docs, text_col, words, fp).withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
     held = spark.read.parquet(path)
-    prints = held.select(F.col(id_col).alias("id"), "__fp", "__row")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "__row")).alias("first")
-    nodes = cut_lineage(prints.groupBy(F.col("__fp").alias("fp")).agg(first))
-    keep = nodes.join(components(nodes.select("fp")), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.__row")
-    return held.join(keep, "__row", "left_semi").select(*docs.columns)
+    prints = held.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+    nodes = cut_lineage(prints.groupBy("fp").agg(first))
+    keep = nodes.join(components(nodes.select("fp")), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return held.join(keep, row, "left_semi").select(*docs.columns)

@@ -22,4 +22,4 @@ def spark():
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Such rows in a table with columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, "en", 7, 0.5, "x") for i, t in ODD_TEXTS], "doc_id long, text string, lang string, n_words int, score double, spans string")
+    return spark.createDataFrame([(i, t, "en", 7, 0.5, "x", 1, 2, 0.1, "h") for i, t in ODD_TEXTS], "doc_id long, text string, lang string, n_words int, score double, spans string, __fp long, __row long, __score double, __hits string")

@@ -71,9 +71,9 @@ def test_quality_held_out_accuracy(spark):
 def test_quality_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (6, 1, None), (7, 0, 0), (9, None, 0), (None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(odd_docs, labels)
-    got = quality.with_score(odd_docs, model)
-    assert got.columns == [*odd_docs.columns, "__score"]
-    assert all(0 <= r["__score"] <= 1 for r in got.collect()) and got.count() == odd_docs.count()
+    got = quality.with_score(odd_docs, model, name="good")
+    assert got.columns == [*odd_docs.columns, "good"]
+    assert all(0 <= r.good <= 1 for r in got.collect()) and got.count() == odd_docs.count()
     assert quality.good(odd_docs, model).columns == odd_docs.columns
     untaught = quality.fit(odd_docs, labels.limit(0))
     assert quality.good(odd_docs, untaught).count() == odd_docs.count()
