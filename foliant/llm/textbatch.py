@@ -246,16 +246,19 @@ class Pool:
 
     def extend(self, rows: Sequence[Sequence[int]]) -> None:
         count = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((x for row in rows for x in row), self.data.dtype, int(count.sum()))
+        self.extend_flat(np.fromiter((x for row in rows for x in row), self.data.dtype, int(count.sum())), count)
+
+    def extend_flat(self, flat: np.ndarray, count: np.ndarray) -> None:
+        """Rows end to end, and how many values each has."""
         while self.used + len(flat) > len(self.data):
             self.data = np.concatenate([self.data, np.zeros_like(self.data)])
-        while self.rows + len(rows) > len(self.start):
+        while self.rows + len(count) > len(self.start):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
         self.data[self.used : self.used + len(flat)] = flat
-        to = slice(self.rows, self.rows + len(rows))
+        to = slice(self.rows, self.rows + len(count))
         self.count[to] = count
         self.start[to] = self.used + np.cumsum(count) - count
-        self.used, self.rows = self.used + len(flat), self.rows + len(rows)
+        self.used, self.rows = self.used + len(flat), self.rows + len(count)
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows' values end to end, and each row's count."""

@@ -126,21 +126,41 @@ class LibraryEncoder:
 
     Regular texts are split into units (see bpe_units); each distinct unit goes
     through the library once while it stays in a bounded table. Other texts go
-    through it whole.
+    through it whole. Units go end to end, many to a call: no token crosses a unit's
+    start, so the bytes of the tokens tell which are whose.
     """
 
-    def __init__(self, path: str, capacity: int = 1 << 18) -> None:
+    JOINED = 256
+
+    def __init__(self, path: str, capacity: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pool = Pool(np.uint32)
-        self.table = WordTable(lambda words: self.pool.extend(self.library([w.decode() for w in words])), capacity)
+        self.table = WordTable(self._fill, capacity)
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a token's letters stand for a byte each
+        for token, k in vocabulary.items():
+            self.size[k] = len(token)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _fill(self, units: list[bytes]) -> None:
+        # a text's first unit has no separator in front and so begins a text here as well
+        cuts = [k for k, u in enumerate(units) if not k % self.JOINED or u[:1] not in (b" ", b"\n")]
+        rows = self.library([b"".join(units[i:j]).decode() for i, j in zip(cuts, [*cuts[1:], len(units)], strict=True)])
+        ids = np.concatenate([np.array(r, np.uint32) for r in rows])
+        ends = np.cumsum(self.size[ids])
+        wanted = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        last = np.searchsorted(ends, wanted)
+        if last[-1] == len(ids) - 1 and (ends[last] == wanted).all():
+            self.pool.extend_flat(ids, np.diff(last, prepend=-1))
+        else:  # a vocabulary of another kind
+            self.pool.extend(self.library([u.decode() for u in units]))
+
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each text has."""
         if self.table.reset_if_full():
