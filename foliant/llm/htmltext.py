@@ -8,6 +8,8 @@ article or the innermost element that has nearly all of the cluster's text, is
 selected, and all its lines are the main text: short ones too, since inside the
 region nothing is dropped but what the markup itself names as no content (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments).
+A class or id names a container by its words only until the clusters contradict it:
+one that holds more of the upper cluster than all that is not named is content.
 
 Null and empty pages give empty text. White space in a line becomes one blank;
 lines are joined by a line feed.
@@ -37,6 +39,12 @@ OUTSIDE = frozenset("aside audio button canvas dialog embed footer form head ifr
 #: Words in class, id or role that name parts which are no content.
 NAMED = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar aside complementary widget widgets related recommended share sharing social comment comments commentlist disqus respond replies menu navbar nav navigation breadcrumb breadcrumbs pagination pager toolbar masthead footer contentinfo copyright login search dialog".split())
 ROOTS = frozenset(("article", "main"))
+#: Elements that the words of a class or id may name; those of the rest are slugs and styles.
+NAMEABLE = (BLOCK | CELL) - HEADINGS - ROOTS - {"html", "body", "p"}
+#: Those of what readers write: as much prose as content has, so the clusters can't tell it from content.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: Words that make the one behind them tell of the layout around it.
+LAYOUT = frozenset(("has", "with", "no"))
 _WORDS = re.compile(r"[a-z0-9]+")
 SIGMA = 1.0
 #: The share of the cluster's text that the selected element has.
@@ -51,6 +59,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.names = ["#page"]
         self.open: list[tuple[str, int, bool]] = []  # element, its number, whether it is outside of content
+        self.named: dict[int, bool] = {}  # containers named as no content: whether as comments
         self.text: list[str] = []
         self.tags = 0
 
@@ -86,26 +95,39 @@ class Lines(HTMLParser):
                     self._close("head", {"html"})
         outside = self.open[-1][2] if self.open else False
         inside_root = any(n in ROOTS for n, _, _ in self.open)
+        words = frozenset()
         if not outside:
-            outside = tag in OUTSIDE or (tag == "header" and not inside_root) or self._named(tag, attrs)
+            outside = tag in OUTSIDE or (tag == "header" and not inside_root) or self._hidden(tag, attrs)
+            words = self._named(tag, attrs)
         elif tag in HEADINGS and inside_root and self.open[-1][0] == "header":
             outside = False  # an article's own title
         if tag == "header" and inside_root:
             outside = True
         self.names.append(tag)
+        if words and not outside:
+            self.named[len(self.names) - 1] = not COMMENTS.isdisjoint(words)
+        if tag in ("main", "h1"):  # no comments then
+            self.named.update((n, False) for _, n, _ in self.open if n in self.named)
         self.open.append((tag, len(self.names) - 1, outside))
 
     @staticmethod
-    def _named(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("html", "body") or tag in ROOTS:
             return False
+        return any(name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()) for name, value in attrs)
+
+    @staticmethod
+    def _named(tag: str, attrs: list[tuple[str, str | None]]) -> frozenset[str]:
+        """The words that name the element as no content."""
+        found: set[str] = set()
+        if tag in ("html", "body") or tag in ROOTS:
+            return frozenset()
         for name, value in attrs:
-            if name in ("class", "id", "role") and value:
-                if not NAMED.isdisjoint(_WORDS.findall(value.lower())):
-                    return True
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
-                return True
-        return False
+            if value and (name == "role" or (name in ("class", "id") and tag in NAMEABLE)):
+                for part in value.lower().split():
+                    words = _WORDS.findall(part)
+                    found.update(w for before, w in zip(["", *words], words) if w in NAMED and before not in LAYOUT)
+        return frozenset(found)
 
     def _close(self, tag: str, within: set[str]) -> None:
         """End an open ``tag`` that a new block ends; not beyond an element of ``within`` or another block but p."""
@@ -156,6 +178,33 @@ def threshold(values: np.ndarray) -> float:
     return min(cut, float(values.max()))
 
 
+def still_named(parser: Lines, upper: list[tuple[int, tuple[int, ...]]]) -> set[int]:
+    """The named containers that stay outside; ``upper`` has the length and elements of the upper cluster's lines.
+
+    Heaviest first: one that holds more than what is free of names is content. Of
+    several articles in it the longest counts, and comments in it do not.
+    """
+    mine = [(size, [n for n in path if n in parser.named], [n for n in path if parser.names[n] in ROOTS]) for size, path in upper]
+    whole: dict[int, int] = defaultdict(int)
+    article: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+    for size, inside, roots in mine:
+        if not any(parser.named[n] for n in inside):
+            for n in inside:
+                whole[n] += size
+                for root in roots:
+                    if root > n:
+                        article[n][root] += size
+    weight = {n: max(article[n].values()) if n in article else size for n, size in whole.items()}
+    left = set(parser.named)
+    free = sum(size for size, inside, _ in mine if not inside)
+    for n in sorted(weight, key=lambda n: (-weight[n], n)):
+        if weight[n] <= free:
+            break
+        left.discard(n)
+        free = sum(size for size, inside, _ in mine if left.isdisjoint(inside))
+    return left
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -168,6 +217,9 @@ def main_text(html: str | None) -> str:
         return ""
     smooth = smoothed(np.array([len(t) / max(1, n) for t, n, _, _ in lines]))
     cut = threshold(smooth)
+    if parser.named:
+        left = still_named(parser, [(len(t), path) for (t, _, path, ok), s in zip(lines, smooth.tolist(), strict=True) if ok and s >= cut])
+        lines = [(t, n, path, ok and left.isdisjoint(path)) for t, n, path, ok in lines]
     mass: dict[int, int] = defaultdict(int)
     whole = 0
     for (text, _, path, ok), s in zip(lines, smooth.tolist(), strict=True):

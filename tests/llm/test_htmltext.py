@@ -37,6 +37,25 @@ def test_article_header_keeps_its_title():
     assert htmltext.main_text(page) == f"T\n{LONG.strip()}"
 
 
+def test_a_name_does_not_drop_the_article():
+    line = LONG.strip()
+    for wrapper in ("class='layout has-sidebar'", "class='sidebar-layout'", "id=search class=widget", "role=search"):
+        page = f"<body><div {wrapper}><article><h1>T</h1><p>{LONG}</p></article></div><div class=related><p>r</p></div>"
+        assert htmltext.main_text(page) == f"T\n{line}"
+    page = f"<article><h2 id='related-work'>Related work</h2><p class=notice>{LONG}</p><h2 id=search>Search</h2><p>{LONG}<span class=share>b</span></p></article>"
+    assert htmltext.main_text(page) == f"Related work\n{line}\nSearch\n{line} b"
+    page = f"<div class='content social'><h2>T</h2><p>{LONG}</p><p>{LONG}</p></div><div class=related><p>{LONG}</p></div>"
+    assert htmltext.main_text(page) == f"T\n{line}\n{line}"
+
+
+def test_names_still_drop_what_is_no_content():
+    line = LONG.strip()
+    teasers = f"<div class=related>{f'<article><p>{LONG}</p></article>' * 9}</div>"
+    assert htmltext.main_text(f"<article><p>a {LONG}</p><p>{LONG}</p></article>{teasers}") == f"a {line}\n{line}"
+    remarks = f"<div class=comments>{f'<article><p>{LONG}</p></article>' * 9}</div>"
+    assert htmltext.main_text(f"<div id=content><p>a {LONG}</p></div>{remarks}") == f"a {line}"
+
+
 def test_broken_pages():
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p>") == htmltext.main_text("<script>x") == ""
     assert htmltext.main_text("plain & text") == "plain & text"
