@@ -4,7 +4,7 @@ The standard library's parser streams events. Text between block tags is a *line
 its text-to-tag ratio is its characters over the tags met in it. The ratios, in page
 order, are smoothed with a Gaussian and parted into two clusters by a threshold; the
 upper cluster tells where the content lies. The region that holds it, the page's
-article or the innermost element that has nearly all of the cluster's text, is
+article or the innermost element that has all of the cluster's long lines, is
 selected, and all its lines are the main text: short ones too, since inside the
 region nothing is dropped but what the markup itself names as no content (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments).
@@ -47,8 +47,6 @@ COMMENTS = frozenset("comment comments commentlist disqus respond replies".split
 LAYOUT = frozenset(("has", "with", "no"))
 _WORDS = re.compile(r"[a-z0-9]+")
 SIGMA = 1.0
-#: The share of the cluster's text that the selected element has.
-SHARE = 0.9
 
 
 class Lines(HTMLParser):
@@ -215,32 +213,34 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not any(ok for *_, ok in lines):
         return ""
-    smooth = smoothed(np.array([len(t) / max(1, n) for t, n, _, _ in lines]))
+    ratio = [len(t) / max(1, n) for t, n, _, _ in lines]
+    smooth = smoothed(np.array(ratio))
     cut = threshold(smooth)
     if parser.named:
         left = still_named(parser, [(len(t), path) for (t, _, path, ok), s in zip(lines, smooth.tolist(), strict=True) if ok and s >= cut])
         lines = [(t, n, path, ok and left.isdisjoint(path)) for t, n, path, ok in lines]
+    upper = [ok and s >= cut for (*_, ok), s in zip(lines, smooth.tolist(), strict=True)]
+    # short lines that only their neighbours lift into the cluster do not say how far the region goes
+    far = [up and r >= cut for up, r in zip(upper, ratio, strict=True)]
+    far = far if any(far) else upper if any(upper) else [ok for *_, ok in lines]  # the upper cluster may lie outside of content
+    whole = sum(far)
     mass: dict[int, int] = defaultdict(int)
-    whole = 0
-    for (text, _, path, ok), s in zip(lines, smooth.tolist(), strict=True):
-        if ok and s >= cut:
-            whole += len(text)
-            for n in path:
+    held: dict[int, int] = defaultdict(int)
+    for (text, _, path, _), up, is_far in zip(lines, upper if any(upper) else far, far, strict=True):
+        for n in path:
+            if up:
                 mass[n] += len(text)
-    if not whole:  # the upper cluster lies outside of content: go by text alone
-        for text, _, path, ok in lines:
-            if ok:
-                whole += len(text)
-                for n in path:
-                    mass[n] += len(text)
+            if is_far:
+                held[n] += 1
     roots = [n for n in mass if parser.names[n] in ROOTS]
     if roots:
         root = max(roots, key=lambda n: (mass[n], parser.names[n] == "article", n))
+        upper = [False] * len(lines)
     else:
-        root = max((n for n in mass if mass[n] >= SHARE * whole), default=0)  # numbers grow inward
+        root = max((n for n in held if held[n] == whole), default=0)  # numbers grow inward
         while root and parser.names[root] not in BLOCK - HEADINGS - {"p", "li", "ul", "ol", "blockquote", "pre", "tr", "td"}:
             root = max((n for n in next(p for _, _, p, _ in lines if root in p) if n < root), default=0)
-    return "\n".join(t for t, _, path, ok in lines if ok and (not root or root in path))
+    return "\n".join(t for (t, _, path, ok), up in zip(lines, upper, strict=True) if ok and (up or not root or root in path))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -56,6 +56,14 @@ def test_names_still_drop_what_is_no_content():
     assert htmltext.main_text(f"<div id=content><p>a {LONG}</p></div>{remarks}") == f"a {line}"
 
 
+def test_no_long_line_is_lost_beside_a_dominant_part():
+    line = LONG.strip()
+    parts = f"<div class=part1><h2>One</h2>{f'<p>{LONG}</p>' * 40}</div><h2>Two</h2><div class=part2>{f'<p>b {LONG}</p>' * 3}<p>end</p></div>"
+    want = "\n".join(["One", *[line] * 40, "Two", *[f"b {line}"] * 3, "end"])
+    assert htmltext.main_text(f"<body>{parts}<footer>f</footer>") == want
+    assert htmltext.main_text(f"<body><ul><li><a>m</a><li><a>n</a><li><a>o</a><li><a>p</a></ul><div>{parts}</div>") == want
+
+
 def test_broken_pages():
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p>") == htmltext.main_text("<script>x") == ""
     assert htmltext.main_text("plain & text") == "plain & text"
