@@ -12,7 +12,8 @@ sent to the tasks; the documents pass the shards one behind the other without a
 shuffle, so neither side ever meets the other in a join. Usual benchmarks are one shard.
 
 Nulls and empty texts have no words and are never hit. Items with no words
-occur nowhere; rows that repeat an item_id count as one item.
+occur nowhere; rows that repeat an item_id count as one item. Items with a null id
+are hit like any other and count as one item together; the digest of ids leaves it out.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ class Shard:
     least: int
 
 
-def make_shard(rows: list[tuple[str, list[bytes]]], window: int) -> Shard | None:
+def make_shard(rows: list[tuple[str | None, list[bytes]]], window: int) -> Shard | None:
     vocabulary: dict[bytes, int] = {}
     sequences = [(item, [vocabulary.setdefault(w, len(vocabulary)) for w in words]) for item, words in rows if words]
     if not sequences:
@@ -157,11 +158,11 @@ def make_shard(rows: list[tuple[str, list[bytes]]], window: int) -> Shard | None
 
 def shards(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Iterator[Shard]:
     """The items' automata, one for about ``shard_bytes`` of text each."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-size // shard_bytes)
     for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == k).collect()
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).collect()
         if made := make_shard(list(zip([r.item for r in rows], item_words(pa.array([r.text for r in rows], pa.string())), strict=True)), window):
             yield made
 
@@ -197,10 +198,15 @@ def scan(batch: pa.RecordBatch, text_col: str, shard: Shard, table: WordTable) -
         at = np.array(sorted(words))
         hit_words[doc] = (at - first[doc]).tolist()
         hit_bytes[doc] = np.stack([starts[at], ends[at]], 1).ravel().__sub__(offsets[doc]).tolist()
-        hit_items[doc] = sorted(items)
+        hit_items[doc] = in_order(items)
     return {"n_words": count.tolist(), "hit_words": hit_words, "hit_bytes": hit_bytes, "hit_items": hit_items}
 
 
+def in_order(items: set[str | None]) -> list[str | None]:
+    """Ids in order, null behind them."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 def runs_of(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     from .textbatch import runs
 
@@ -263,7 +269,7 @@ def merge(old: list[dict], new: dict[str, list]) -> dict[str, list]:
         at |= dict(zip(new["hit_words"][k], zip(new["hit_bytes"][k][::2], new["hit_bytes"][k][1::2], strict=True), strict=True))
         new["hit_words"][k] = sorted(at)
         new["hit_bytes"][k] = [x for w in sorted(at) for x in at[w]]
-        new["hit_items"][k] = sorted({*was["hit_items"], *new["hit_items"][k]})
+        new["hit_items"][k] = in_order({*was["hit_items"], *new["hit_items"][k]})
     return new
 
 

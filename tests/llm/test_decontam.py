@@ -70,6 +70,22 @@ def test_odd_rows_in_one_and_many_shards(spark):
     assert {r.n_hit for r in decontam.report(docs, items.limit(0)).collect()} == {0}
 
 
+def test_items_with_a_null_id_are_hit(spark, tmp_path):
+    docs, items = [*DOCS[:5], (7, "all is lost"), (8, "Lost: a short item")], [*ITEMS, (None, "all is"), (None, "lost")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, queries.op5_decontaminate(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(queries.OP5_SQL).fetchall())
+    counts = lambda rows: [(*r[:4], r[5]) for r in rows]
+    assert counts(got) == counts(sorted(brute(docs, items, 13)))
+    frames = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(map(tuple, decontam.report(*frames, shard_bytes=8).collect())) == got
+    assert not {7, 8} & {r.doc_id for r in decontam.decontaminate(*frames).collect()}
+
+
 def test_drop_and_cut(spark):
     docs, items = frames(spark)
     left = decontam.decontaminate(docs, items)
