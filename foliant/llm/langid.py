@@ -8,7 +8,7 @@ from its centroid than nearly all training vectors of the language is *rejected*
 that is told in a column of its own, beside the nearest language.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled texts, chosen evenly by a
-hash of their id, the same share of each language where it has enough. Whole texts
+hash of id and text, the same share of each language where it has enough. Whole texts
 are read, in training and in prediction.
 
 Null texts and texts with no letter are ``und`` with score 0. Where nothing was
@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import LETTERS, byte_grams
-from .session import small_batches
+from .session import sample, small_batches
 from .textbatch import arrow_batches, text_bytes
 
 GRAMS = (2, 3)
@@ -84,12 +84,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     """Learn from labelled ``docs``; what reaches the driver is bounded by ``rows`` vectors."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null and label is not null")
-    found = sorted(docs.groupBy("label").count().collect(), key=lambda r: (-r["count"], r.label))[: max(1, rows // 10)]
+    found = docs.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max(1, rows // 10)).collect()
     if not found:
         return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0, int), np.zeros(0))
     each = min(rows_each, max(1, rows // len(found)))
     share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for r in found for x in (r.label, min(1.0, each / r["count"])))), F.col("label")), F.lit(0.0))
-    chosen = docs.where(F.pmod(F.xxhash64("id", "label"), F.lit(1_000_003)) < share * 1_000_003)
+    chosen, at = sample(docs, share, "id", "label", "text")
+    place = F.row_number().over(Window.partitionBy("label").orderBy(at, "id", "text"))
+    chosen = chosen.withColumn("place", place).where(F.col("place") <= each).drop("place")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):

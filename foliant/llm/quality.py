@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .features import byte_grams, group_sums, word_hashes
-from .session import free_name, small_batches
+from .session import free_name, sample, small_batches
 from .textbatch import arrow_batches, text_bytes
 
 BITS = 15
@@ -97,13 +97,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Mode
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """Learn labels 0 and 1. Only the chosen labels, ``rows`` at most, are sent to the scan of the texts."""
+    """Learn labels 0 and 1. Only the chosen labels, ``rows`` at most, are sent to the scan of the texts; each is learned with one text."""
     spark = docs.sparkSession
     small_batches(spark)
-    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     n = labels.count()
-    chosen = labels.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < min(1.0, rows / max(1, n)) * 1_000_003)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id").select(F.col("id").cast("string").alias("id"), "text", "label")
+    chosen, at = sample(labels, min(1.0, rows / max(1, n)), "id")
+    chosen = chosen.orderBy(at, "id", "label").limit(rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text")).select(F.col("id").cast("string").alias("id"), "text", "label")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):

@@ -8,7 +8,7 @@ each as begin (B) or inside (I) of a secret or outside (O), from
 * the file: how many tokens have digits, and whether any word names a secret.
 
 It is trained by maximum likelihood (forward-backward over windows, in numpy) on at
-most ``TRAIN_ROWS`` texts, chosen evenly by a hash: what the base patterns find in
+most ``TRAIN_ROWS`` texts, chosen evenly by a hash of id and text: what the base patterns find in
 them, and secrets of many forms made up and put among their words.
 
 Decoding is exact Viterbi over the whole text. A token at which O beats each other
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import small_batches
+from .session import sample, small_batches
 from .textbatch import SpanHash, arrow_batches, fold_ascii, runs, text_bytes
 
 # Base patterns, fixed values: (kind, pattern, group that is measured, its least length).
@@ -280,11 +280,12 @@ def base_matches(text: str) -> list[tuple[str, re.Match]]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Field:
-    """Train on at most about ``rows`` texts."""
+    """Train on at most ``rows`` texts; no more reach the driver, whatever ids repeat or are null."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     n = docs.count()
-    chosen = docs.where((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < min(1.0, rows / max(1, n)) * 1_000_003) & (F.length("text") <= TRAIN_CHARS)).collect()
+    chosen, at = sample(docs.where(F.length("text") <= TRAIN_CHARS), min(1.0, rows / max(1, n)), "id", "text")
+    chosen = chosen.orderBy(at, "id", "text").limit(rows).collect()
     return train(*examples(sorted(r.text for r in chosen)))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch at most (but one row at least); a batch is what a Python worker holds at a time.
 ARROW_ROWS = 512
@@ -48,3 +49,9 @@ def free_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def sample(rows: DataFrame, share: float | Column, *by: str) -> tuple[DataFrame, Column]:
+    """About a ``share`` of the rows, even over a hash of the columns ``by``, equal rows once; and the order by which to limit them."""
+    at = F.pmod(F.xxhash64(*by), F.lit(1 << 53))
+    return rows.where(at < F.lit(share) * float(1 << 53)).distinct(), at

@@ -78,3 +78,20 @@ def test_quality_odd_rows(spark, odd_docs):
     untaught = quality.fit(odd_docs, labels.limit(0))
     assert quality.good(odd_docs, untaught).count() == odd_docs.count()
     assert quality.good(odd_docs.limit(0), model).count() == 0
+
+
+def test_samples_are_bounded_whatever_ids_repeat(spark, monkeypatch):
+    ids = [None] * 2000 + [7] * 1000 + list(range(10, 510))
+    docs = spark.createDataFrame([(i, f"some words and number {k}", "ab"[k % 2]) for k, i in enumerate(ids)], "doc_id long, text string, lang string").repartition(4).cache()
+    sizes = []
+    monkeypatch.setattr(langid, "k_means", lambda x, k, f=langid.k_means: sizes.append(len(x)) or f(x, k))
+    langid.fit(docs, rows=40)
+    assert len(sizes) == 2 and all(5 <= n <= 20 for n in sizes)
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate([*range(10, 60), *[7] * 300])], "doc_id long, quality int")
+    taught = []
+    monkeypatch.setattr(quality, "train", lambda rows, f=quality.train: taught.extend(rows) or f(rows))
+    quality.fit(docs, labels)
+    assert len(taught) == 52  # the id 7 once with each label
+    taught.clear()
+    quality.fit(docs, labels, rows=20)
+    assert 5 <= len(taught) <= 20

@@ -89,3 +89,12 @@ def test_redaction_and_odd_rows(odd_docs, spark, field):
     assert secretscan.redact(docs, field).first().text == 'été [SECRET] 🎉 [SECRET]"'
     untaught = secretscan.fit(odd_docs.limit(0))
     assert secretscan.scan(pa.array(["plain words", None]), untaught) == [[], []]
+
+
+def test_the_sample_is_bounded_whatever_ids_repeat(spark, monkeypatch):
+    ids = [None] * 2000 + [7] * 1000 + list(range(10, 510))
+    docs = spark.createDataFrame([(i, f"some words and number {k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(4)
+    taught = []
+    monkeypatch.setattr(secretscan, "examples", lambda texts, f=secretscan.examples: taught.extend(texts) or f(texts))
+    secretscan.fit(docs, rows=50)
+    assert 20 <= len(taught) <= 50
