@@ -16,8 +16,8 @@ tag by more than all that the transitions on its two sides could give back is O
 the best path whatever its neighbours are; numpy finds these, nearly all, and the
 recursion runs over the stretches between them.
 
-Null texts are empty. Spans are code points, end exclusive. Spans of the field that
-touch a base span are dropped, base spans always stay.
+Null texts are empty. Spans are code points, end exclusive. Base spans always
+stay; a span of the field that base spans touch is cut to what they leave of it.
 """
 
 from __future__ import annotations
@@ -321,12 +321,17 @@ def scan(col: pa.Array, field: Field) -> list[list[tuple[str, int, int]]]:
         if patterns or k in found:
             text = raw.decode()
             spans = [(kind, m.start(), m.end()) for kind, pattern, group, least in patterns for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-            base = list(spans)
+            base = sorted((p, q) for _, p, q in spans)
             for x, y in found.get(k, ()):
                 while raw[y : y + 1] == b"=" and y < len(raw):  # what pads a code
                     y += 1
                 x, y = len(raw[:x].decode()), len(raw[:y].decode())
-                if not any(x < q and p < y for _, p, q in base):
+                for p, q in base:
+                    if x < q and p < y:
+                        if x < p:
+                            spans.append(("crf", x, p))
+                        x = q
+                if x < y:
                     spans.append(("crf", x, y))
             spans.sort(key=lambda s: (s[1], KINDS[s[0]], s[2]))
         out.append(spans)
