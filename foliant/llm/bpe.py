@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import small_batches
+from .session import bounded_batches
 from .textbatch import Pool, WordTable, arrow_batches, bpe_units, spread, sums, text_bytes
 
 LEAF = 24
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     A null text is empty; an empty text has no ids. Rows that repeat an id stay.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
     """``encoded`` with a binary column ``decoded``: the bytes of each row's ids (null: null)."""
     from pyspark.sql import types as T
 
-    small_batches(encoded.sparkSession)
+    bounded_batches(encoded.sparkSession)
     schema = T.StructType([*(f for f in encoded.schema if f.name != "decoded"), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import free_name, fresh_path, small_batches
+from .session import free_name, fresh_path, bounded_batches
 from .textbatch import WordTable, arrow_batches, fold_ascii, plain_words, text_bytes
 
 WINDOW = 13
@@ -220,7 +220,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
     written in the shared folder and read again.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     schema = T.StructType([*docs.schema, T.StructField(name, HITS)])
     out = docs
     for number, shard in enumerate(either(shards(benchmark, window, **named), Shard([], Automaton(window).build([]), window))):

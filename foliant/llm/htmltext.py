@@ -1,18 +1,27 @@
 """Main text of HTML pages by smoothed text-to-tag ratios.
 
 The standard library's parser streams events. Text between block tags is a *line*;
-its text-to-tag ratio is its characters over the tags met in it. The ratios, in page
-order, are smoothed with a Gaussian and parted into two clusters by a threshold; the
-upper cluster tells where the content lies. The region that holds it, the page's
-article or the innermost element that has all of the cluster's long lines, is
-selected, and all its lines are the main text: short ones too, since inside the
-region nothing is dropped but what the markup itself names as no content (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments).
-A class or id names a container by its words only until the clusters contradict it:
-one that holds more of the upper cluster than all that is not named is content.
-
-Null and empty pages give empty text. White space in a line becomes one blank;
-lines are joined by a line feed.
+its text-to-tag ratio is its characters over the tags met in it, RATIO at most. The
+ratios, in page order, are smoothed with a Gaussian and parted into two clusters by a
+threshold. The lines of the upper cluster choose the region: the innermost container
+that holds them all, out to the article or main element around it. Every line of the
+region is content, short ones too.
+
+Markup only vetoes. Elements that are never content (scripts, menus, page headers
+and footers, hidden parts ...) lose their lines. Those that are so by habit (forms,
+sidebars, and containers with a class, id or role that names such a part) lose
+theirs as well, but not one that holds over half of the upper cluster. A class name
+counts if all its words are such names, or tell of place or form: ``cookie-notice``,
+``site-footer``, but neither ``no-sidebar`` nor ``ad-free``. Where articles hold
+over half of a wider region's cluster, what stands beside them is vetoed.
+
+Defined results: null and empty pages give empty text, as do pages of vetoed lines
+alone. If no line outside of vetoed elements is in the upper cluster, all such lines
+choose the region. Of containers that hold the same lines the innermost counts. White
+space in a line becomes one blank; lines are joined by a line feed. Broken markup
+never fails: tags close as browsers close them, unknown declarations are comments,
+and a tag, comment or declaration that the page's end cuts gives no text. Time and
+memory grow in line with the page, however deep its elements nest.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import small_batches
+from .session import bounded_batches
 from .textbatch import arrow_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,41 +44,71 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CELL = frozenset(("td", "th"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that are no content wherever they stand.
-OUTSIDE = frozenset("aside audio button canvas dialog embed footer form head iframe input menu nav noscript object script search select style svg template textarea title video".split())
-#: Words in class, id or role that name parts which are no content.
+OUTSIDE = frozenset("audio button canvas embed footer head iframe input menu nav noscript object script search select style svg template textarea title video".split())
+#: Elements that are none by habit.
+HABIT = frozenset(("aside", "dialog", "form"))
+#: Words of a class, id or role that name parts which are no content by habit.
 NAMED = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar aside complementary widget widgets related recommended share sharing social comment comments commentlist disqus respond replies menu navbar nav navigation breadcrumb breadcrumbs pagination pager toolbar masthead footer contentinfo copyright login search dialog".split())
+#: Words that may stand beside them in a name.
+FORM = frozenset("area bar block bottom box buttons container entry footer form global header inner item items left links list page panel post posts primary right secondary section site sub top wrap wrapper".split())
 ROOTS = frozenset(("article", "main"))
 #: Elements that the words of a class or id may name; those of the rest are slugs and styles.
 NAMEABLE = (BLOCK | CELL) - HEADINGS - ROOTS - {"html", "body", "p"}
-#: Those of what readers write: as much prose as content has, so the clusters can't tell it from content.
+#: Names of what readers write: as much prose as content has, so the clusters can't tell it from content.
 COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
-#: Words that make the one behind them tell of the layout around it.
-LAYOUT = frozenset(("has", "with", "no"))
+#: Elements that can be a region of their own.
+CONTAINERS = (BLOCK | {"#page"}) - HEADINGS - {"p", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "tr", "tbody", "thead", "tfoot", "caption", "figcaption"}
+#: End tags a new block implies: an open element of the key's values that no block but p has followed.
+IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "body": ("head",)}
 _WORDS = re.compile(r"[a-z0-9]+")
+_MARKUP = re.compile(r"<[a-zA-Z/!?]")
 SIGMA = 1.0
+#: A line of so many characters a tag is prose; a larger ratio says no more, so a very long line doesn't raise the threshold.
+RATIO = 100.0
 
 
 class Lines(HTMLParser):
-    """Parser events to lines: (text, tags, enclosing elements, whether it may be content)."""
+    """Parser events to lines and the tree of elements that they stand in.
+
+    Elements are numbered in page order, 0 is the page; ``parent`` has each one's
+    parent, so a pass over the numbers, up or down, replaces walks along paths.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.names = ["#page"]
-        self.open: list[tuple[str, int, bool]] = []  # element, its number, whether it is outside of content
-        self.named: dict[int, bool] = {}  # containers named as no content: whether as comments
+        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, element, whether it may be content
+        self.names, self.parent = ["#page"], [0]
+        self.outside, self.in_root = [False], [False]
+        self.habit: dict[int, bool] = {}  # elements that are no content by habit: whether as comments
+        self.open = [0]
+        self.places: dict[str, list[int]] = defaultdict(list)  # where in ``open`` each element name stands
+        self.blocks, self.solid = [0], [0]  # where blocks stand, and blocks other than p
         self.text: list[str] = []
         self.tags = 0
 
+    def read(self, page: str) -> Lines:
+        self.feed(page)
+        if self.cdata_elem is None and _MARKUP.match(self.rawdata):
+            self.rawdata = ""  # cut by the end
+        self.close()
+        self.flush()
+        return self
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                outside = self.open[-1][2] if self.open else False
-                self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open), not outside))
+                self.lines.append((text, self.tags, self.open[-1], not self.outside[self.open[-1]]))
                 self.tags = 0
             self.text = []
 
+    def handle_data(self, data: str) -> None:
+        self.text.append(data)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in VOID:
@@ -82,31 +121,56 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in BLOCK or tag in OUTSIDE:
             self.flush()
-            if tag in BLOCK:
-                self._close("p", {"p"})
-                if tag == "li":
-                    self._close("li", {"ul", "ol", "menu"})
-                elif tag in ("dt", "dd"):
-                    self._close("dt", {"dl"})
-                    self._close("dd", {"dl"})
-                elif tag == "body":
-                    self._close("head", {"html"})
-        outside = self.open[-1][2] if self.open else False
-        inside_root = any(n in ROOTS for n, _, _ in self.open)
-        words = frozenset()
+        if tag in BLOCK:
+            if self._last("p") > self.solid[-1]:
+                self._pop(self._last("p"))
+            for name in IMPLIED.get(tag, ()):
+                if self._last(name) == self.solid[-1]:
+                    self._pop(self.solid[-1])
+        above = self.open[-1]
+        outside, in_root = self.outside[above], self.in_root[above]
+        number = len(self.names)
         if not outside:
-            outside = tag in OUTSIDE or (tag == "header" and not inside_root) or self._hidden(tag, attrs)
+            outside = tag in OUTSIDE or tag == "header" or self._hidden(tag, attrs)
             words = self._named(tag, attrs)
-        elif tag in HEADINGS and inside_root and self.open[-1][0] == "header":
+            if not outside and (words or tag in HABIT):
+                self.habit[number] = not COMMENTS.isdisjoint(words)
+        elif tag in HEADINGS and in_root and self.names[above] == "header":
             outside = False  # an article's own title
-        if tag == "header" and inside_root:
-            outside = True
         self.names.append(tag)
-        if words and not outside:
-            self.named[len(self.names) - 1] = not COMMENTS.isdisjoint(words)
-        if tag in ("main", "h1"):  # no comments then
-            self.named.update((n, False) for _, n, _ in self.open if n in self.named)
-        self.open.append((tag, len(self.names) - 1, outside))
+        self.parent.append(above)
+        self.outside.append(outside)
+        self.in_root.append(in_root or tag in ROOTS)
+        place = len(self.open)
+        self.open.append(number)
+        self.places[tag].append(place)
+        if tag in BLOCK:
+            self.blocks.append(place)
+            if tag != "p":
+                self.solid.append(place)
+
+    def handle_endtag(self, tag: str) -> None:
+        self.tags += 1
+        if tag in VOID:
+            return
+        block = tag in BLOCK or tag in OUTSIDE
+        if block:
+            self.flush()
+        place = self._last(tag)
+        if place > 0 and (block or place > self.blocks[-1]):
+            self._pop(place)
+
+    def _last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def _pop(self, place: int) -> None:
+        """Close what is open from ``place`` on."""
+        while len(self.open) > place:
+            self.places[self.names[self.open.pop()]].pop()
+        for held in (self.blocks, self.solid):
+            while held[-1] >= place:
+                held.pop()
 
     @staticmethod
     def _hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -115,45 +179,37 @@ class Lines(HTMLParser):
         return any(name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()) for name, value in attrs)
 
     @staticmethod
-    def _named(tag: str, attrs: list[tuple[str, str | None]]) -> frozenset[str]:
+    def _named(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
         """The words that name the element as no content."""
         found: set[str] = set()
-        if tag in ("html", "body") or tag in ROOTS:
-            return frozenset()
-        for name, value in attrs:
-            if value and (name == "role" or (name in ("class", "id") and tag in NAMEABLE)):
-                for part in value.lower().split():
-                    words = _WORDS.findall(part)
-                    found.update(w for before, w in zip(["", *words], words) if w in NAMED and before not in LAYOUT)
-        return frozenset(found)
-
-    def _close(self, tag: str, within: set[str]) -> None:
-        """End an open ``tag`` that a new block ends; not beyond an element of ``within`` or another block but p."""
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                del self.open[k:]
-                return
-            if name in within or (name in BLOCK and name != "p"):
-                return
+        if tag not in ("html", "body") and tag not in ROOTS:
+            for name, value in attrs:
+                if value and (name == "role" or (name in ("class", "id") and tag in NAMEABLE)):
+                    for words in map(_WORDS.findall, value.lower().split()):
+                        if NAMED.issuperset(w for w in words if w not in FORM):
+                            found.update(w for w in words if w in NAMED)
+        return found
 
-    def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
-        if tag in VOID:
-            return
-        block = tag in BLOCK or tag in OUTSIDE
-        if block:
-            self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                del self.open[k:]
-                return
-            if not block and name in BLOCK:
-                return
+    def up(self, values: list[float]) -> list[float]:
+        """Each element's value with those of all inside it."""
+        out = list(values)
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parent[n]] += out[n]
+        return out
 
-    def handle_data(self, data: str) -> None:
-        self.text.append(data)
+    def down(self, marked: set[int]) -> list[bool]:
+        """Elements that are marked or inside one that is."""
+        out = [False] * len(self.names)
+        for n in range(len(out)):
+            out[n] = n in marked or out[self.parent[n]]
+        return out
+
+    def per_element(self, values: list[float]) -> list[float]:
+        """A value of each line summed by its element."""
+        out = [0.0] * len(self.names)
+        for (_, _, n, _), x in zip(self.lines, values, strict=True):
+            out[n] += x
+        return out
 
 
 def smoothed(ratio: np.ndarray) -> np.ndarray:
@@ -176,76 +232,78 @@ def threshold(values: np.ndarray) -> float:
     return min(cut, float(values.max()))
 
 
-def still_named(parser: Lines, upper: list[tuple[int, tuple[int, ...]]]) -> set[int]:
-    """The named containers that stay outside; ``upper`` has the length and elements of the upper cluster's lines.
+def ratios(parser: Lines) -> np.ndarray:
+    """Each line's text-to-tag ratio."""
+    return np.minimum([len(text) / max(1, tags) for text, tags, _, _ in parser.lines], RATIO)
+
 
-    Heaviest first: one that holds more than what is free of names is content. Of
-    several articles in it the longest counts, and comments in it do not.
+def vetoed(parser: Lines, upper: list[float]) -> list[bool]:
+    """Elements that are no content by habit, with what is in them. ``upper``: each line's length if it is in the upper cluster.
+
+    One that holds over half of the cluster is content, if no article or main that has
+    text stands free of such elements. Of several articles in it the longest counts, and
+    comments in it do not, unless they have the page's title.
     """
-    mine = [(size, [n for n in path if n in parser.named], [n for n in path if parser.names[n] in ROOTS]) for size, path in upper]
-    whole: dict[int, int] = defaultdict(int)
-    article: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    for size, inside, roots in mine:
-        if not any(parser.named[n] for n in inside):
-            for n in inside:
-                whole[n] += size
-                for root in roots:
-                    if root > n:
-                        article[n][root] += size
-    weight = {n: max(article[n].values()) if n in article else size for n, size in whole.items()}
-    left = set(parser.named)
-    free = sum(size for size, inside, _ in mine if not inside)
-    for n in sorted(weight, key=lambda n: (-weight[n], n)):
-        if weight[n] <= free:
-            break
-        left.discard(n)
-        free = sum(size for size, inside, _ in mine if left.isdisjoint(inside))
-    return left
+    out = parser.down(set(parser.habit))
+    if any(may and parser.in_root[n] and not out[n] for _, _, n, may in parser.lines):
+        return out
+    titled = parser.up([name in ("main", "h1") for name in parser.names])
+    remarks = parser.down({n for n, comments in parser.habit.items() if comments and not titled[n]})
+    weight = parser.up([0.0 if r else w for w, r in zip(parser.per_element(upper), remarks, strict=True)])
+    longest = [0.0] * len(weight)  # article or main inside each element
+    for n in range(len(weight) - 1, 0, -1):
+        inside = max(longest[n], weight[n] if parser.names[n] in ROOTS else 0.0)
+        longest[parser.parent[n]] = max(longest[parser.parent[n]], inside)
+    return parser.down({n for n in parser.habit if 2 * (longest[n] or weight[n]) <= weight[0] or not weight[n]})
+
+
+def region(parser: Lines, far: list[float]) -> list[bool]:
+    """Elements of the region that the lines of length ``far`` (0: another line) choose."""
+    names, parent = parser.names, parser.parent
+    count = parser.up(parser.per_element([float(x > 0) for x in far]))
+    chosen = max(n for n in range(len(names)) if count[n] == count[0])  # numbers grow inward
+    while names[chosen] not in CONTAINERS:
+        chosen = parent[chosen]
+    around = chosen
+    while around and names[around] not in ROOTS:
+        around = parent[around]
+    if around:
+        return parser.down({around})
+    inside = parser.down({chosen})
+    mass = parser.up(parser.per_element(far))
+    roots = {n for n in range(len(names)) if inside[n] and names[n] in ROOTS and mass[n] and not parser.in_root[parent[n]]}
+    return parser.down(roots) if 2 * sum(mass[n] for n in roots) > mass[0] else inside
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines = parser.lines
-    if not any(ok for *_, ok in lines):
+    parser = Lines().read(html)
+    ok = [may for *_, may in parser.lines]
+    if not any(ok):
         return ""
-    ratio = [len(t) / max(1, n) for t, n, _, _ in lines]
-    smooth = smoothed(np.array(ratio))
+    ratio = ratios(parser)
+    smooth = smoothed(ratio)
     cut = threshold(smooth)
-    if parser.named:
-        left = still_named(parser, [(len(t), path) for (t, _, path, ok), s in zip(lines, smooth.tolist(), strict=True) if ok and s >= cut])
-        lines = [(t, n, path, ok and left.isdisjoint(path)) for t, n, path, ok in lines]
-    upper = [ok and s >= cut for (*_, ok), s in zip(lines, smooth.tolist(), strict=True)]
-    # short lines that only their neighbours lift into the cluster do not say how far the region goes
-    far = [up and r >= cut for up, r in zip(upper, ratio, strict=True)]
-    far = far if any(far) else upper if any(upper) else [ok for *_, ok in lines]  # the upper cluster may lie outside of content
-    whole = sum(far)
-    mass: dict[int, int] = defaultdict(int)
-    held: dict[int, int] = defaultdict(int)
-    for (text, _, path, _), up, is_far in zip(lines, upper if any(upper) else far, far, strict=True):
-        for n in path:
-            if up:
-                mass[n] += len(text)
-            if is_far:
-                held[n] += 1
-    roots = [n for n in mass if parser.names[n] in ROOTS]
-    if roots:
-        root = max(roots, key=lambda n: (mass[n], parser.names[n] == "article", n))
-        upper = [False] * len(lines)
+    upper = (smooth >= cut).tolist()
+    size = [len(text) for text, *_ in parser.lines]
+    if parser.habit:
+        out = vetoed(parser, [float(s * (up and may)) for s, up, may in zip(size, upper, ok, strict=True)])
+        ok = [may and not out[n] for may, (_, _, n, _) in zip(ok, parser.lines, strict=True)]
+    # lines that only their neighbours lift into the cluster do not say how far the region goes
+    for choice in ((ratio >= cut) & upper, upper, np.ones(len(ok), bool)):
+        far = [float(s * (up and may)) for s, up, may in zip(size, choice, ok, strict=True)]
+        if any(far):
+            break
     else:
-        root = max((n for n in held if held[n] == whole), default=0)  # numbers grow inward
-        while root and parser.names[root] not in BLOCK - HEADINGS - {"p", "li", "ul", "ol", "blockquote", "pre", "tr", "td"}:
-            root = max((n for n in next(p for _, _, p, _ in lines if root in p) if n < root), default=0)
-    return "\n".join(t for (t, _, path, ok), up in zip(lines, upper, strict=True) if ok and (up or not root or root in path))
+        return ""
+    inside = region(parser, far)
+    return "\n".join(text for (text, _, n, _), may in zip(parser.lines, ok, strict=True) if may and inside[n])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) for every page. One pass, no shuffle."""
-    small_batches(pages.sparkSession, 128)
+    """(page_id, url, text, n_chars) for every page; rows that repeat stay. One pass, no shuffle."""
+    bounded_batches(pages.sparkSession)
     types = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import LETTERS, byte_grams
-from .session import sample, small_batches
+from .session import sample, bounded_batches
 from .textbatch import arrow_batches, text_bytes
 
 GRAMS = (2, 3)
@@ -82,7 +82,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS, rows_each: int = TRAIN_ROWS_EACH) -> Model:
     """Learn from labelled ``docs``; what reaches the driver is bounded by ``rows`` vectors."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null and label is not null")
     found = docs.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max(1, rows // 10)).collect()
     if not found:
@@ -129,7 +129,7 @@ def classify(model: Model, col: pa.Array) -> dict[str, list]:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every row. One pass, no shuffle; the model's size is fixed."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .features import byte_grams, group_sums, word_hashes
-from .session import free_name, sample, small_batches
+from .session import free_name, sample, bounded_batches
 from .textbatch import arrow_batches, text_bytes
 
 BITS = 15
@@ -99,7 +99,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Mode
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Learn labels 0 and 1. Only the chosen labels, ``rows`` at most, are sent to the scan of the texts; each is learned with one text."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     n = labels.count()
     chosen, at = sample(labels, min(1.0, rows / max(1, n)), "id")
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
     """``docs`` with the probability of label 1. One pass, no shuffle."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

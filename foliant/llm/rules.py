@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import byte_grams, group_sums
-from .session import small_batches
+from .session import bounded_batches
 from .textbatch import SpanHash, arrow_batches, mix, runs, text_bytes, white_words
 
 GRAM = 4
@@ -91,7 +91,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     Counts are summed inside a task first, so what is shuffled is a row for each
     bucket and task, and what reaches the driver a row for each bucket.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     ids = trusted.select(F.col(id_col).alias("id"), F.lit(True).alias("target")).where("id is not null").distinct()
     # ids grow with the corpus: they meet the texts in one shuffle at every size, and are never broadcast
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "id", "left")
@@ -117,7 +117,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
 
 def report(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, the base counts, base_failed, kept, log_ratio) for every row. One pass, no shuffle."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

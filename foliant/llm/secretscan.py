@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import sample, small_batches
+from .session import sample, bounded_batches
 from .textbatch import SpanHash, arrow_batches, fold_ascii, runs, text_bytes
 
 # Base patterns, fixed values: (kind, pattern, group that is measured, its least length).
@@ -281,7 +281,7 @@ def base_matches(text: str) -> list[tuple[str, re.Match]]:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Field:
     """Train on at most ``rows`` texts; no more reach the driver, whatever ids repeat or are null."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     n = docs.count()
     chosen, at = sample(docs.where(F.length("text") <= TRAIN_CHARS), min(1.0, rows / max(1, n)), "id", "text")
@@ -344,7 +344,7 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 def with_spans(docs: DataFrame, field: Field, text_col: str = "text", name: str = "__spans") -> DataFrame:
     """``docs`` with an array of the secrets' spans. One pass, no shuffle."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +378,7 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]], by: str) -> st
 
 def redact(docs: DataFrame, field: Field, text_col: str = "text", by: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret, from its first base or field span on, replaced by ``by``. Columns as they are. One pass, no shuffle."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes in one Arrow batch at most (but one row at least); a batch is what a Python worker holds at a time.
-ARROW_ROWS = 512
+#: Bytes in one Arrow batch at most (but one row at least); a batch is what a Python worker holds at a time.
 ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where the session names none and all tasks run
+    in the driver's process, as in tests: elsewhere no folder is known to be shared.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        held = spark.sparkContext.getCheckpointDir()
-        at = held or tempfile.mkdtemp(prefix="foliant-")
-        if not held:
+        at = spark.sparkContext.getCheckpointDir()
+        if not at:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="foliant-")
             spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -37,10 +40,17 @@ def fresh_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound Arrow batches by rows and by bytes: documents may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: documents may be long.
+
+    The bound is the same for all plans of the library, so it doesn't matter that
+    the session holds it until they run; a smaller one of the user's stays.
+    How many rows a function takes at a time is its own affair, see ``arrow_batches``.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(name).lower())
+    if not held or not 0 < int(held[1]) <= ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def free_name(df: DataFrame, stem: str) -> str:

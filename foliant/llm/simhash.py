@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import stars
-from .session import cut_lineage, free_name, fresh_path, small_batches
+from .session import cut_lineage, free_name, fresh_path, bounded_batches
 from .textbatch import arrow_batches, mix
 
 WORDS = 3
@@ -71,7 +71,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS, name: str = "__fp") -> DataFrame:
     """``docs`` with the fingerprint as a signed long. No shuffle."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):
@@ -169,7 +169,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if u:
             yield pa.RecordBatch.from_pydict({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64())})
 
-    for batch in arrow_batches(batches):
+    for batch in arrow_batches(batches, 1 << 20):  # rows are a few numbers here
         table = pa.Table.from_batches([*held, batch])
         last = int(_cuts(table)[-2])
         yield from done(table.slice(0, last))
@@ -195,7 +195,6 @@ def unpack_far(packed: np.ndarray) -> np.ndarray:
 def components(nodes: DataFrame) -> DataFrame:
     """nodes: distinct fingerprints ``fp``. Returns (fp, root): root is the same for all that are linked, directly or through others."""
     spark = nodes.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # rows are a few numbers here
     rows = bucket_rows(nodes)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = rows.repartition(n, "t", "bits", "chunk").sortWithinPartitions("t", "bits", "chunk").mapInArrow(_bucket_links, "u long, v long")

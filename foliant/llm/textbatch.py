@@ -325,10 +325,11 @@ def bpe_units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, count, ~bad
 
 
-def arrow_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches that have rows. At a task's end its memory goes back: workers live on and share an executor's."""
+def arrow_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of 1 to ``rows`` rows. At a task's end its memory goes back: workers live on and share an executor's."""
     try:
-        yield from (b for b in batches if b.num_rows)
+        for b in batches:
+            yield from (b.slice(k, rows) for k in range(0, b.num_rows, rows))
     finally:
         give_back()
 

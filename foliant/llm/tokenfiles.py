@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import fresh_path, small_batches
+from .session import fresh_path, bounded_batches
 from .textbatch import Pool, WordTable, arrow_batches, bpe_units, spread, sums, text_bytes
 
 BLOCK = 128
@@ -218,7 +218,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     the texts into id ranges; each task sorts its range and codes it batch by batch.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bounds = range_bounds(docs, "doc_id", n)
@@ -269,7 +269,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     schema = DECODED + (", ids array<int>" if with_ids else "")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_batches(batches):
+        for batch in arrow_batches(batches, 1):  # a row is a whole segment here
             for row in batch.to_pylist():
                 length = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
                 ids = unpack(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["offsets"], np.uint32), row["n_ids"]).astype("<u4")
@@ -286,7 +286,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                     out["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], end]).astype(np.int32), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a whole segment here
+    bounded_batches(spark)
     return segments(spark, path).select("start", "n_ids", "doc_ids", "lengths", "offsets", "words").mapInArrow(decode, schema)
 
 

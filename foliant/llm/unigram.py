@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import small_batches
+from .session import bounded_batches
 from .textbatch import WordTable, arrow_batches, bpe_units, sums, text_bytes
 
 BLANK = "▁"
@@ -153,7 +153,7 @@ def counter(path: str) -> UnigramCounter:
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) for every row. One pass, no shuffle."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):

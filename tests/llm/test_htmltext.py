@@ -1,5 +1,11 @@
 import html
 import re
+import time
+
+import numpy as np
+import pyarrow.parquet as pq
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from cases import SF
 from foliant.llm import htmltext, queries
@@ -20,6 +26,60 @@ def test_pages(spark):
         assert r.text == article(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
+def unmarked(page):
+    """The page with its article in a div and without classes: the ratios alone can find it."""
+    return re.sub(r' class="[^"]*"', "", page.replace("<article>", "<div>").replace("</article>", "</div>"))
+
+
+def test_ratios_find_the_article(monkeypatch):
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist()
+    right = [htmltext.main_text(unmarked(p)) == article(p) for p in pages]
+    assert np.mean(right) >= 0.98
+    rng = np.random.default_rng(3)
+    for noise in (lambda parser: rng.random(len(parser.lines)), lambda parser: np.zeros(len(parser.lines)), lambda parser, f=htmltext.ratios: -f(parser)):
+        monkeypatch.setattr(htmltext, "ratios", noise)
+        blind = [htmltext.main_text(unmarked(p)) == article(p) for p in pages[:500]]
+        assert np.mean(blind) < 0.6
+
+
+def test_names_are_whole():
+    line = LONG.strip()
+    for name in ("no-sidebar", "post ad-free", "has-sidebar", "sidebar-layout", "cookie-recipes", "advert-free"):
+        assert htmltext.main_text(f"<div class='{name}'><p>{LONG}</p><p>end</p></div>") == f"{line}\nend"
+    for name in ("site-footer", "cookie_notice", "ad", "AD", "wide ad", "post-comments", "related-posts"):
+        assert htmltext.main_text(f"<div><div><p>{LONG}</p><p>{LONG}</p></div><div class='{name}'><p>x {LONG}</p></div></div>") == f"{line}\n{line}"
+    assert htmltext.main_text(f"<form class=ad><div class=ad-free><p>{LONG}</p></div></form>") == line
+    assert htmltext.main_text(f"<div class=ad><p>{LONG}</p></div><article>Short.</article>") == "Short."
+
+
+def test_each_of_several_articles():
+    page = f"<nav>n</nav><div><article><p>a {LONG * 9}</p></article><p>x</p><article><p>b {LONG * 9}</p></article></div>"
+    assert htmltext.main_text(page) == f"a {(LONG * 9).strip()}\nb {(LONG * 9).strip()}"
+
+
+def test_markup_that_is_cut_or_unknown():
+    for tail in ("<!-- x", "<?php x", '<a b="', "<a b='c d", "<!DOCTYPE", "</di", "<![CDATA[ x", "<![foo"):
+        assert htmltext.main_text("some text" + tail) == "some text"
+    assert htmltext.main_text("a <![foo bar]> b <![if IE]> c <![endif]><![CDATA[x]]> d") == "a b c d"
+    assert htmltext.main_text("a < b & c <3") == "a < b & c <3"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from("<div> </div> <p> <article> </article> <li> <ul> </ul> <b> </b> <header> <h1> </h1> <td> <dt> <dd> <![x <![x]> <!- <!-- --> <? > </ < <script> </script> <main> <body> </p> <hr> <br/> <nav> </nav> <form> <div\tclass=ad> &amp &#x41; &#0; &".split()), st.text(max_size=12)), max_size=60))
+def test_any_markup(parts):
+    page = "".join(p.replace("\t", " ") for p in parts)
+    got = htmltext.main_text(page)
+    assert got == "\n".join(" ".join(line.split()) for line in got.split("\n"))
+
+
+def test_deep_nesting_is_linear():
+    n = 100_000
+    for page in ("<div>x" * n, "<div class=ad>x" * n, "<b>" * n + "<div></div>" * n + "x", "<div>" * n + "</section>" * n + "x", "<span><div>" + "<b>" * n + "</span>" * n + "x", "<article><header><h1>x" * n, "<li>x" * n, "<div class=comments><h1>y" * n):
+        began = time.perf_counter()
+        htmltext.main_text(page)
+        assert time.perf_counter() - began < 5, page[:20]
+
+
 LONG = "A long sentence of prose that goes on for a good while, so its ratio of text to tags is high. "
 PAGE = f"""<html><body class="has-sidebar"><header><a href=/>Site</a></header><div class="cookie-notice">We use cookies</div>
 <ul><li><a>One</a><li><a>Two</a></ul><div id=content><h2>Title &amp; more</h2><p>{LONG}</p><p>Short.</p><p>{LONG}<form><input>Find</form>
