@@ -53,8 +53,9 @@ def test_names_are_whole():
 
 
 def test_each_of_several_articles():
-    page = f"<nav>n</nav><div><article><p>a {LONG * 9}</p></article><p>x</p><article><p>b {LONG * 9}</p></article></div>"
-    assert htmltext.main_text(page) == f"a {(LONG * 9).strip()}\nb {(LONG * 9).strip()}"
+    page = f"<nav>n</nav><div><article><p>a {LONG}</p><p>{LONG}</p></article><p>x</p><article><p>b {LONG}</p><p>{LONG}</p></article></div>"
+    line = LONG.strip()
+    assert htmltext.main_text(page) == f"a {line}\n{line}\nb {line}\n{line}"
 
 
 def test_markup_that_is_cut_or_unknown():
@@ -73,7 +74,7 @@ def test_any_markup(parts):
 
 
 def test_deep_nesting_is_linear():
-    n = 100_000
+    n = 50_000
     for page in ("<div>x" * n, "<div class=ad>x" * n, "<b>" * n + "<div></div>" * n + "x", "<div>" * n + "</section>" * n + "x", "<span><div>" + "<b>" * n + "</span>" * n + "x", "<article><header><h1>x" * n, "<li>x" * n, "<div class=comments><h1>y" * n):
         began = time.perf_counter()
         htmltext.main_text(page)
