@@ -1,9 +1,10 @@
 """Byte-level BPE by monoid tree reduction.
 
 The encodings of byte strings form a monoid under *join*: the encoding of two
-neighbours put together. A piece (one match of the pattern) is encoded by halves,
-recursively, and the halves are joined. A join re-encodes a window of tokens around
-the boundary and widens it until the tokens outside are proved stable.
+neighbours put together. A piece (one match of the pattern) is cut into halves,
+recursively, down to single bytes, and the halves are joined on the way up. A join
+re-encodes a window of tokens around the boundary, merging its bytes by ranks, and
+widens it until the tokens outside are proved stable.
 
 Proof used. Write enc for the merging by ranks. A token row is the encoding of its
 bytes if and only if each two neighbours a, b in it are: enc(ab) = [a, b]. (Merging
@@ -14,28 +15,37 @@ rest is right, whatever its length. Every token must be the encoding of its own
 bytes; ``TreeBPE`` checks that of the vocabulary.
 
 A document is the same tree one level up: matches of the pattern are encoded on
-their own, so joins between them are plain concatenation. Decoding concatenates
-tokens' bytes, which is a monoid as it is.
+their own, so joins between them are plain concatenation. Decoding is a tree too:
+tokens' bytes are joined pair by pair, level by level, until one string is left.
 
-Leaves, at most LEAF bytes, are merged by the tiktoken library.
+Windows of a usual piece are a few bytes. Results of short pieces, and of pairs that
+were asked for, are remembered in tables of bounded size.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .session import bounded_batches
 from .textbatch import Pool, WordTable, arrow_batches, bpe_units, spread, sums, text_bytes
 
-LEAF = 24
+#: Windows of over so many bytes are merged with a heap.
+LONG = 256
+NONE = 1 << 60
+#: Pieces of up to so many bytes, and pairs of tokens, whose results are remembered; how many of each.
+SHORT = 16
+REMEMBERED = 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,70 +54,107 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class TreeBPE:
-    """Encodes pieces; ``leaf`` gives the ids of a short byte string."""
+    """Encodes pieces of text by ranks. Every single byte must have one."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: Callable[[bytes], list[int]] | None = None) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
-        import tiktoken
 
         self.ranks = ranks
         self.bytes = {v: k for k, v in ranks.items()}
         self.matches = regex.compile(pattern).findall
-        self.leaf = leaf or tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.stable = lru_cache(1 << 16)(self._stable)
-        self.whole = {t for t in ranks if self._merge(t) != [t]}  # tokens that merging never makes: none in usual vocabularies
-
-    def _merge(self, piece: bytes) -> list[bytes]:
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            k = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[k] + parts[k + 1] not in self.ranks:
-                break
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
-
-    def _encode(self, piece: bytes) -> list[int]:
-        """By merging alone, also where the piece is a token that merging never makes."""
-        if self.whole and piece in self.whole:
-            return [self.ranks[p] for p in self._merge(piece)]
-        return self.leaf(piece)
+        self.single = [[ranks[bytes((b,))]] for b in range(256)]
+        self.stable = lru_cache(REMEMBERED)(self._stable)
+        self.short = lru_cache(REMEMBERED)(self._halves)
+        self.whole = {t for t in ranks if len(self._merge_short(t)) > 1}  # tokens that merging never makes: none in usual vocabularies
+
+    def merge(self, piece: bytes) -> list[int]:
+        """A window's encoding: of all neighbours that make a token the least rank merges first, the leftmost of equals."""
+        known = self.ranks.get(piece)
+        if known is not None and piece not in self.whole:
+            return [known]  # a token is the encoding of its own bytes
+        return self._merge_long(piece) if len(piece) > LONG else self._merge_short(piece)
+
+    def _merge_short(self, piece: bytes) -> list[int]:
+        rank = self.ranks.get
+        cut = list(range(len(piece) + 1))
+        pair = [rank(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]  # of the parts at and behind each cut
+        while pair and (least := min(pair)) != NONE:
+            i = pair.index(least)
+            del cut[i + 1], pair[i]
+            if i < len(pair):
+                pair[i] = rank(piece[cut[i] : cut[i + 2]], NONE)
+            if i:
+                pair[i - 1] = rank(piece[cut[i - 1] : cut[i + 1]], NONE)
+        return [self.ranks[piece[a:b]] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """The same with a heap, for time that is not quadratic."""
+        rank, n = self.ranks.get, len(piece)
+        end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        waiting = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapify(waiting)
+        while waiting:
+            _, i, stop = heappop(waiting)
+            j = end[i]
+            if not alive[i] or j >= n or end[j] != stop:
+                continue  # one of the two has been merged since
+            end[i], alive[j] = stop, False
+            if stop < n:
+                before[stop] = i
+                if (r := rank(piece[i : end[stop]])) is not None:
+                    heappush(waiting, (r, i, end[stop]))
+            if (k := before[i]) >= 0 and (r := rank(piece[k:stop])) is not None:
+                heappush(waiting, (r, k, stop))
+        return [self.ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
     def _stable(self, a: int, b: int) -> bool:
-        return self._encode(self.bytes[a] + self.bytes[b]) == [a, b]
+        return self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
+        """The encoding of two encodings' bytes put together."""
         if not left or not right or self.stable(left[-1], right[0]):
             return left + right
         width = 1
         while True:
             i, j = max(0, len(left) - width), min(len(right), width)
-            window = self._encode(b"".join(map(self.bytes.__getitem__, left[i:] + right[:j])))
+            window = self.merge(b"".join(map(self.bytes.__getitem__, left[i:] + right[:j])))
             if (i == 0 or self.stable(left[i - 1], window[0])) and (j == len(right) or self.stable(window[-1], right[j])):
                 return left[:i] + window + right[j:]
             width *= 2
 
     def tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= LEAF:
-            return self._encode(piece) if piece else []
+        """The encoding of a byte string by halves."""
+        return self.short(piece) if len(piece) <= SHORT else self._halves(piece)
+
+    def _halves(self, piece: bytes) -> list[int]:
+        if len(piece) < 2:
+            return self.single[piece[0]] if piece else []
         half = len(piece) // 2
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
     def piece(self, piece: bytes) -> list[int]:
-        """One match of the pattern; one that is a token as a whole is that token."""
-        rank = self.ranks.get(piece)
-        return [rank] if rank is not None else self.tree(piece)
+        """One match of the pattern; one that is a token which merging never makes is that token."""
+        return [self.ranks[piece]] if piece in self.whole else self.tree(piece)
 
     def text(self, text: str) -> list[int]:
         return [i for m in self.matches(text) for i in self.piece(m.encode())]
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return joined(list(map(self.bytes.__getitem__, ids)))
+
+
+def joined(parts: list[bytes]) -> bytes:
+    """Strings put together pair by pair, level by level."""
+    while len(parts) > 1:
+        last = parts[-1:] if len(parts) % 2 else []
+        parts = [*map(add, parts[::2], parts[1::2]), *last]
+    return parts[0] if parts else b""
 
 
 class DocumentEncoder:
     """TreeBPE over batches: each distinct unit (see bpe_units) once while it stays in a bounded table."""
 
-    def __init__(self, ranks_path: str, pattern: str, capacity: int = 1 << 18) -> None:
+    def __init__(self, ranks_path: str, pattern: str, capacity: int = 1 << 19) -> None:
         self.bpe = TreeBPE(load_ranks(ranks_path), pattern)
         self.pool = Pool(np.int32)
         self.joined: list[bytes] = []  # each unit's ids in decimal
@@ -148,7 +195,7 @@ class DocumentEncoder:
         return ids, per, digits
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(self.token_bytes[ids].tolist())
+        return joined(self.token_bytes[ids].tolist())
 
 
 _encoders: dict[tuple[str, str], DocumentEncoder] = {}
@@ -166,10 +213,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """doc_id, n_tokens, ids_sha256 (of the decimal ids, comma-joined), decoded_sha256 (of the
     bytes that the ids decode to) and, if asked for, ids. One pass, no shuffle.
 
-    A null text is empty; an empty text has no ids. Rows that repeat an id stay.
+    A null text is empty; an empty text has no ids. Ids may be of any type; rows that
+    repeat an id, or have none, stay.
     """
     bounded_batches(docs.sparkSession)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(ranks_path, pattern)
@@ -187,13 +235,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 out["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], end]).astype(np.int32), pa.array(ids))
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with a binary column ``decoded``: the bytes of each row's ids (null: null)."""
-    from pyspark.sql import types as T
-
     bounded_batches(encoded.sparkSession)
     schema = T.StructType([*(f for f in encoded.schema if f.name != "decoded"), T.StructField("decoded", T.BinaryType())])
 

@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import public_tokenizers
 import pytest
@@ -34,17 +35,39 @@ def test_tree_equals_library(library, text):
     assert t.decode(t.text(text)) == text.encode()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.binary(max_size=200), st.text("abcdeinrst ", max_size=60).map(str.encode)), st.one_of(st.binary(max_size=200), st.text("abcdeinrst ", max_size=60).map(str.encode)))
+def test_join_is_the_encoding_of_both(library, a, b):
+    t = tree()
+    want = library._encode_single_piece(a + b) if a + b else []
+    assert t.join(t.tree(a), t.tree(b)) == t.tree(a + b) == want
+    assert t.decode(want) == a + b
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.binary(max_size=200), st.binary(max_size=200))
-def test_join_is_the_encoding_of_both(a, b):
+@given(st.one_of(st.binary(max_size=120), st.text("aeinrst ", max_size=120).map(str.encode)))
+def test_both_ways_to_merge(piece):
     t = tree()
-    assert t.join(t.tree(a), t.tree(b)) == t.tree(a + b)
-    small = bpe.LEAF
-    try:
-        bpe.LEAF = 1  # down to single bytes
-        assert t.tree(a + b) == t.leaf(a + b) if a + b else True
-    finally:
-        bpe.LEAF = small
+    if piece:
+        assert t._merge_short(piece) == t._merge_long(piece) == t.merge(piece)
+
+
+def test_long_pieces(library):
+    for text in ("x" * 50_000, "ab" * 20_000, "qwertz" * 5_000, "\u4e00" * 9_000, "=" * 9_001):
+        assert tree().text(text) == library.encode_ordinary(text)
+
+
+def test_a_token_that_merging_never_makes():
+    ranks = {bytes((b,)): b for b in range(256)} | {b"abc": 256, b"bc": 257, b"xyz": 258}  # x y z has no pair to begin with
+    t = bpe.TreeBPE(ranks, r"[a-z]+")
+    own = tiktoken.Encoding("own", pat_str=r"[a-z]+", mergeable_ranks=ranks, special_tokens={})
+    for text in ("abc", "xyz", "axyz", "xyzabcxyz", "abcabc"):
+        assert t.text(text) == own.encode_ordinary(text)
+
+
+def test_no_library_does_the_work():
+    folder = os.path.dirname(bpe.__file__)
+    assert not any("tiktoken" in line and "import" in line for name in os.listdir(folder) if name.endswith(".py") for line in open(os.path.join(folder, name)))
 
 
 def digest(library, i, text):
@@ -64,3 +87,8 @@ def test_odd_rows_and_decoding(spark, library, odd_docs):
     back = bpe.decode(got, PATH, PATTERN).collect()
     assert sorted(bytes(r.decoded) for r in back) == sorted((t or "").encode() for _, t in ODD_TEXTS)
     assert bpe.encode(odd_docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "x y"), (None, None)], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.n_tokens) for r in bpe.encode(docs, PATH, PATTERN).collect()) == [("", 0), ("a", 2)]
