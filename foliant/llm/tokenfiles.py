@@ -14,8 +14,9 @@ next word, of selector 14, the high ones. A block's last word may have room left
 
 A file set is a folder of Parquet files, written by Spark's committer (a retried
 task leaves no double), one row per segment:
-part and segment (their order), inside (ids of the part before it), doc_ids (int64), lengths (uint32: ids of each
-document), offsets (uint32) and words (uint64), all little-endian bytes. Rows in
+part and segment (their order), inside (ids of the part before it), n_ids, doc_ids
+(an array, of whatever type the ids have), lengths (uint32: ids of each document),
+offsets (uint32) and words (uint64), the last three as little-endian bytes. Rows in
 order of (part, segment) hold documents in ascending order of id.
 """
 
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +43,6 @@ BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 ESCAPE = 15
 END_ID = 2
 
-SEGMENTS = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("segment", T.IntegerType()), ("inside", T.LongType()), ("n_ids", T.LongType()), ("doc_ids", T.BinaryType()), ("lengths", T.BinaryType()), ("offsets", T.BinaryType()), ("words", T.BinaryType()))])
-
-
 def bit_length(x: np.ndarray) -> np.ndarray:
     """How many bits each unsigned number has; floats are exact for either half."""
     high = x >> np.uint64(32)
@@ -136,8 +135,8 @@ class LibraryEncoder:
     """Ids of whole texts as the tokenizers library gives them.
 
     Regular texts are split into units (see bpe_units); each distinct unit goes
-    through the library once while it stays in a bounded table. Other texts go
-    through it whole. Units go end to end, many to a call: no token crosses a unit's
+    through the library once while it stays in a bounded table. Other texts, and those
+    that hold a string which the tokenizer adds as a token, go through it whole. Units go end to end, many to a call: no token crosses a unit's
     start, so the bytes of the tokens tell which are whose.
     """
 
@@ -148,7 +147,7 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pool = Pool(np.uint32)
         self.table = WordTable(self._fill, capacity)
         vocabulary = self.tokenizer.get_vocab()
@@ -178,6 +177,11 @@ class LibraryEncoder:
             self.pool.clear()
         buf, offsets = text_bytes(col)
         starts, ends, units, regular = bpe_units(buf, offsets)
+        if added := [np.asarray(pc.fill_null(pc.match_substring(col, a), False)) for a in self.added]:
+            holds = np.logical_or.reduce(added)
+            if holds.any():
+                starts, ends = (x[np.repeat(~holds, units)] for x in (starts, ends))
+                units, regular = np.where(holds, 0, units), regular & ~holds
         ids, count = self.pool.gather(self.table.ids(buf, starts, ends))
         per = sums(count, units)
         odd = np.flatnonzero(~regular)
@@ -202,29 +206,22 @@ def encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
-def range_bounds(docs: DataFrame, id_col: str, partitions: int) -> list[int]:
-    """Ids that part the documents evenly into ``partitions`` ranges; reads the id column alone."""
-    if partitions < 2:
-        return []
-    at = docs.agg(F.percentile_approx(id_col, [k / partitions for k in range(1, partitions)], 10_000)).first()[0]
-    return sorted(set(at or []))
-
-
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encode every text and write the file set, in ascending id order.
 
     Nulls: a null text is empty and yields the end id alone; a null id sorts
-    first. Repeated ids keep all their rows, side by side. The one shuffle moves
-    the texts into id ranges; each task sorts its range and codes it batch by batch.
+    first. Repeated ids keep all their rows, side by side, by a hash of their text and
+    then as they were read; so one id, or one row, that a third of the table repeats
+    is spread over ranges like any others. The one shuffle moves the texts into
+    ranges of (id, hash, row); each task sorts its range and codes it batch by batch.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bounds = range_bounds(docs, "doc_id", n)
-    # bounds are few and sorted: the number of them at or below the id is the range
-    part = F.coalesce(F.expr(f"aggregate(array({','.join(f'{b}L' for b in bounds)}), 0, (n, b) -> n + if(doc_id >= b, 1, 0))"), F.lit(0)) if bounds else F.lit(0)
-    parted = docs.withColumn("part", part).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    id_type = docs.schema[id_col].dataType
+    keys = [F.col("doc_id").asc_nulls_first(), "hash", "row"]
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    parted = docs.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, inside = encoder(tokenizer), 0
@@ -235,17 +232,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             whole[spread(np.cumsum(length) - length, count)] = ids
             words, offsets = pack(whole)
             doc_ids = batch.column("doc_id")
-            known = np.asarray(doc_ids.fill_null(NULL_ID), np.int64)
-            yield pa.RecordBatch.from_pydict({"part": [batch.column("part")[0].as_py()], "segment": [k], "inside": [inside], "n_ids": [len(whole)], "doc_ids": [known.tobytes()], "lengths": [length.astype(np.uint32).tobytes()], "offsets": [offsets.tobytes()], "words": [words.tobytes()]}, schema=_ARROW)
+            numbers = {"part": batch.column("part").slice(0, 1), "segment": pa.array([k], pa.int32()), "inside": pa.array([inside], pa.int64()), "n_ids": pa.array([len(whole)], pa.int64())}
+            coded = {name: pa.array([x.tobytes()], pa.binary()) for name, x in (("lengths", length.astype(np.uint32)), ("offsets", offsets), ("words", words))}
+            yield pa.RecordBatch.from_pydict({**numbers, "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), **coded})
             inside += len(whole)
 
-    parted.mapInArrow(code, SEGMENTS).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    parted.mapInArrow(code, segment_schema(id_type)).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-#: Stands for a null id inside a segment.
-NULL_ID = -(1 << 63)
-_ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("inside", pa.int64()), ("n_ids", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "lengths", "offsets", "words"))])
-DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
+def segment_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("segment", T.IntegerType()), ("inside", T.LongType()), ("n_ids", T.LongType()), ("doc_ids", T.ArrayType(id_type)), ("lengths", T.BinaryType()), ("offsets", T.BinaryType()), ("words", T.BinaryType()))])
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -255,7 +251,7 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     each range of ids that was written, are summed up and joined back; the coded words
     stay where they are.
     """
-    rows = spark.read.schema(SEGMENTS).parquet(path)
+    rows = spark.read.parquet(path)
     base, sofar = [], 0
     for row in sorted(rows.groupBy("part").agg(F.sum("n_ids").alias("all_ids")).collect()):
         base.append((row.part, sofar))
@@ -266,33 +262,35 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Decode a file set: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
-    schema = DECODED + (", ids array<int>" if with_ids else "")
+    bounded_batches(spark)
+    rows = segments(spark, path)
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_ids"].dataType.elementType), *(T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32"))])
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.LongType()))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches, 1):  # a row is a whole segment here
-            for row in batch.to_pylist():
-                length = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
-                ids = unpack(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["offsets"], np.uint32), row["n_ids"]).astype("<u4")
-                end = np.cumsum(length)
-                raw = memoryview(ids.tobytes())
-                doc_ids = np.frombuffer(row["doc_ids"], np.int64)
-                out = {
-                    "doc_id": pa.array(doc_ids, mask=doc_ids == NULL_ID),
-                    "start": pa.array(row["start"] + end - length),
-                    "n_tokens": pa.array(length),
-                    "ids_crc32": pa.array([zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(end.tolist(), length.tolist(), strict=True)], pa.int64()),
-                }
-                if with_ids:
-                    out["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], end]).astype(np.int32), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_pydict(out)
-
-    bounded_batches(spark)
-    return segments(spark, path).select("start", "n_ids", "doc_ids", "lengths", "offsets", "words").mapInArrow(decode, schema)
-
-
-def encode_files(docs: DataFrame, tokenizer: str, path: str | None = None, **named: object) -> DataFrame:
+            start, n_ids, lengths, offsets, words = (batch.column(c)[0].as_py() for c in ("start", "n_ids", "lengths", "offsets", "words"))
+            length = np.frombuffer(lengths, np.uint32).astype(np.int64)
+            ids = unpack(np.frombuffer(words, np.uint64), np.frombuffer(offsets, np.uint32), n_ids)
+            end = np.cumsum(length)
+            raw = memoryview(ids.astype("<u4").tobytes())
+            out = {
+                "doc_id": batch.column("doc_ids")[0].values,
+                "start": pa.array(start + end - length),
+                "n_tokens": pa.array(length),
+                "ids_crc32": pa.array([zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(end.tolist(), length.tolist(), strict=True)], pa.int64()),
+            }
+            if with_ids:
+                out["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], end]).astype(np.int32), pa.array(ids.astype(np.int64)))
+            yield pa.RecordBatch.from_pydict(out)
+
+    return rows.select("start", "n_ids", "doc_ids", "lengths", "offsets", "words").mapInArrow(decode, schema)
+
+
+def encode_files(docs: DataFrame, tokenizer: str, path: str | None = None, with_ids: bool = False, **named: object) -> DataFrame:
     """Write ``docs`` as a file set in the shared folder (or ``path``) and read it back."""
     spark = docs.sparkSession
     path = path or fresh_path(spark, "token-ids")
     write(docs, path, tokenizer, **named)
-    return read(spark, path)
+    return read(spark, path, with_ids)
