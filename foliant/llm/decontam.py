@@ -9,7 +9,9 @@ are hit; documents over the coverage limit are contaminated, and spans can be cu
 
 The items are handled in shards of bounded size, each one automaton that is
 sent to the tasks; the documents pass the shards one behind the other without a
-shuffle, so neither side ever meets the other in a join. Usual benchmarks are one shard.
+shuffle, so neither side ever meets the other in a join. Usual benchmarks are one
+shard. A long item is cut into chunks that overlap by a window less one word, so no
+window is lost and no shard is larger than its bound by more than one chunk.
 
 Nulls and empty texts have no words and are never hit. Items with no words
 occur nowhere; rows that repeat an item_id count as one item. Items with a null id
@@ -19,7 +21,7 @@ are hit like any other and count as one item together; the digest of ids leaves
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,12 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import free_name, fresh_path, bounded_batches
-from .textbatch import WordTable, arrow_batches, fold_ascii, plain_words, text_bytes
+from .session import bounded_batches, discard, free_name, held, room_for, written
+from .textbatch import WordTable, arrow_batches, fold_ascii, plain_words, runs, text_bytes
 
 WINDOW = 13
-#: Bytes of item text in one automaton at most (some hundred bytes of memory for each).
-SHARD_BYTES = 400_000
+#: Bytes of item text in one automaton (about a hundred bytes of a worker's memory for each), and words in a chunk of an item.
+SHARD_BYTES = 1_000_000
+CHUNK = 1000
 #: Contaminated if at least one in so many words is hit.
 COVERAGE = 20
 
@@ -92,14 +95,15 @@ class Automaton:
             last = 0
             for w in words:
                 last = self._extend(last, w)
+        self.holder = self._holders()
         self.of_window: dict[int, set] = {}
         self.whole: dict[int, dict[int, set]] = {}
         for item, words in sequences:
             s = 0
             for w in words:
                 s = self.next[s][w]
-                if self.length[s] >= self.window and (at := self.holder(s)) >= 0:
-                    self.of_window.setdefault(at, set()).add(item)
+                if self.length[s] >= self.window:
+                    self.of_window.setdefault(self.holder[s], set()).add(item)
             if words and len(words) < self.window:
                 self.whole.setdefault(s, {}).setdefault(len(words), set()).add(item)
         # the nearest state on the way to the root, itself included, at which a short item ends
@@ -108,18 +112,20 @@ class Automaton:
             self.short[s] = s if s in self.whole else self.short[self.link[s]] if s else -1
         return self
 
-    def holder(self, s: int) -> int:
-        """The state of the last ``window`` words of the runs of s."""
-        while self.length[self.link[s]] >= self.window:
-            s = self.link[s]
-        return s
+    def _holders(self) -> list[int]:
+        """For each state of runs of ``window`` words or more, the state of their last ``window`` words."""
+        out = list(range(len(self.link)))
+        for s in sorted(out, key=self.length.__getitem__)[1:]:
+            if self.length[self.link[s]] >= self.window:
+                out[s] = out[self.link[s]]
+        return out
 
     def stream(self, words: list[int]) -> tuple[list[tuple[int, int]], set]:
         """Occurrences as (first, end) word positions, and the items that occur."""
         s = n = 0
         found: list[tuple[int, int]] = []
-        items: set = set()
-        move, link, length, window, short = self.next, self.link, self.length, self.window, self.short
+        items, held = set(), set()
+        move, link, length, window, short, holder = self.next, self.link, self.length, self.window, self.short, self.holder
         for k, w in enumerate(words, 1):
             while s and w not in move[s]:
                 s = link[s]
@@ -129,16 +135,19 @@ class Automaton:
             s = move[s][w]
             n += 1
             if n >= window:
-                found.append((k - window, k))
-                items |= self.of_window[self.holder(s)]
+                if found and found[-1][1] == k - 1:
+                    found[-1] = found[-1][0], k
+                else:
+                    found.append((k - window, k))
+                held.add(holder[s])
             t = short[s]
-            while t > 0:
+            while t > 0:  # at most one state for each length under the window
                 for size, whole in self.whole[t].items():
                     if size <= n:
                         found.append((k - size, k))
                         items |= whole
                 t = short[link[t]]
-        return found, items
+        return found, items.union(*(self.of_window[h] for h in held))
 
 
 @dataclass
@@ -156,15 +165,34 @@ def make_shard(rows: list[tuple[str | None, list[bytes]]], window: int) -> Shard
     return Shard(list(vocabulary), Automaton(window).build(sequences), min(window, *(len(w) for _, w in sequences)))
 
 
+def chunks(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, words): normalised words of every item, end to end with blanks; long items in overlapping rows."""
+    step = max(CHUNK, 2 * window) - window + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_batches(batches):
+            items, rows = [], []
+            for item, words in zip(batch.column("item").to_pylist(), item_words(batch.column("text")), strict=True):
+                for k in range(0, max(1, len(words) - window + 1), step) if words else ():
+                    items.append(item)
+                    rows.append(b" ".join(words[k : k + step + window - 1]))
+            yield pa.RecordBatch.from_pydict({"item": pa.array(items, pa.string()), "words": pa.array(rows, pa.binary()).cast(pa.string())})
+
+    bounded_batches(benchmark.sparkSession)
+    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(cut, "item string, words string").distinct()
+
+
 def shards(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Iterator[Shard]:
-    """The items' automata, one for about ``shard_bytes`` of text each."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-size // shard_bytes)
-    for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).collect()
-        if made := make_shard(list(zip([r.item for r in rows], item_words(pa.array([r.text for r in rows], pa.string())), strict=True)), window):
-            yield made
+    """The items' automata, one for each ``shard_bytes`` of text. The driver holds one partition of chunks and one shard at a time."""
+    rows, size = [], 0
+    for r in chunks(benchmark, window, item_col, text_col).toLocalIterator():
+        if size + len(r.words) > shard_bytes and rows:
+            yield make_shard(rows, window)
+            rows, size = [], 0
+        rows.append((r.item, r.words.encode().split(b" ")))
+        size += len(r.words)
+    if rows:
+        yield make_shard(rows, window)
 
 
 HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.LongType())), T.StructField("hit_bytes", T.ArrayType(T.LongType())), T.StructField("hit_items", T.ArrayType(T.StringType()))])
@@ -182,7 +210,7 @@ def scan(batch: pa.RecordBatch, text_col: str, shard: Shard, table: WordTable) -
     starts, ends, count = plain_words(buf, offsets)
     ids = table.ids(buf, starts, ends, add=False)
     first = np.concatenate([[0], np.cumsum(count)])
-    begin, end, _ = runs_of(ids >= 0, first)
+    begin, end, _ = runs(ids >= 0, first)
     out: dict[int, tuple[set, set]] = {}
     for i, j in zip(*(x[end - begin >= shard.least].tolist() for x in (begin, end)), strict=True):
         found, items = shard.automaton.stream(ids[i:j].tolist())
@@ -207,54 +235,63 @@ def in_order(items: set[str | None]) -> list[str | None]:
     return sorted(items, key=lambda x: (x is None, x or ""))
 
 
-def runs_of(mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    from .textbatch import runs
+def table_of(shard: Shard) -> WordTable:
+    """The shard's words, with the automaton's numbers."""
+    table = WordTable(None)
+    if shard.vocabulary:
+        buf, offsets = text_bytes(pa.array([w.decode() for w in shard.vocabulary], pa.string()))
+        back = np.zeros(len(shard.vocabulary) + 1, np.int64)  # the table numbers words in an order of its own
+        back[table.ids(buf, offsets[:-1], offsets[1:])] = np.arange(len(shard.vocabulary))
+        table.id = back[table.id].astype(np.int32)
+        table.long = {w: int(back[k]) for w, k in table.long.items()}
+    return table
 
-    return runs(mask, first)
 
-
-def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, name: str = "__hits", **named: object) -> DataFrame:
-    """``docs`` with a struct column ``name``, all items taken together. No shuffle.
+def passes(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, name: str, finish: Callable[[pa.RecordBatch, dict[str, list]], pa.RecordBatch], schema: T.StructType, **named: object) -> DataFrame:
+    """``docs`` through all shards; ``finish`` makes rows of ``schema`` of a batch and its hits, in the last pass.
 
     A task holds one automaton, in one Python worker: between two shards the rows are
-    written in the shared folder and read again.
+    written in the shared folder and read again, and what was read before is deleted.
     """
-    spark = docs.sparkSession
+    spark, before = docs.sparkSession, held()
     bounded_batches(spark)
-    schema = T.StructType([*docs.schema, T.StructField(name, HITS)])
     out = docs
-    for number, shard in enumerate(either(shards(benchmark, window, **named), Shard([], Automaton(window).build([]), window))):
-        if number:
-            path = fresh_path(spark, "decontam-hits")
-            out.write.parquet(path)
-            out = spark.read.parquet(path)
+    found = either(shards(benchmark, window, **named), Shard([], Automaton(window).build([]), window))
+    shard, number = next(found), 0
+    while shard is not None:
+        following = next(found, None)
         sent = spark.sparkContext.broadcast(shard)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=number == 0, last=following is None) -> Iterator[pa.RecordBatch]:
             shard = sent.value
-            table = WordTable(None)
-            if shard.vocabulary:
-                words = pa.array([w.decode() for w in shard.vocabulary], pa.string())
-                buf, offsets = text_bytes(words)
-                # ids follow the table's own order; the automaton's are put behind them
-                back = np.zeros(len(words) + 1, np.int64)
-                got = table.ids(buf, offsets[:-1], offsets[1:])
-                back[got] = np.arange(len(words))
-                table.id = back[table.id].astype(np.int32)
-                table.long = {w: int(back[k]) for w, k in table.long.items()}
+            table = table_of(shard)
             for batch in arrow_batches(batches):
                 new = scan(batch, text_col, shard, table)
-                if name in batch.schema.names:
+                if not first:
                     k = batch.schema.get_field_index(name)
                     new = merge(batch.column(k).to_pylist(), new)
                     batch = batch.remove_column(k)
-                hits = pa.StructArray.from_arrays([pa.array(new[f.name], f.type) for f in _HITS], fields=list(_HITS))
-                yield batch.append_column(name, hits)
-
-        out = out.mapInArrow(run, schema)
+                yield finish(batch, new) if last else batch.append_column(name, hits_array(new))
+
+        out = out.mapInArrow(run, schema if following is None else T.StructType([*docs.schema, T.StructField(name, HITS)]))
+        if following is not None:
+            out = written(out, "decontam-hits")
+            discard(spark, before, but=1)
+            sent.unpersist()
+        shard, number = following, number + 1
     return out
 
 
+def hits_array(hits: dict[str, list]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(hits[f.name], f.type) for f in _HITS], fields=list(_HITS))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, name: str | None = None, **named: object) -> DataFrame:
+    """``docs`` with one more column, the last, of what is hit; by default its name is a free one like ``hits``. No shuffle."""
+    docs, name = room_for(docs, name, "hits")
+    return passes(docs, benchmark, text_col, window, name, lambda batch, hits: batch.append_column(name, hits_array(hits)), T.StructType([*docs.schema, T.StructField(name, HITS)]), **named)
+
+
 def either(found: Iterator[Shard], otherwise: Shard) -> Iterator[Shard]:
     """What is found, one at a time, or ``otherwise`` if nothing is."""
     first = next(found, otherwise)
@@ -273,52 +310,58 @@ def merge(old: list[dict], new: dict[str, list]) -> dict[str, list]:
     return new
 
 
-def contaminated(coverage: int = COVERAGE, name: str = "__hits") -> Column:
+def contaminated(coverage: int = COVERAGE, name: str = "hits") -> Column:
     hit = F.size(f"{name}.hit_words")
     return (hit > 0) & (coverage * hit >= F.col(f"{name}.n_words"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: int = COVERAGE, **named: object) -> DataFrame:
     """A row per document: words, words hit, items, their digest and the verdict."""
-    found = find_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, "text", **named)
-    items = F.array_sort("__hits.hit_items")
-    return found.select("doc_id", F.col("__hits.n_words").alias("n_words"), F.size("__hits.hit_words").cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), contaminated(coverage).alias("contaminated"))
-
-
-@F.pandas_udf(T.StringType())
-def _cut(text, spans):
-    """Text without its byte ranges; words that touch go together with what parts them."""
-    import pandas as pd
-
-    def one(t: str | None, s) -> str | None:
-        if t is None or s is None or not len(s):
-            return t
-        raw, out, at, k = t.encode(), b"", 0, 0
-        while k < len(s):
-            i, j = s[k], s[k + 1]
-            while k + 2 < len(s) and not _has_word(raw[j : s[k + 2]]):
-                k += 2
-                j = s[k + 1]
-            out, at, k = out + raw[at:i], j, k + 2
-        return (out + raw[at:]).decode()
-
-    return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+    found = find_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, "text", name="hits", **named)
+    items = F.array_sort("hits.hit_items")
+    return found.select("doc_id", F.col("hits.n_words").alias("n_words"), F.size("hits.hit_words").cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), contaminated(coverage).alias("contaminated"))
+
+
+def without(text: str | None, spans: list[int]) -> str | None:
+    """The text without its byte ranges; words that touch go together with what parts them."""
+    if text is None or not spans:
+        return text
+    raw, out, at, k = text.encode(), [], 0, 0
+    while k < len(spans):
+        i, j = spans[k], spans[k + 1]
+        while k + 2 < len(spans) and not _has_word(raw[j : spans[k + 2]]):
+            k += 2
+            j = spans[k + 1]
+        out.append(raw[at:i])
+        at, k = j, k + 2
+    return b"".join([*out, raw[at:]]).decode()
 
 
 def _has_word(raw: bytes) -> bool:
     return any(b >= 128 or chr(b).isalnum() for b in raw)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", action: str = "drop", coverage: int = COVERAGE, **named: object) -> DataFrame:
-    """``docs`` without contamination, columns as they are.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", action: str = "drop", coverage: int = COVERAGE, window: int = WINDOW, **named: object) -> DataFrame:
+    """``docs`` without contamination, columns as they are, done in the pass that finds it.
 
     action "drop" leaves out contaminated documents; "cut" keeps every document
     and removes the spans that are hit from the contaminated ones; "cut_all"
     removes them wherever they are, as the length limit alone asks.
     """
-    name = free_name(docs, "__hits")
-    found = find_hits(docs, benchmark, text_col, name=name, **named)
-    if action == "drop":
-        return found.where(~contaminated(coverage, name)).drop(name)
-    spans = F.when(F.lit(action == "cut_all") | contaminated(coverage, name), F.col(f"{name}.hit_bytes"))
-    return found.withColumn(text_col, _cut(F.col(text_col), spans)).drop(name)
+    if action not in ("drop", "cut", "cut_all"):
+        raise ValueError(f"unknown action: {action}")
+
+    def finish(batch: pa.RecordBatch, hits: dict[str, list]) -> pa.RecordBatch:
+        n_hit = np.array(list(map(len, hits["hit_words"])), np.int64)
+        bad = (n_hit > 0) & (coverage * n_hit >= np.array(hits["n_words"], np.int64))
+        if action == "drop":
+            return batch if not bad.any() else batch.filter(pa.array(~bad))
+        bad |= (n_hit > 0) & (action == "cut_all")
+        if not bad.any():
+            return batch
+        k = batch.schema.get_field_index(text_col)
+        cut = {row: without(batch.column(k)[row].as_py(), hits["hit_bytes"][row]) for row in np.flatnonzero(bad).tolist()}
+        texts = [cut.get(row, text) for row, text in enumerate(batch.column(k).to_pylist())]
+        return batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+
+    return passes(docs, benchmark, text_col, window, free_name(docs, "hits"), finish, docs.schema, **named)

@@ -40,6 +40,45 @@ def fresh_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
 
 
+#: Folders of intermediate rows that are still there.
+_scratch: list[str] = []
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """Have a folder that was written deleted when the driver ends, or by ``discard`` before."""
+    files, at = _folder(spark, path)
+    files.deleteOnExit(at)
+    _scratch.append(path)
+    return path
+
+
+def written(df: DataFrame, stem: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: a lost executor costs no more than a reread."""
+    spark = df.sparkSession
+    path = fresh_path(spark, stem)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(passing(spark, path))
+
+
+def held() -> int:
+    """How many intermediate folders there are: what ``discard`` should leave."""
+    return len(_scratch)
+
+
+def discard(spark: SparkSession, leave: int = 0, but: int = 0) -> None:
+    """Delete intermediate folders made since ``held`` gave ``leave``, except the newest ``but``."""
+    end = len(_scratch) - but
+    for path in _scratch[leave:end]:
+        files, at = _folder(spark, path)
+        files.delete(at, True)
+    del _scratch[leave:end]
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes: documents may be long.
 
@@ -61,6 +100,11 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def room_for(df: DataFrame, name: str | None, stem: str) -> tuple[DataFrame, str]:
+    """``df`` and the name of a column to add: ``name``, in place of a column of that name, or else a free one like ``stem``."""
+    return (df, free_name(df, stem)) if name is None else (df.drop(name), name)
+
+
 def sample(rows: DataFrame, share: float | Column, *by: str) -> tuple[DataFrame, Column]:
     """About a ``share`` of the rows, even over a hash of the columns ``by``, equal rows once; and the order by which to limit them."""
     at = F.pmod(F.xxhash64(*by), F.lit(1 << 53))

@@ -1,5 +1,7 @@
 import hashlib
+import os
 import re
+import time
 
 import duckdb
 from hypothesis import given, settings
@@ -86,6 +88,49 @@ def test_items_with_a_null_id_are_hit(spark, tmp_path):
     assert not {7, 8} & {r.doc_id for r in decontam.decontaminate(*frames).collect()}
 
 
+def test_one_word_over_and_over_is_linear():
+    began = time.perf_counter()
+    shard = decontam.make_shard([("a", [b"x"] * 40_000)], 13)
+    found, items = shard.automaton.stream([0] * 40_000)
+    assert time.perf_counter() - began < 4
+    assert found == [(0, 40_000)] and items == {"a"}
+
+
+def test_long_items_in_chunks_and_bounded_shards(spark):
+    import random
+
+    rng = random.Random(1)
+    text = " ".join(rng.choice("abcdefg") * rng.randint(1, 3) for _ in range(5000))
+    items = spark.createDataFrame([(1, text), (2, "short one"), (1, text), (3, " ".join(text.split()[:13]))], "item_id long, text string")
+    got = list(decontam.shards(items, shard_bytes=6000))
+    assert len(got) > 2 and all(len(s.automaton.link) < 2 * 4000 for s in got)
+    w = text.split()
+    docs = [(k, "zz " + " ".join(w[k : k + n]) + " zz zz") for k, n in ((0, 13), (980, 30), (985, 13), (988, 13), (1, 12), (4987, 13), (4986, 14), (0, 5000))]
+    want = sorted(brute(docs, [(r.item_id, r.text) for r in items.collect()], 13))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for size in (6000, 1 << 20):
+        assert sorted(map(tuple, decontam.report(frame, items, shard_bytes=size).collect())) == want
+
+
+def test_no_folder_stays_but_the_last(spark):
+    from foliant.llm import session
+
+    docs, items = frames(spark)
+    at = session.shared_dir(spark).removeprefix("file:")
+    before, made = set(os.listdir(at)), session.held()
+    left = decontam.decontaminate(docs, items, shard_bytes=8)
+    assert left.count() and len(set(os.listdir(at)) - before) == 1
+    session.discard(spark, made)
+    assert set(os.listdir(at)) == before
+
+
+def test_names_of_columns_are_free(spark):
+    docs, items = frames(spark)
+    docs = docs.selectExpr("*", "'own' as hits", "array(1) as `__hits`")
+    found = decontam.find_hits(docs, items, shard_bytes=20)
+    assert found.columns == [*docs.columns, "hits_"] and {r.hits for r in found.collect()} == {"own"}
+
+
 def test_drop_and_cut(spark):
     docs, items = frames(spark)
     left = decontam.decontaminate(docs, items)
