@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .features import byte_grams, group_sums
 from .session import bounded_batches
-from .textbatch import SpanHash, arrow_batches, mix, runs, text_bytes, white_words
+from .textbatch import SpanHash, WordTable, arrow_batches, mix, runs, text_bytes, white_words
 
 GRAM = 4
 BITS = 14
@@ -42,8 +42,8 @@ def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def base_counts(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+def base_counts(buf: np.ndarray, offsets: np.ndarray, table: WordTable) -> dict[str, np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text; ``table`` numbers the words."""
     n = int(offsets[-1])
     data, docs = buf[:n], len(offsets) - 1
     starts, ends, count = white_words(buf, offsets)
@@ -52,33 +52,42 @@ def base_counts(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     doc = np.repeat(np.arange(docs), count)
     out = {"n_words": count, "word_chars": per_text(~blank & ((data & 0xC0) != 0x80), offsets), "n_symbols": per_text(_SYMBOL[data], offsets)}
 
-    # three-word windows: equal hashes inside a text are equal windows
-    h = _span_hash(buf, starts, ends)
-    repeat = np.zeros(len(h), bool)
-    if len(h) > 2:
-        g = mix(mix(mix(h[:-2] + np.uint64(1)) + h[1:-1]) + h[2:]) + mix(doc[:-2].astype(np.uint64) + np.uint64(77))
-        g = g[doc[:-2] == doc[2:]]
+    # three-word windows: words get numbers by their bytes, equal numbers in a text are equal windows
+    table.reset_if_full()
+    w = table.ids(buf, starts, ends)
+    repeat = np.zeros(len(w), bool)
+    if len(w) > 2:
         at = np.flatnonzero(doc[:-2] == doc[2:])
-        order = np.argsort(g, kind="stable")
-        same = g[order[1:]] == g[order[:-1]]
-        twice = np.zeros(len(g), bool)
+        keys = (doc[at], w[at], w[at + 1], w[at + 2])
+        h = mix(mix(mix(keys[1].astype(np.uint64) + np.uint64(1)) + keys[2].astype(np.uint64)) + keys[3].astype(np.uint64)) + mix(keys[0].astype(np.uint64) + np.uint64(77))
+        order = np.argsort(h, kind="stable")
+        close = h[order[1:]] == h[order[:-1]]
+        same = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
+        if (close != same).any():  # two windows share a hash: sort by what they are
+            order = np.lexsort(keys[::-1])
+            same = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
+        twice = np.zeros(len(at), bool)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
         for k in range(3):
             repeat[at[twice] + k] = True
     total = np.concatenate([[0], np.cumsum(repeat)])
     out["n_repeat_words"] = total[first + count] - total[first]
 
-    # lines that have a word, by their whole content
+    # lines that have a word, by their whole content: hashes tell which may be equal, bytes which are
     a, b, lines = runs(data != 10, offsets)
     words = np.concatenate([[0], np.cumsum(~blank)])
     doc = np.repeat(np.arange(docs), lines)
     full = words[b] > words[a]
     a, b, doc = a[full], b[full], doc[full]
     key = _span_hash(buf, a, b) + mix(doc.astype(np.uint64) + np.uint64(77))
-    _, once = np.unique(key, return_index=True)
-    again = np.ones(len(key), np.int64)
-    again[once] = 0
-    out["n_dup_lines"] = np.bincount(doc, again, docs).astype(np.int64)
+    _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+    again, seen, raw = np.zeros(docs, np.int64), set(), memoryview(data)
+    for k in np.flatnonzero(size[group] > 1).tolist():
+        line = int(doc[k]), raw[a[k] : b[k]].tobytes()
+        if line in seen:
+            again[line[0]] += 1
+        seen.add(line)
+    out["n_dup_lines"] = again
     return out
 
 
@@ -93,8 +102,10 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     """
     bounded_batches(docs.sparkSession)
     ids = trusted.select(F.col(id_col).alias("id"), F.lit(True).alias("target")).where("id is not null").distinct()
-    # ids grow with the corpus: they meet the texts in one shuffle at every size, and are never broadcast
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "id", "left")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    # ids grow with the corpus: they meet the texts in one shuffle at every size, and are never broadcast. Rows without an
+    # id are never a target and stay where they are; an id that very many rows share is split by the adaptive skew join
+    marked = rows.where("id is not null").join(ids.hint("merge"), "id", "left").unionByName(rows.where("id is null").withColumn("target", F.lit(False)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
@@ -121,9 +132,10 @@ def report(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable(None, 1 << 18)
         for batch in arrow_batches(batches):
             buf, offsets = text_bytes(batch.column("text"))
-            counts = base_counts(buf, offsets)
+            counts = base_counts(buf, offsets, table)
             h, per = byte_grams(buf, offsets, GRAM, BITS)
             mean = group_sums(sent.value[h], per) / np.maximum(per, 1)
             failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])

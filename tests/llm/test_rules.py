@@ -1,10 +1,13 @@
+import math
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from cases import ODD_TEXTS, SF
 from foliant.llm import queries, rules
+from foliant.llm.textbatch import WordTable, text_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,3 +58,65 @@ def test_ratio_is_that_of_counts(spark):
     ratio = rules.ratios(docs, docs.where("doc_id = 1"))
     got = {r.doc_id: r.log_ratio for r in rules.report(docs, ratio).collect()}
     assert got[1] > 0 > got[2]
+
+
+def morse(n):
+    out = "a"
+    for _ in range(n):
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_equal_hashes_are_told_apart(spark, monkeypatch):
+    one = morse(12)
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"{one}\n{other}", f"t {one} y u {other} y", f"{one}\n{other}\n{one}", f"p {one} q p {one} q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratio = np.zeros(1 << rules.BITS)
+    assert rows(rules.report(docs, ratio).collect()) == sorted(((i, *brute(t)) for i, t in enumerate(texts)), key=str)
+    # any hash at all
+    monkeypatch.setattr(rules, "mix", lambda x: x * np.uint64(0))
+    monkeypatch.setattr(rules, "_span_hash", lambda buf, a, b: np.zeros(len(a), np.uint64))
+    many = [*texts, *(t or "" for _, t in ODD_TEXTS), "a b c\nx\na b c\nx a b c"]
+    buf, offsets = text_bytes(pa.array(many))
+    got = rules.base_counts(buf, offsets, WordTable(None))
+    assert list(zip(*(got[c].tolist() for c in rules.COUNTED), strict=True)) == [brute(t)[:5] for t in many]
+
+
+def grams(text):
+    """Hashed 4-byte grams by plain arithmetic."""
+    raw, out = (text or "").encode(), []
+    for k in range(len(raw) - 3):
+        h = 4
+        for b in raw[k : k + 4]:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+        out.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - rules.BITS))
+    return out
+
+
+def test_ratio_and_verdict_by_brute_force(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality == 1}
+    raw, target = Counter(), Counter()
+    for i, t in docs.items():
+        g = grams(t)
+        raw.update(g)
+        if i in good:
+            target.update(g)
+    n = 1 << rules.BITS
+    base = math.log(sum(raw.values()) + n) - math.log(sum(target.values()) + n)
+    ratio = {k: math.log(target[k] + 1) - math.log(raw[k] + 1) + base for k in raw}
+    for r in queries.op9_rules(spark, sf).collect():
+        g = grams(docs[r.doc_id])
+        want = sum(map(ratio.__getitem__, g)) / max(1, len(g))
+        assert abs(r.log_ratio - want) < 1e-9
+        assert r.kept == (not r.base_failed and want >= rules.THRESHOLD) or abs(want - rules.THRESHOLD) < 1e-9
+
+
+def test_null_and_repeated_ids_in_the_ratio(spark):
+    docs = spark.createDataFrame([(1, "abcdefgh"), (1, "ijklmnop"), (None, "qrstuvwx"), (2, None)], "doc_id long, text string")
+    trusted = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
+    ratio = rules.ratios(docs, trusted)
+    up = {t: sum(ratio[g] for g in grams(t)) > 0 for t in ("abcdefgh", "ijklmnop", "qrstuvwx")}
+    assert up == {"abcdefgh": True, "ijklmnop": True, "qrstuvwx": False}
