@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from .textbatch import SpanHash, white_words
@@ -17,6 +19,23 @@ span_hash = SpanHash()
 
 def byte_grams(buf: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, of ``bits`` bits, of all n-byte runs inside each text, and how many each text has."""
+    return _grams(buf, offsets, n, bits)
+
+
+def characters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts end to end, and where each text's begin."""
+    data = buf[: int(offsets[-1])]
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), at[offsets]
+
+
+def char_grams(buf: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As byte_grams, of runs of n characters for each n of ``sizes``."""
+    chars, at = characters(buf, offsets)
+    return (_grams(chars, at, n, bits) for n in sizes)
+
+
+def _grams(values: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     total = int(offsets[-1])
     count = np.maximum(np.diff(offsets) - n + 1, 0)
     if total < n:
@@ -24,7 +43,7 @@ def byte_grams(buf: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> tuple
     h = np.full(total - n + 1, n, np.uint32)
     for k in range(n):
         h *= np.uint32(0x01000193)
-        h ^= buf[k : k + len(h)]
+        h ^= values[k : k + len(h)]
     h *= np.uint32(0x9E3779B1)
     h >>= np.uint32(32 - bits)
     inside = np.ones(total, bool)

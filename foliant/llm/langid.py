@@ -7,12 +7,15 @@ prediction is the language of the centroid of the largest cosine. A text further
 from its centroid than nearly all training vectors of the language is *rejected*:
 that is told in a column of its own, beside the nearest language.
 
-The model is fitted on at most ``TRAIN_ROWS`` labelled texts, chosen evenly by a
-hash of id and text, the same share of each language where it has enough. Whole texts
-are read, in training and in prediction.
+The model is fitted on at most ``TRAIN_ROWS`` labelled texts, or one of each language
+if there are more languages than that, chosen evenly by a hash of id, label and text,
+equal rows once, the same number of each language where it has enough. Every label is
+a language; over ``LANGUAGES`` of them are taken for a mistake and raise ValueError.
+Whole texts are read, in training and in prediction.
 
 Null texts and texts with no letter are ``und`` with score 0. Where nothing was
-learned every text is ``und``. Rows with a null label are not learned from.
+learned every text is ``und``. Rows with a null label are not learned from. Of equally
+near centroids that of the language first in order, and its first, counts.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ CENTROIDS = 4
 #: Labelled texts to fit on at most, for all languages together and for one.
 TRAIN_ROWS = 2400
 TRAIN_ROWS_EACH = 600
+#: Distinct labels at most.
+LANGUAGES = 5000
 #: The share of training vectors inside a language's radius, and what widens it.
 INSIDE = 0.995
 SLACK = 1.25
@@ -81,15 +86,19 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS, rows_each: int = TRAIN_ROWS_EACH) -> Model:
-    """Learn from labelled ``docs``; what reaches the driver is bounded by ``rows`` vectors."""
-    bounded_batches(docs.sparkSession)
+    """Learn from labelled ``docs``; what reaches the driver is bounded by ``rows`` vectors, or one for each language."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null and label is not null")
-    found = docs.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max(1, rows // 10)).collect()
+    found = docs.groupBy("label").count().limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} distinct values in {label_col}")
     if not found:
         return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0, int), np.zeros(0))
     each = min(rows_each, max(1, rows // len(found)))
-    share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for r in found for x in (r.label, min(1.0, each / r["count"])))), F.col("label")), F.lit(0.0))
-    chosen, at = sample(docs, share, "id", "label", "text")
+    # somewhat more than wanted of each language, so that chance leaves none without
+    share = spark.createDataFrame([(r.label, min(1.0, (2 * each + 20) / r["count"])) for r in found], "label string, share double")
+    chosen, at = sample(docs.join(F.broadcast(share), "label"), F.col("share"), "id", "label", "text")
     place = F.row_number().over(Window.partitionBy("label").orderBy(at, "id", "text"))
     chosen = chosen.withColumn("place", place).where(F.col("place") <= each).drop("place")
 

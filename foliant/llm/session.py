@@ -108,4 +108,5 @@ def room_for(df: DataFrame, name: str | None, stem: str) -> tuple[DataFrame, str
 def sample(rows: DataFrame, share: float | Column, *by: str) -> tuple[DataFrame, Column]:
     """About a ``share`` of the rows, even over a hash of the columns ``by``, equal rows once; and the order by which to limit them."""
     at = F.pmod(F.xxhash64(*by), F.lit(1 << 53))
-    return rows.where(at < F.lit(share) * float(1 << 53)).distinct(), at
+    share = F.lit(share) if isinstance(share, float) else share
+    return rows.where(at < share * float(1 << 53)).distinct(), at

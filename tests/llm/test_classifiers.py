@@ -1,7 +1,11 @@
+import itertools
+import math
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from cases import SF
 from foliant.llm import features, langid, quality, queries
@@ -95,3 +99,96 @@ def test_samples_are_bounded_whatever_ids_repeat(spark, monkeypatch):
     taught.clear()
     quality.fit(docs, labels, rows=20)
     assert 5 <= len(taught) <= 20
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}q{chr(97 + k // 676)} " * 5, f"l{k % 300:03}") for k in range(1200)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, rows=100)
+    assert len(model.languages) == 300
+    with pytest.raises(ValueError):
+        langid.fit(docs.selectExpr("doc_id", "text", "concat(lang, doc_id) as lang").unionByName(docs.selectExpr("explode(sequence(1, 5)) as k", "*").selectExpr("doc_id", "text", "concat(k, lang, doc_id) as lang")))
+
+
+def test_null_and_repeated_ids_are_learned_from(spark):
+    rows = [(None, f"the words of english text {k}", "en") for k in range(3000)] + [(7, f"der text auf deutsch steht hier {k}", "de") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == ["de", "en"]
+    assert {(r.doc_id, r.lang_pred) for r in langid.predict(docs, model).collect()} == {(None, "en"), (7, "de")}
+
+
+def gram(values, bits):
+    h = len(values)
+    for b in values:
+        h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+    return (h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits)
+
+
+def word_bucket(word, bits):
+    """The polynomial word hash by plain arithmetic."""
+    mask, root = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    x = sum((b + 1) * pow(root, i, 1 << 64) for i, b in enumerate(word.encode())) & mask
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ (x >> shift)) * by) & mask
+    return (x ^ (x >> 31)) >> (64 - bits)
+
+
+TEXTS = ["the quick brown fox fox fox", "", "é è ü ß", "a", "日本語 text 🎉🎉", "One\ntwo\ttwo", None, "x" * 90, "fox", "fox"]
+
+
+def plain_features(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    out = [word_bucket(x, quality.BITS) for x in w] + [quality.REPEAT for a, b in itertools.pairwise(w) if a == b]
+    return out + [gram([ord(c) for c in text[k : k + n]], quality.BITS) for n in quality.GRAMS for k in range(len(text or "") - n + 1)]
+
+
+def test_quality_features_and_score_by_brute_force():
+    rng = np.random.default_rng(5)
+    model = quality.Model(rng.normal(0, 3, quality.ROWS), 0.3)
+    col = pa.array(TEXTS, pa.string())
+    parts = [(h.tolist(), np.cumsum([0, *per]).tolist()) for h, per in quality.features(*text_bytes(col))]
+    for k, text in enumerate(TEXTS):
+        got = [x for h, at in parts for x in h[at[k] : at[k + 1]]]
+        assert sorted(got) == sorted(plain_features(text))
+    want = []
+    for text in TEXTS:
+        f = plain_features(text)
+        want.append(1 / (1 + math.exp(-(0.3 + sum(model.weight[x] for x in f) / (len(f) + quality.PRIOR)))))
+    assert np.allclose(model.score(col), want)
+
+
+def test_a_training_step_follows_the_gradient():
+    """The table moves along the numerical gradient of the cross entropy."""
+    rows = [(np.array([1, 2, 3]), np.array([0.2, 0.5, 0.1]), 1), (np.array([3, 4]), np.array([0.4, 0.4]), 0)]
+    rng = np.random.default_rng(1)
+    table, layer, bias = rng.normal(size=(6, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    for bucket, part, label in rows:
+        def loss(t):
+            z = part @ t[bucket] @ layer + bias
+            return math.log(np.exp(z).sum()) - z[label]
+
+        down = quality.gradient(table, layer, bias, bucket, part, label)
+        for k, c in itertools.product(range(len(bucket)), range(3)):
+            moved = table.copy()
+            moved[bucket[k], c] += 1e-6
+            assert abs((loss(moved) - loss(table)) / 1e-6 - np.outer(part, down[2])[k, c]) < 1e-4
+
+
+def test_language_by_brute_force():
+    rng = np.random.default_rng(2)
+    n = 1 << langid.BITS
+    model = langid.Model(["aa", "bb"], rng.random(n) + 0.5, langid.unit(rng.random((3, n))), np.array([0, 0, 1]), np.array([0.1, 0.9]))
+    got = langid.classify(model, pa.array(TEXTS, pa.string()))
+    for k, text in enumerate(TEXTS):
+        x = np.zeros(n)
+        folded = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+        for size in langid.GRAMS:
+            for i in range(len(folded) - size + 1):
+                x[gram(folded[i : i + size], langid.BITS)] += 1
+        x = np.sqrt(x) * model.idf
+        cosine = model.centroids @ (x / max(np.linalg.norm(x), 1e-12))
+        best = int(np.argmax(cosine))
+        letters = any(c.isalpha() for c in text or "")
+        assert got["lang_pred"][k] == (model.languages[model.of[best]] if letters else "und")
+        assert abs(got["score"][k] - (cosine[best] if letters else 0)) < 1e-5
+        assert got["rejected"][k] == (not letters or 1 - cosine[best] > model.radius[model.of[best]])
