@@ -4,7 +4,8 @@ A text is cut into tokens (runs of letters, digits and ``+ / _ -``). The field t
 each as begin (B) or inside (I) of a secret or outside (O), from
 
 * shape: length, kinds of characters, changes between them, digits, hexadecimal, prefix,
-* neighbours: whether the words before name a secret, the signs between, shapes beside,
+* neighbours: the words on both sides by a hash, whether those before name a secret, the
+  signs between, the shapes beside,
 * the file: how many tokens have digits, and whether any word names a secret.
 
 It is trained by maximum likelihood (forward-backward over windows, in numpy) on at
@@ -16,7 +17,8 @@ tag by more than all that the transitions on its two sides could give back is O
 the best path whatever its neighbours are; numpy finds these, nearly all, and the
 recursion runs over the stretches between them.
 
-Null texts are empty. Spans are code points, end exclusive. Base spans always
+Of equally good paths the one with O, or else B, at the last place where they differ
+counts. Null texts are empty. Spans are code points, end exclusive. Base spans always
 stay; a span of the field that base spans touch is cut to what they leave of it.
 """
 
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import sample, bounded_batches
+from .session import bounded_batches, room_for, sample
 from .textbatch import SpanHash, arrow_batches, fold_ascii, runs, text_bytes
 
 # Base patterns, fixed values: (kind, pattern, group that is measured, its least length).
@@ -52,7 +54,7 @@ PREFIXES = ("AKIA", "ghp_", "gho_", "xoxb", "xoxp", "sk_l", "pk_l", "eyJh", "AIz
 TRAIN_ROWS = 600
 #: Longer texts are not trained on; they are scanned like any other.
 TRAIN_CHARS = 100_000
-WINDOW = 24
+WINDOW = 16
 O, B, I = 0, 1, 2
 
 _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 4 digit, 8 sign, 16 other letters
@@ -64,8 +66,10 @@ for _least in (4, 8, 12, 16, 20, 32, 36, 41, 64):
     _LENGTH[_least:] += 1
 _SHARE = np.array([0, 1, 1, 2, 2, 3, 3, 3, 4, 4, 4])
 _CHANGES = np.array([0, 1, 2, 3, 3, 4, 4, 4, 4] + [5] * 56)
+#: Buckets of neighbouring words. Only words of a usual length are told apart.
+WORDS = 256
 #: How many values each feature has.
-SIZES = (10 * 32, 6 * 2 * 10, 5 * 10, 2 * 8, 2 * 8, 8, len(PREFIXES) + 1, 32 * 2, 32 * 2, 4 * 2)
+SIZES = (10 * 32, 6 * 2 * 10, 5 * 10, 2 * 8, 2 * 8, 8, len(PREFIXES) + 1, 32 * 2, 32 * 2, 4 * 2, WORDS + 1, WORDS + 1)
 _FIRST = np.cumsum((0, *SIZES))[:-1]
 _hash = SpanHash()
 
@@ -111,11 +115,12 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         flag[[*chars]] = True
         gap[:n] |= bit * (between(total(flag[buf]), left, starts) > 0)
     gap[is_first] |= 4
-    named = np.zeros(n, bool)
-    maybe = np.flatnonzero((size >= 3) & (size <= 16))
+    named, word = np.zeros(n, bool), np.zeros(n, np.int64)
+    maybe = np.flatnonzero((size >= 2) & (size <= 16))
     if len(maybe):
         h = _hash(fold_ascii(buf), starts[maybe], ends[maybe])
         named[maybe] = _NAMES[np.minimum(np.searchsorted(_NAMES, h), len(_NAMES) - 1)] == h
+        word[maybe] = 1 + (h & np.uint64(WORDS - 1)).astype(np.int64)
     before = np.concatenate([[False], named[:-1]]) & ~is_first[:n]
     before2 = np.concatenate([[False], before[:-1]]) & ~is_first[:n]
     prefix = np.zeros(n, np.int64)
@@ -127,10 +132,12 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     shape = classes * 2 + (size >= 16)
     prev = np.where(is_first[:n], 0, np.concatenate([[0], shape[:-1]]))
     following = np.where(is_first[1:], 0, np.concatenate([shape[1:], [0]]))
+    word_before = np.where(is_first[:n], 0, np.concatenate([[0], word[:-1]]))
+    word_behind = np.where(is_first[1:], 0, np.concatenate([word[1:], [0]]))
     share = between(total(counts[4] > 0), begin, begin + count) / np.maximum(count, 1)
     names = between(total(named), begin, begin + count) > 0
     file = np.repeat(np.digitize(share, (0.02, 0.1, 0.3)) * 2 + names, count)
-    columns = (length * 32 + classes, (_CHANGES[np.minimum(changes, 63)] * 2 + hexes) * 10 + length, digits * 10 + length, before * 8 + gap[:n], before2 * 8 + gap[:n], gap[1:], prefix, following, prev, file)
+    columns = (length * 32 + classes, (_CHANGES[np.minimum(changes, 63)] * 2 + hexes) * 10 + length, digits * 10 + length, before * 8 + gap[:n], before2 * 8 + gap[:n], gap[1:], prefix, following, prev, file, word_before, word_behind)
     return starts, ends, count, np.stack(columns, axis=1) + _FIRST
 
 
@@ -151,7 +158,7 @@ class Field:
         """Tokens that are O on every best path."""
         ok = np.ones(len(emission), bool)
         for tag in (B, I):
-            back = (self.step[:, tag] - self.step[:, O]).max() + (self.step[tag] - self.step[O]).max()
+            back = max(0, (self.step[:, tag] - self.step[:, O]).max()) + max(0, (self.step[tag] - self.step[O]).max())  # 0: beside a text's end
             ok &= emission[:, O] - emission[:, tag] > back
         return ok
 
@@ -184,7 +191,7 @@ class Field:
         return out
 
 
-def train(numbers: np.ndarray, tags: np.ndarray, rounds: int = 60, decay: float = 2e-3) -> Field:
+def train(numbers: np.ndarray, tags: np.ndarray, rounds: int = 80, decay: float = 1e-4) -> Field:
     """numbers (windows, tokens, features) and tags (windows, tokens): maximum likelihood by Adam steps."""
     n, length, width = numbers.shape
     features, size = numbers.reshape(-1), int(sum(SIZES))
@@ -230,21 +237,29 @@ def made_up(rng: random.Random) -> str:
         lambda: pick(alnum, rng.randint(16, 48)),
         lambda: pick(base64, rng.choice([40, 44, 64])),
         lambda: pick(lower, rng.randint(16, 32)),
+        lambda: pick(string.ascii_letters, rng.randint(24, 48)),
+        lambda: pick(string.ascii_uppercase + string.digits, rng.randint(20, 48)),
+        lambda: pick(string.ascii_letters, rng.randint(2, 6)) + rng.choice("_-") + pick(alnum, rng.randint(18, 44)),
     ])()
 
 
+CONTEXTS = ("{name}={s}", '{name} = "{s}"', "{name}: {s}", "{name}: '{s}'", "Bearer {s}", "{s}", "{s}", "{s}", "{s}", '"{s}"', "({s})", "{name} {s}", 'export {name}="{s}"')
+
+
 def planted(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
-    """The text with a few secrets made up among its words, and where they are."""
+    """The text with a few secrets made up among its words, and where they are; a few of its words, or of words joined to one token, stand as secrets would."""
     words = text.split(" ")
     out, spans, at = [], [], 0
-    places = set(rng.sample(range(len(words)), min(len(words), rng.randint(0, 3))))
+    places = rng.sample(range(len(words)), min(len(words), rng.randint(1, 8)))
+    secrets = set(places[: len(places) // 2 + 1])
     for k, word in enumerate(words):
         if k in places:
-            secret = made_up(rng)
-            form = rng.choice(["{name}={s}", '{name} = "{s}"', "{name}: {s}", "{name}: '{s}'", "Bearer {s}", "{s}", '"{s}"', 'export {name}="{s}"'])
-            word = form.format(name=rng.choice(NAMES).upper() if rng.random() < 0.3 else rng.choice(NAMES), s=secret)
-            i = at + word.index(secret)
-            spans.append((i, i + len(secret)))
+            made = made_up(rng) if k in secrets else rng.choice(("-", "_", "/", "\u00a0", "\u00a0")).join(words[k : k + rng.choice((1, 1, 2, 3, 4))])
+            name = rng.choice(NAMES).upper() if rng.random() < 0.3 else rng.choice(NAMES)
+            word = rng.choice(CONTEXTS).format(name=name, s=made)
+            if k in secrets:
+                i = at + word.index(made)
+                spans.append((i, i + len(made)))
         out.append(word)
         at += len(word) + 1
     return " ".join(out), spans
@@ -255,7 +270,7 @@ def examples(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     rng = random.Random(seed)
     numbers, tags = [np.zeros((0, WINDOW, len(SIZES)), np.int64)], [np.zeros((0, WINDOW), np.int64)]
     for text in texts:
-        for body, spans in ((text, []), planted(text, rng)):
+        for most, (body, spans) in ((3, (text, [])), (8, planted(text, rng))):
             spans = spans + [(m.start(2), m.end(2)) if kind == "assign" else (m.start(), m.end()) for kind, m in base_matches(body)]
             # offsets in bytes
             spans = sorted((len(body[:i].encode()), len(body[:j].encode())) for i, j in spans)
@@ -266,8 +281,8 @@ def examples(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
             for i, j in spans:
                 inside = np.flatnonzero((starts >= i) & (ends <= j) & (tag == O))
                 tag[inside[:1]], tag[inside[1:]] = B, I
-            odd = np.flatnonzero((tag > 0) | (rows[:, 2] - _FIRST[2] >= 10))  # secrets, and other tokens with digits
-            centres = [*rng.sample(odd.tolist(), min(8, len(odd))), *rng.sample(range(len(rows)), 2)]
+            odd = np.flatnonzero((tag > 0) | (rows[:, 2] - _FIRST[2] >= 10) | (rows[:, 3] - _FIRST[3] > 0))  # secrets, other tokens with digits, what stands behind a sign
+            centres = [*rng.sample(odd.tolist(), min(most, len(odd))), *rng.sample(range(len(rows)), 2)]
             first = np.clip(np.array(centres) - [rng.randrange(WINDOW) for _ in centres], 0, len(rows) - WINDOW)
             at = first[:, None] + np.arange(WINDOW)
             numbers.append(rows[at])
@@ -342,9 +357,10 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def with_spans(docs: DataFrame, field: Field, text_col: str = "text", name: str = "__spans") -> DataFrame:
-    """``docs`` with an array of the secrets' spans. One pass, no shuffle."""
+def with_spans(docs: DataFrame, field: Field, text_col: str = "text", name: str | None = None) -> DataFrame:
+    """``docs`` with one more column, the last: an array of the secrets' spans. By default its name is a free one like ``spans``. One pass, no shuffle."""
     bounded_batches(docs.sparkSession)
+    docs, name = room_for(docs, name, "spans")
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,10 +373,10 @@ def with_spans(docs: DataFrame, field: Field, text_col: str = "text", name: str
 
 def report(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf) for every row."""
-    found = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), field)
+    found = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), field, name="found")
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s["end"].cast("string"))), ",")
-    count = lambda kind: F.size(F.filter("__spans", lambda s: s.kind == kind)).cast("long")
-    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(said(F.filter("__spans", lambda s: s.kind != "crf")), 256).alias("base_sha256"), said(F.col("__spans")).alias("spans"), count("crf").alias("n_crf"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s.kind == kind)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(said(F.filter("found", lambda s: s.kind != "crf")), 256).alias("base_sha256"), said(F.col("found")).alias("spans"), count("crf").alias("n_crf"))
 
 
 def redacted(text: str | None, spans: list[tuple[str, int, int]], by: str) -> str | None:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import stars
-from .session import cut_lineage, free_name, fresh_path, bounded_batches
+from .session import bounded_batches, cut_lineage, free_name, room_for, written
 from .textbatch import arrow_batches, mix
 
 WORDS = 3
@@ -69,9 +69,10 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS, name: str = "__fp") -> DataFrame:
-    """``docs`` with the fingerprint as a signed long. No shuffle."""
+def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS, name: str | None = None) -> DataFrame:
+    """``docs`` with one more column, the last: the fingerprint as a signed long. By default its name is a free one like ``fp``. No shuffle."""
     bounded_batches(docs.sparkSession)
+    docs, name = room_for(docs, name, "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):
@@ -219,13 +220,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row of each component, that of the smallest id (null ids last; of repeated rows any one). Columns as they are."""
-    spark = docs.sparkSession
-    path, fp, row = fresh_path(spark, "simhash-documents"), free_name(docs, "__fp"), free_name(docs, "__row")
+    columns = docs.columns
+    docs = with_fingerprint(docs, text_col, words)
+    fp, row = docs.columns[-1], free_name(docs, "row")
     # written once with a row number, so what is kept can be named exactly
-    with_fingerprint(docs, text_col, words, fp).withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
-    held = spark.read.parquet(path)
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-documents")
     prints = held.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
     nodes = cut_lineage(prints.groupBy("fp").agg(first))
     keep = nodes.join(components(nodes.select("fp")), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return held.join(keep, row, "left_semi").select(*docs.columns)
+    return held.join(keep, row, "left_semi").select(*columns)

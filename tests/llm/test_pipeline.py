@@ -1,4 +1,6 @@
 import hashlib
+import os
+import re
 
 import public_tokenizers
 import pyarrow as pa
@@ -6,7 +8,7 @@ import tiktoken
 
 import corpus_pipeline
 from cases import SF
-from foliant.llm import bpe, queries, secretscan
+from foliant.llm import bpe, queries, secretscan, session
 from test_decontam import brute as brute_hits
 from test_simhash import brute_components, plain_fingerprint
 
@@ -32,7 +34,10 @@ def test_run_equals_plain_stages(spark):
                 out += texts[i][at:a] + "[SECRET]"
             at = max(at, b)
         want[i] = out + texts[i][at:]
+    at = session.shared_dir(spark).removeprefix("file:")
+    before = {f for f in os.listdir(at) if "-" in f}
     got = corpus_pipeline.run(spark, SF).collect()
+    assert [f.split("-")[0] for f in set(os.listdir(at)) - before if re.match(r"[a-z]+-", f)] == ["pipeline"]
     assert {r.doc_id: r.ids for r in got} == {i: library.encode_ordinary(t) for i, t in want.items()}
     assert all(r.decoded_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest() for r in got)
 

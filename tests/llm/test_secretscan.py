@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 
 from cases import ODD_TEXTS, SF
 from foliant.llm import queries, secretscan
+from foliant.llm.textbatch import SpanHash, text_bytes
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -112,3 +114,93 @@ def test_what_a_base_span_leaves_of_a_secret_is_kept():
         assert set("".join(secretscan.redacted(text, spans, " "))) == {" "}
         crf = [(i, j) for k, i, j in spans if k == "crf"]
         assert all(j <= p or q <= i for i, j in crf for k, p, q in spans if k != "crf")
+
+
+LOWER, ALNUM = string.ascii_lowercase + string.digits, string.ascii_letters + string.digits
+#: Forms and contexts that training doesn't make up.
+FORMS = (("glpat-", ALNUM + "_-", 20), ("hf_", string.ascii_letters, 34), ("ya29.", ALNUM + "_-", 60), ("dop_v1_", "0123456789abcdef", 64), ("", "0123456789ABCDEF", 40), ("shpat_", "0123456789abcdef", 32), ("SG.", ALNUM + "_-", 43), ("", ALNUM, 20))
+CONTEXTS = ('"{n}": "{s}"', "--{n} {s}", "<{n}>{s}</{n}>", "{n} => '{s}'", "set {n} to {s}", 'curl -H "X-Auth: {s}"', "{s}", "{n} {s}")
+OTHERS = ("signing_key", "db_password", "webhook-secret", "sessionToken", "pin", "passcode", "license key")
+
+
+def test_forms_and_texts_that_were_not_trained_on(spark):
+    sf = SF.replace("0.001", "0.01")
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if r.text]
+    field = secretscan.train(*secretscan.examples(texts[::2]))
+    rng, made, found, spans, right = random.Random(9), 0, 0, 0, 0
+    for text in texts[1::2]:
+        words, at, where = text.split(" "), 0, []
+        for k in sorted(rng.sample(range(len(words)), min(2, len(words)))):
+            prefix, letters, n = rng.choice(FORMS)
+            secret = prefix + "".join(rng.choices(letters, k=n))
+            words[k] = rng.choice(CONTEXTS).format(n=rng.choice(OTHERS), s=secret)
+            where.append((k, words[k].index(secret), len(secret)))
+        body = " ".join(words)
+        begin = [0, *itertools.accumulate(len(w) + 1 for w in words)]
+        secrets = [(begin[k] + i, begin[k] + i + n) for k, i, n in where]
+        got = secretscan.scan(pa.array([body]), field)[0]
+        covered = {x for _, i, j in got for x in range(i, j)}
+        found += sum(len(covered & set(range(i, j))) >= 0.8 * (j - i) for i, j in secrets)
+        made += len(secrets)
+        allowed = secrets + [(i, j) for k, i, j in got if k != "crf"]
+        spans += sum(k == "crf" for k, *_ in got)
+        right += sum(k == "crf" and any(i < q and p < j for p, q in allowed) for k, i, j in got)
+    print("recall", found / made, "precision", right / spans)
+    assert found >= 0.9 * made and right >= 0.95 * spans
+
+
+def plain_numbers(text):
+    """Tokens and their features, one token at a time."""
+    kinds = lambda b: 1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 4 if 48 <= b <= 57 else 8 if b in b"+/_-" else 16 if b >= 128 else 0
+    raw, s = text.encode(), secretscan
+    spans = [m.span() for m in re.finditer(rb"[a-zA-Z0-9+/_\-\x80-\xff]+", raw)]
+    facts = []
+    for k, (i, j) in enumerate(spans):
+        kind = [kinds(b) for b in raw[i:j]]
+        digits = kind.count(4)
+        word = raw[i:j].lower() if all(b < 128 for b in raw[i:j]) else bytes(b + 32 if 65 <= b <= 90 else b for b in raw[i:j])
+        between = raw[spans[k - 1][1] if k else 0 : i]
+        gap = any(c in between for c in b"=:") + 2 * any(c in between for c in b"\"'`") + 4 * (k == 0 or b"\n" in between)
+        facts.append({
+            "length": sum(j - i >= least for least in (4, 8, 12, 16, 20, 32, 36, 41, 64)),
+            "classes": sum(set(kind)),
+            "share": int(s._SHARE[10 * digits // (j - i)]),
+            "changes": int(s._CHANGES[min(63, sum(a != b for a, b in itertools.pairwise(kind)))]),
+            "hexes": all(b in b"0123456789abcdef" for b in raw[i:j]),
+            "named": word.decode("latin-1") in s.NAMES, "gap": gap, "digits": digits > 0,
+            "prefix": s.PREFIXES.index(raw[i : i + 4].decode("latin-1")) + 1 if j - i >= 12 and raw[i : i + 4].decode("latin-1") in s.PREFIXES else 0,
+            "shape": sum(set(kind)) * 2 + (j - i >= 16),
+            "word": 1 + int(SpanHash()(np.frombuffer(word + bytes(8), np.uint8), np.array([0]), np.array([len(word)]))[0]) % s.WORDS if 2 <= j - i <= 16 else 0,
+        })
+    none = {"named": False, "shape": 0, "word": 0, "gap": 4}
+    file = sum(sum(f["digits"] for f in facts) / max(1, len(facts)) >= x for x in (0.02, 0.1, 0.3)) * 2 + any(f["named"] for f in facts)
+    out = []
+    for k, f in enumerate(facts):
+        p, pp, n = (facts[x] if 0 <= x < len(facts) else none for x in (k - 1, k - 2, k + 1))
+        out.append([f["length"] * 32 + f["classes"], (f["changes"] * 2 + f["hexes"]) * 10 + f["length"], f["share"] * 10 + f["length"], p["named"] * 8 + f["gap"], pp["named"] * 8 + f["gap"], n["gap"], f["prefix"], n["shape"], p["shape"], file, p["word"], n["word"]])
+    return spans, out
+
+
+def test_field_end_to_end_by_brute_force(field, spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()][:60]
+    rng = random.Random(2)
+    texts = [secretscan.planted(t, rng)[0] for t in texts] + TEXTS + [t or "" for _, t in ODD_TEXTS]
+    for text, got in zip(texts, secretscan.scan(pa.array(texts), field), strict=True):
+        spans, numbers = plain_numbers(text)
+        rows = np.array(numbers, np.int64).reshape(-1, len(secretscan.SIZES)) + secretscan._FIRST
+        assert (secretscan.tokens(*text_bytes(pa.array([text])))[3] == rows).all()
+        tags = field.viterbi(field.emissions(rows), False, False) if len(rows) else []
+        found = []
+        for k, ((i, j), tag) in enumerate(zip(spans, tags, strict=True)):
+            if tag == secretscan.I and k and tags[k - 1] != secretscan.O:
+                found[-1][1] = j
+            elif tag != secretscan.O:
+                found.append([i, j])
+        raw = text.encode()
+        want = set()
+        base = {x for k, i, j in got if k != "crf" for x in range(i, j)}
+        for i, j in found:
+            while raw[j : j + 1] == b"=":
+                j += 1
+            want |= set(range(len(raw[:i].decode()), len(raw[:j].decode()))) - base
+        assert want == {x for k, i, j in got if k == "crf" for x in range(i, j)}
