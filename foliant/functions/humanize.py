@@ -13,7 +13,7 @@ def _said(n: Column) -> Column:
 
 
 def binary_bytes(n: Column) -> Column:
-    """``506.9 MiB``: units of 1024, one decimal, cut off."""
+    """``45.7 MiB``: units of 1024, one decimal, cut off."""
     out = F.concat(_said(n), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
         whole = F.shiftright(n, 10 * k)
@@ -23,7 +23,7 @@ def binary_bytes(n: Column) -> Column:
 
 
 def duration(ms: Column) -> Column:
-    """``850ms``, ``24.9s``, ``1m 05s``; below zero is zero."""
+    """``620ms``, ``31.4s``, ``2m 07s``; below zero is zero."""
     ms = F.greatest(ms, F.lit(0)).cast("long")
     second = F.floor(ms / 1000)
     return (
@@ -34,12 +34,12 @@ def duration(ms: Column) -> Column:
 
 
 def count(n: Column) -> Column:
-    """``5,704,872``."""
+    """``8,213,409``."""
     return F.format_number(n, 0)
 
 
 def spaced_count(n: Column) -> Column:
-    """``5 704 872``."""
+    """``8 213 409``."""
     return F.translate(count(n), ",", " ")
 
 

@@ -14,6 +14,7 @@ from ..functions.names import category_name, kind_label, row_extension
 from ..plans import predicates
 from ..plans.query import Query, parse
 from ..schema import DIRECTORY, MAX_DEPTH, RESULT, SCHEMA_VERSION
+from ..sources.shared import cut_lineage
 
 #: Default caps: of the engine, of the client library, and of what one screen asks for.
 ENGINE_CAP, CLIENT_CAP, SCREEN_CAP = 100, 100_000, 2_000
@@ -81,6 +82,24 @@ def search_sorted(entries: DataFrame, query: str, column: str = "name", ascendin
     return screen_sort(search(entries, query, max_results=max_results, **named), column, ascending, folders_on_top)
 
 
+def rank_rows(rows: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with each one's place, from 1, in the order of ``keys``, which should tell all rows apart.
+
+    No window over everything: rows go to ranges of the keys, are numbered inside
+    their range, and the ranges' sizes, one row each, say where each begins. The
+    ranges are written in the shared folder first, since the two have to agree.
+    """
+    part, place = "__part", "__place"
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = cut_lineage(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(part, F.spark_partition_id()).withColumn(place, inside))
+    begin, sofar = [], 0
+    for r in sorted(held.groupBy(part).count().collect()):
+        begin.append((r[0], sofar))
+        sofar += r[1]
+    starts = rows.sparkSession.createDataFrame(begin, f"{part} int, __begin long")
+    return held.join(F.broadcast(starts), part).withColumn(name, F.col(place) + F.col("__begin") + 1).select(name, *rows.columns)
+
+
 class CancelToken:
     """Cancels the Spark jobs of the query that it is given to."""
 

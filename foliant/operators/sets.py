@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import join_path
+from .search import rank_rows
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -56,46 +57,71 @@ def with_folder_color(rows: DataFrame, colors: DataFrame) -> DataFrame:
     return rows.withColumn("path", join_path(F.col("dir_path"), F.col("name"))).join(colors, "path", "left")
 
 
+#: Ids in one block, and bytes in one, of a folder: what a window or a join key holds at most.
+ID_BLOCK, BYTE_BLOCK = 1 << 16, 1 << 8
+
+
 def name_offsets(entries: DataFrame) -> DataFrame:
-    """Each name's place in its folder's blob of names, end to end in entry order: (dir_path, entry_id, name, start, size)."""
-    w = Window.partitionBy("dir_path").orderBy("entry_id").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("name").cast("long")
-    return entries.select("dir_path", "entry_id", "name", F.coalesce(F.sum(size).over(w), F.lit(0)).alias("start"), size.alias("size"))
+    """Each name's place in its folder's blob of names, end to end in entry order: (dir_path, entry_id, name, start, size).
+
+    A folder may hold any number of entries: sums run inside blocks of ids, and over
+    the blocks' totals, a row for each 65,536 ids.
+    """
+    rows = entries.select("dir_path", F.floor(F.col("entry_id") / ID_BLOCK).alias("block"), "entry_id", "name", F.octet_length("name").cast("long").alias("size"))
+    blocks = rows.groupBy("dir_path", "block").agg(F.sum("size").alias("bytes"))
+    blocks = blocks.select("dir_path", "block", F.coalesce(F.sum("bytes").over(Window.partitionBy("dir_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("dir_path", "block").orderBy("entry_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("inside", inside).join(blocks, ["dir_path", "block"]).select("dir_path", "entry_id", "name", (F.col("base") + F.col("inside")).alias("start"), "size")
 
 
 def floor_lookup(positions: DataFrame, offsets: DataFrame) -> DataFrame:
     """As-of: the entry whose name holds each position of a folder's blob, none past its end.
 
-    Positions and offsets are put in one order and the last offset before each
-    position is carried on: a window, no range join. positions: (dir_path, pos).
+    A name lies in one or two blocks of bytes, so it meets the positions of the same
+    blocks in a join by key; no window, no range join. positions: (dir_path, pos).
     """
-    null = F.lit(None)
-    both = offsets.select("dir_path", F.col("start").alias("at"), F.lit(0).alias("side"), F.struct("entry_id", "start", "size").alias("hit")).unionByName(positions.select("dir_path", F.col("pos").alias("at"), F.lit(1).alias("side"), null.cast("struct<entry_id:bigint,start:bigint,size:bigint>").alias("hit")))
-    w = Window.partitionBy("dir_path").orderBy("at", "side", F.col("hit.entry_id")).rowsBetween(Window.unboundedPreceding, 0)
-    held = both.withColumn("last", F.last("hit", ignorenulls=True).over(w)).where("side = 1")
-    return held.where(F.col("at") < F.col("last.start") + F.col("last.size")).select("dir_path", F.col("at").alias("pos"), F.col("last.entry_id").alias("entry_id"))
+    block = lambda at: F.floor(at / BYTE_BLOCK)
+    names = offsets.where("size > 0").select("dir_path", "entry_id", "start", "size", F.explode(F.sequence(block(F.col("start")), block(F.col("start") + F.col("size") - 1))).alias("block"))
+    asked = positions.select("dir_path", "pos", block(F.col("pos")).alias("block"))
+    return asked.join(names, ["dir_path", "block"]).where("start <= pos and pos < start + size").select("dir_path", "pos", "entry_id")
+
 
+def suppress_repeats(rows: DataFrame, within: str = "dir_path", order: str = "entry_id", value: str = "category") -> DataFrame:
+    """Rows whose value differs from that of the row before, in the order of a whole number.
 
-def suppress_repeats(rows: DataFrame, within: str = "dir_path", order: tuple[str, ...] = ("entry_id",), value: str = "category") -> DataFrame:
-    """Rows whose value differs from that of the row before."""
-    w = Window.partitionBy(within).orderBy(*order)
-    return rows.withColumn("__was", F.lag(value).over(w)).where(~F.col(value).eqNullSafe(F.col("__was"))).drop("__was")
+    Blocks of that number are looked through on their own; a block's first row is held
+    against the last value of the block before.
+    """
+    held = F.struct(F.col(value).alias("value"))  # a null value is a value
+    rows = rows.withColumn("__block", F.floor(F.col(order) / ID_BLOCK))
+    last = rows.groupBy(within, "__block").agg(F.max_by(held, order).alias("__last"))
+    before = last.select(within, "__block", F.lag("__last").over(Window.partitionBy(within).orderBy("__block")).alias("__before"))
+    was = F.coalesce(F.lag(held).over(Window.partitionBy(within, "__block").orderBy(order)), F.col("__before"))
+    return rows.join(before, [within, "__block"]).withColumn("__was", was).where(F.col("__was").isNull() | ~F.col("__was.value").eqNullSafe(F.col(value))).drop("__was", "__before", "__block").select(*(c for c in rows.columns if c != "__block"))
 
 
 def lengths_from_offsets(offsets: DataFrame) -> DataFrame:
-    """Lengths by the next offset, null for a folder's last: (dir_path, entry_id, length)."""
-    w = Window.partitionBy("dir_path").orderBy("entry_id")
-    return offsets.select("dir_path", "entry_id", (F.lead("start").over(w) - F.col("start")).alias("length"))
+    """Each name's length, null for a folder's last entry, which has no offset behind it: (dir_path, entry_id, length)."""
+    last = offsets.groupBy("dir_path").agg(F.max("entry_id").alias("last"))
+    return offsets.join(last, "dir_path").select("dir_path", "entry_id", F.when(F.col("entry_id") < F.col("last"), F.col("size")).alias("length"))
+
+
+#: What is tried, in order.
+TERMINALS = ("iTerm", "Ghostty", "WezTerm", "kitty", "Alacritty", "Terminal")
 
 
-def terminals(configured: Column, defaults: tuple[str, ...] = ("iTerm", "Ghostty", "WezTerm", "kitty", "Alacritty", "Terminal")) -> Column:
+def terminals(configured: Column, defaults: tuple[str, ...] = TERMINALS) -> Column:
     """Candidates in order, the configured one in front, none twice."""
     rest = F.array(*map(F.lit, defaults))
     return F.array_distinct(F.when(F.coalesce(configured, F.lit("")) != "", F.array_prepend(rest, configured)).otherwise(rest))
 
 
 def sample_statistics(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Median (the upper one of an even number), least and most of samples."""
-    w = Window.partitionBy(by).orderBy(value)
-    ranked = rows.select(by, value, (F.row_number().over(w) - 1).alias("__k"), F.count("*").over(Window.partitionBy(by)).alias("__n"))
-    return ranked.groupBy(by).agg(F.max(F.when(F.col("__k") == F.floor(F.col("__n") / 2), F.col(value))).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
+    """Median (the upper one of an even number), least and most of samples; nulls are no samples.
+
+    Samples get their rank over all groups by ranges (see rank_rows); the median's is
+    known from the group's first rank and count. No task holds a group.
+    """
+    ranked = rank_rows(rows.select(by, value).where(F.col(value).isNotNull()), [F.col(by), F.col(value)])
+    per = ranked.groupBy(by).agg((F.min("rank") + F.floor(F.count("*") / 2)).alias("rank"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return per.join(ranked.select("rank", F.col(value).alias("median")), "rank").select(by, "median", "least", "most")

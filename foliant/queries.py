@@ -11,11 +11,11 @@ from .functions import humanize as h
 from .functions import names
 from .functions.fold import ASCII_LOWER, ASCII_UPPER, folded, tables
 from .operators import facets, rollup, sets
-from .operators.search import list_folder, matching, screen_sort_keys, search, sort_keys
+from .operators.search import list_folder, matching, rank_rows, screen_sort_keys, search, sort_keys
 from .plans.query import StructuredFilter, format_criterion, parse
-from .schema import CATEGORY_LABELS, CATEGORY_NAMES, DIRECTORY, MAX_DEPTH, RESULT
+from .schema import CATEGORY_LABELS, CATEGORY_NAMES, DIRECTORY, MAX_DEPTH, RAW, RESULT
 from .sources import demo, files, shards
-from .sources.catalog import Catalog
+from .sources.catalog import Catalog, Store, build
 from .streaming import watch
 
 FOLD, LOWER = demo.FOLD, demo.LOWER
@@ -89,8 +89,8 @@ add("flt14_path_under", lambda c: c.entries.select("entry_id", names.is_under(F.
 add("flt_not_a_qualifier", lambda c: search(c.entries, "size:abc date:>=2024-01-01 foo:bar").select("entry_id", *RESULT), f"SELECT entry_id, {ROW} FROM entries WHERE contains(name_folded, 'size:abc date:>=2024-01-01 foo:bar')")
 
 # --- parser: criteria of query strings, printed again ------------------------------------------------------------------
-QUERIES = ("kind:DIR hello  world", "!ext:PHP,Html", "size:1mb..10mb", "size:>1.5mb", "size:1kb", "date:>2024-01-01", "date:today", "date:2024-02-29", "cat:sheets", "!path:Src/", "date:2024-02-31", "size:99999999999999999tb", "ext:,", "!!kind:file", "KIND:link size:<=5000b")
-PRINTED = ("kind:folder|hello world", "!ext:php,html|", "size:1mb..10mb|", "size:>1536kb|", "size:1kb|", "date:>2024-01-01|", "date:today|", "date:2024-02-29..2024-02-29|", "cat:spreadsheets|", "!path:Src/|", "|date:2024-02-31", "|size:99999999999999999tb", "|ext:,", "|!!kind:file", "kind:symlink size:<=4.9kb|")
+QUERIES = ("kind:DIR hello  world", "!ext:SVG,Webp", "size:1mb..10mb", "size:>1.5mb", "size:1kb", "date:>2024-01-01", "date:today", "date:2024-02-29", "cat:sheets", "!path:Src/", "date:2024-02-31", "size:99999999999999999tb", "ext:,", "!!kind:file", "KIND:link size:<=5000b")
+PRINTED = ("kind:folder|hello world", "!ext:svg,webp|", "size:1mb..10mb|", "size:>1536kb|", "size:1kb|", "date:>2024-01-01|", "date:today|", "date:2024-02-29..2024-02-29|", "cat:spreadsheets|", "!path:Src/|", "|date:2024-02-31", "|size:99999999999999999tb", "|ext:,", "|!!kind:file", "kind:symlink size:<=4.9kb|")
 
 
 def _printed(c: Catalog) -> DataFrame:
@@ -99,8 +99,8 @@ def _printed(c: Catalog) -> DataFrame:
 
 
 add("prs1_parse_and_print", _printed, "SELECT * FROM (VALUES " + ", ".join(f"('{_quoted(q)}', '{_quoted(p)}')" for q, p in zip(QUERIES, PRINTED, strict=True)) + ") t(query, printed)")
-FILTERS = ("Cat:CODE ext:zig fmt ext:RS", "car ext:PHP,html", "!ext:php,html report size:>1mb", "cat: ext: x", "cat:a cat:b")
-ENCODED = ("cat:code ext:rs ext:zig fmt", "ext:php,html car", "!ext:php,html report size:>1mb", "x", "cat:b")
+FILTERS = ("Cat:AUDIO ext:ogg live ext:FLAC", "tour ext:SVG,webp", "!ext:log,tmp minutes size:>3mb", "cat: ext: x", "cat:a cat:b")
+ENCODED = ("cat:audio ext:flac ext:ogg live", "ext:svg,webp tour", "!ext:log,tmp minutes size:>3mb", "x", "cat:b")
 add("prs12_structured_filter", lambda c: c.spark.createDataFrame([(q, StructuredFilter.parse(q).encoded) for q in FILTERS], "query string, encoded string"), "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{e}')" for q, e in zip(FILTERS, ENCODED, strict=True)) + ") t(query, encoded)")
 
 # --- sorts: with a rank, as rows are compared in no order -----------------------------------------------------------------
@@ -114,9 +114,10 @@ def _ranked(rows: DataFrame, keys: list) -> DataFrame:
 
 
 def add_sorted(name: str, column: str, ascending: bool, folders: bool) -> None:
+    """The order of all entries."""
     key, way = _ENGINE[column], "ASC" if ascending else "DESC"
     order = ", ".join([*([_FOLDER] if folders else []), f"{key} {way}", f"{_ENGINE['name']} ASC", "dir_path ASC", "entry_id"])
-    add(name, lambda c: _ranked(search(c.entries, "", "/data/asia", max_results=2000), sort_keys(column, ascending, folders)), f"SELECT row_number() OVER (ORDER BY {order}) AS rank, entry_id, {ROW} FROM (SELECT * FROM entries WHERE {_where('', '/data/asia')} ORDER BY entry_id LIMIT 2000)")
+    add(name, lambda c: rank_rows(c.entries.select("entry_id", *RESULT), [*sort_keys(column, ascending, folders), F.col("entry_id")]), f"SELECT row_number() OVER (ORDER BY {order}) AS rank, entry_id, {ROW} FROM entries")
 
 
 for _column in _ENGINE:
@@ -145,8 +146,8 @@ add("prj2_display_name", lambda c: c.entries.select("entry_id", *(names.display_
 SELECT entry_id, CASE WHEN dir_path = '/data/asia' THEN name WHEN starts_with(dir_path, '/data/asia/') THEN substr(dir_path, 12) || '/' || name ELSE dir_path || '/' || name END AS below,
   CASE WHEN dir_path = '/' THEN name ELSE substr(dir_path, 2) || '/' || name END AS root, dir_path || '/' || name AS full_path FROM entries""")
 add("prj5_row_labels", lambda c: c.entries.select("entry_id", names.join_path(F.col("dir_path"), F.col("name")).alias("path"), names.kind_label(F.col("kind"), F.col("category")).alias("kind_label"), names.extension_text(F.col("name"), F.col("kind")).alias("ext_text")), f"SELECT entry_id, CASE WHEN dir_path = '/' THEN '/' || name ELSE dir_path || '/' || name END AS path, {_LABEL} AS kind_label, CASE WHEN {_EXT} = '' THEN '—' ELSE {_EXT} END AS ext_text FROM entries")
-add("prj7_selection_summary", lambda c: c.entries.where("dir_path like '/d%'").select("entry_id", F.concat("name", F.lit(" — "), names.kind_label(F.col("kind"), F.col("category")), F.when(F.col("kind") == DIRECTORY, "").otherwise(F.concat(F.lit(" · "), h.decimal_bytes(F.col("size"))))).alias("summary")), f"""
-SELECT entry_id, name || ' — ' || {_LABEL} || CASE WHEN kind = 1 THEN '' ELSE ' · ' || CASE WHEN size >= 1000000000000 THEN printf('%.1f TB', size / 1e3 / 1e3 / 1e3 / 1e3) WHEN size >= 1000000000 THEN printf('%.1f GB', size / 1e3 / 1e3 / 1e3) WHEN size >= 1000000 THEN printf('%.1f MB', size / 1e3 / 1e3) WHEN size >= 1000 THEN printf('%.1f KB', size / 1e3) ELSE size || ' B' END END AS summary FROM entries WHERE starts_with(dir_path, '/d')""")
+add("prj7_selection_summary", lambda c: c.entries.select("entry_id", F.concat("name", F.lit(" — "), names.kind_label(F.col("kind"), F.col("category")), F.when(F.col("kind") == DIRECTORY, "").otherwise(F.concat(F.lit(" · "), h.decimal_bytes(F.col("size"))))).alias("summary")), f"""
+SELECT entry_id, name || ' — ' || {_LABEL} || CASE WHEN kind = 1 THEN '' ELSE ' · ' || CASE WHEN size >= 1000000000000 THEN printf('%.1f TB', size / 1e3 / 1e3 / 1e3 / 1e3) WHEN size >= 1000000000 THEN printf('%.1f GB', size / 1e3 / 1e3 / 1e3) WHEN size >= 1000000 THEN printf('%.1f MB', size / 1e3 / 1e3) WHEN size >= 1000 THEN printf('%.1f KB', size / 1e3) ELSE size || ' B' END END AS summary FROM entries""")
 add("scl1_fold", lambda c: c.entries.select("entry_id", folded(F.concat("dir_path", F.lit("/ΣΟΦΌΣ-ẞKſİ"), "name")).alias("folded")), f"SELECT entry_id, {FOLD.format("dir_path || '/ΣΟΦΌΣ-ẞKſİ' || name")} AS folded FROM entries")
 add("scl2_fold_table", lambda c: c.spark.createDataFrame([(ord(a), ord(b)) for a, b in zip(*tables(), strict=True)], "source int, target int").agg(F.count("*").alias("n"), F.sum("source").alias("sources"), F.sum("target").alias("targets")), f"SELECT len('{tables()[0]}') AS n, CAST(list_sum(list_transform(string_split('{tables()[0]}', ''), lambda c: unicode(c))) AS BIGINT) AS sources, CAST(list_sum(list_transform(string_split('{tables()[1]}', ''), lambda c: unicode(c))) AS BIGINT) AS targets")
 add("scl3_ascii_lower", lambda c: c.entries.select("entry_id", F.translate("name", ASCII_UPPER, ASCII_LOWER).alias("lowered")), f"SELECT entry_id, {LOWER.format('name')} AS lowered FROM entries")
@@ -163,7 +164,9 @@ add("scl12_freshness", lambda c: c.entries.select("entry_id", h.freshness(F.col(
 add("scl14_iso_date", lambda c: c.entries.select("entry_id", h.utc_date(F.col("mtime")).alias("day"), h.epoch_day(F.col("mtime")).cast("long").alias("days")), "SELECT entry_id, strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, mtime // 86400 AS days FROM entries")
 add("scl16_category_names", lambda c: c.entries.select("category", names.category_name(F.col("category")).alias("name"), names.category_key(F.col("category")).alias("key")).distinct(), "SELECT DISTINCT category, list_extract([" + ", ".join(f"'{n}'" for n in CATEGORY_NAMES) + "], category + 1) AS name, lower(list_extract([" + ", ".join(f"'{n}'" for n in CATEGORY_NAMES) + "], category + 1)) AS key FROM entries")
 add("scl17_bytes_prefix_suffix", lambda c: c.entries.select("entry_id", F.col("name").startswith("order").alias("head"), F.col("name").endswith(".zig").alias("tail"), F.col("name").contains("_1").alias("inside"), (F.col("name") == "index").alias("same")), "SELECT entry_id, starts_with(name, 'order') AS head, ends_with(name, '.zig') AS tail, contains(name, '_1') AS inside, name = 'index' AS same FROM entries")
-add("scl18_preview_text", lambda c: c.entries.where("kind = 0").select("entry_id", names.preview_text(F.col("name").cast("binary"), 8).alias("text"), names.preview_highlighted(F.col("name").cast("binary"), 12, 8).alias("highlighted")).where("highlighted or entry_id % 7 = 0 and not text rlike '\\\\x{FFFD}'").where("entry_id < 2000000000000"), "SELECT entry_id, CASE WHEN octet_length(encode(name)) > 8 THEN name[1:8] || chr(10) || chr(10) || '— Preview truncated at 8 bytes —' || chr(10) ELSE name END AS text, octet_length(encode(name)) <= 8 AS highlighted FROM entries WHERE kind = 0 AND entry_id < 2000000000000 AND (octet_length(encode(name)) <= 8 OR entry_id % 7 = 0)")
+add("scl18_preview_text", lambda c: c.entries.where("kind = 0").select("entry_id", names.preview_text(F.col("name").cast("binary"), 8).alias("text"), names.preview_highlighted(F.col("name").cast("binary"), 12, 8).alias("highlighted")), """
+SELECT entry_id, CASE WHEN n <= 8 THEN name ELSE name[1:k] || CASE WHEN octet_length(encode(name[1:k])) < 8 THEN chr(65533) ELSE '' END || chr(10) || chr(10) || '— Preview truncated at 8 bytes —' || chr(10) END AS text, n <= 8 AS highlighted
+FROM (SELECT entry_id, name, octet_length(encode(name)) AS n, list_max(list_filter(range(0, 9), lambda k: octet_length(encode(name[1:k])) <= 8)) AS k FROM entries WHERE kind = 0)""")
 add("scl19_preview_format", lambda c: c.entries.select("entry_id", names.preview_format(F.col("name"), F.col("kind")).alias("format")), "SELECT entry_id, CASE WHEN kind = 1 THEN NULL ELSE CASE lower(regexp_extract(name, '(?s)^.+[.]([^.]*)$', 1)) WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown' WHEN 'sema' THEN 'sema' WHEN 'json' THEN 'json' END END AS format FROM entries")
 add("scl20_terminals", lambda c: c.spark.createDataFrame([(None,), ("",), ("kitty",), ("Warp",)], "configured string").select("configured", F.array_join(sets.terminals(F.col("configured")), ",").alias("tried")), "SELECT * FROM (VALUES (NULL, 'iTerm,Ghostty,WezTerm,kitty,Alacritty,Terminal'), ('', 'iTerm,Ghostty,WezTerm,kitty,Alacritty,Terminal'), ('kitty', 'kitty,iTerm,Ghostty,WezTerm,Alacritty,Terminal'), ('Warp', 'Warp,iTerm,Ghostty,WezTerm,kitty,Alacritty,Terminal')) t(configured, tried)")
 
@@ -184,7 +187,7 @@ SELECT category, cnt, rank, coalesce(extensions, '') AS extensions FROM (SELECT
 LEFT JOIN (SELECT category, string_agg(ext || ':' || cnt, ',' ORDER BY rn) AS extensions FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY cnt DESC, ext) AS rn FROM (SELECT category, ext, CAST(sum(cnt) AS BIGINT) AS cnt FROM breakdown WHERE dir_path = '/data' OR starts_with(dir_path, '/data/') GROUP BY ALL)) WHERE rn <= 16 GROUP BY 1) b USING (category)""")
 add("agg8_capped_count", lambda c: search(c.entries, "order", max_results=2000).agg(F.count("*").alias("n"), h.result_count(F.count("*"), 2000).alias("said")), "SELECT least(count(*), 2000) AS n, least(count(*), 2000) || CASE WHEN count(*) >= 2000 THEN '+' ELSE '' END AS said FROM entries WHERE contains(name_folded, 'order')")
 add("agg9_distinct_folders", lambda c: c.entries.select("dir_path").distinct(), "SELECT DISTINCT dir_path FROM entries")
-add("agg10_posting_lists", lambda c: rollup.posting_lists(c.entries, 10**9).select("category", "block", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "cnt"), "SELECT category, CAST(entry_id // 1000000000 AS BIGINT) AS block, string_agg(CAST(entry_id AS VARCHAR), ',' ORDER BY entry_id) AS ids, count(*) AS cnt FROM entries GROUP BY ALL")
+add("agg10_posting_lists", lambda c: rollup.posting_lists(c.entries).select("category", "block", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "cnt"), "SELECT category, CAST(entry_id // 65536 AS BIGINT) AS block, string_agg(CAST(entry_id AS VARCHAR), ',' ORDER BY entry_id) AS ids, count(*) AS cnt FROM entries GROUP BY ALL")
 add("agg12_sample_statistics", lambda c: sets.sample_statistics(c.entries.where("kind = 0"), "category", "size"), "SELECT category, CAST(list_extract(list_sort(list(size)), CAST(floor(count(*) / 2.0) AS BIGINT) + 1) AS BIGINT) AS median, min(size) AS least, max(size) AS most FROM entries WHERE kind = 0 GROUP BY 1")
 add("agg11_partial_totals", lambda c: c.entries.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "SELECT kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM entries GROUP BY 1")
 
@@ -207,7 +210,7 @@ add("win3_lengths", lambda c: sets.lengths_from_offsets(sets.name_offsets(c.entr
 _A, _B = "size > 20000000", "category = 3"
 add("set1_intersect", lambda c: sets.intersect(c.entries.where(_A), c.entries.where(_B)), f"SELECT entry_id FROM entries WHERE {_A} AND {_B}")
 add("set2_merge", lambda c: sets.merge(c.entries.where(_A), c.entries.where(_B)), f"SELECT entry_id FROM entries WHERE {_A} OR {_B}")
-add("set3_contains_and_count", lambda c: rollup.posting_lists(c.entries, 10**15).select("category", "block", sets.contains(F.col("ids"), 1_000_000_000_014).alias("has"), F.size("ids").alias("n")), "SELECT category, entry_id // 1000000000000000 AS block, bool_or(entry_id = 1000000000014) AS has, CAST(count(*) AS INTEGER) AS n FROM entries GROUP BY ALL")
+add("set3_contains_and_count", lambda c: rollup.posting_lists(c.entries).groupBy("category").agg(F.max(sets.contains(F.col("ids"), 1_000_000_000_014)).alias("has"), F.sum("cnt").alias("n")), "SELECT category, bool_or(entry_id = 1000000000014) AS has, count(*) AS n FROM entries GROUP BY 1")
 add("set4_union_shards", lambda c: sets.union_shards(*(c.entries.where(f"entry_id % 3 = {k}").select("entry_id", *RESULT) for k in range(3))), f"SELECT entry_id, {ROW} FROM entries")
 add("set5_complement", lambda c: sets.complement(c.entries, c.entries.where(_B)), f"SELECT entry_id FROM entries WHERE NOT ({_B})")
 
@@ -222,6 +225,25 @@ add("src8_columns", lambda c: c.entries.select("entry_id", "name", "name_folded"
 add("snk4_shard_lines", lambda c: shards.shard_lines(c.entries), "SELECT replace(replace(replace(name, '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n') || chr(9) || replace(replace(replace(dir_path, '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n') || chr(9) || size || chr(9) || mtime || chr(9) || kind || chr(9) || category AS value FROM entries")
 
 
+add("src7_open_snapshot", lambda c: Catalog(c.spark, c.root).entries.groupBy("category").agg(F.count("*").alias("n"), F.min("entry_id").alias("first"), F.max("entry_id").alias("last")), "SELECT category, count(*) AS n, min(entry_id) AS first, max(entry_id) AS last FROM entries GROUP BY 1")
+add("snk1_snapshot_entries", lambda c: _rebuilt(c).entries.select("entry_id", *RESULT, "name_folded"), f"SELECT entry_id, {ROW}, name_folded FROM entries")
+add("snk3_snapshot_agrees", lambda c: _agreement(_rebuilt(c)), "SELECT dir_path, CAST((SELECT count(*) FROM entries) AS BIGINT) AS published, sum(cnt) AS listed, any_value(total_bytes) AS total_bytes FROM hist JOIN dirs USING (dir_path) GROUP BY 1")
+
+
+def _rebuilt(c: Catalog) -> Catalog:
+    """A snapshot of the catalog's own entries, in a catalog of its own; once for each that is open."""
+    root = f"{c.at}-again"
+    if not Store(c.spark, root).read("CURRENT"):
+        build(c.entries.select(*RAW.names), root, expected=c.count())
+    return Catalog(c.spark, root)
+
+
+def _agreement(c: Catalog) -> DataFrame:
+    """Each folder's entries and bytes, beside how many entries the snapshot says it has."""
+    listed = c.histogram.groupBy("dir_path").agg(F.sum("cnt").alias("listed"))
+    return listed.join(c.dirs, "dir_path").select("dir_path", F.lit(c.count()).cast("long").alias("published"), "listed", "total_bytes")
+
+
 def _shards_read(c: Catalog) -> DataFrame:
     at = f"{c.at}-shards"
     shards.write_shards(c.entries, at)

@@ -11,7 +11,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,10 @@ class Store:
         context.rename(new, self.path(name), options)
 
 
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)
+
+
 @dataclass(frozen=True)
 class Identity:
     snapshot: str
@@ -78,26 +82,33 @@ class Identity:
 def build(entries: DataFrame, root: str, expected: int | None = None, created: int = 0, version: int = SCHEMA_VERSION) -> Identity:
     """Write a snapshot of scanned ``entries`` (RAW columns) and publish it.
 
-    Nothing is published if the rows written aren't the rows read, or not
-    ``expected`` in number, or if anything fails on the way.
+    The source is read once: what it gave is written first and all else is made of
+    that, so a tree that changes meanwhile gives one consistent snapshot. Nothing is
+    published if the rows written aren't as many as the scan gave, or not ``expected``
+    in number, or if anything fails on the way.
     """
     spark = entries.sparkSession
     store, name = Store(spark, root), f"snapshot-{uuid.uuid4().hex}"
     at = f"{root.rstrip('/')}/{name}"
-    entries = entries.select(*(F.col(f.name).cast(f.dataType) for f in RAW))
+    scanned = Observation()
+    entries.select(*(F.col(f.name).cast(f.dataType) for f in RAW)).observe(scanned, F.count(F.lit(1)).alias("n")).write.parquet(f"{at}/scanned")
+    seen = scanned.get["n"]
+    entries = spark.read.schema(RAW).parquet(f"{at}/scanned")
     dirs = rollup.directories(entries)
     dirs.join(rollup.folder_sizes(dirs), "dir_path", "left").select(*DIRS.names).write.parquet(f"{at}/dirs")
     sizes = spark.read.schema(DIRS).parquet(f"{at}/dirs")
     fold = folded if version >= 7 else lower_ascii
     sized = rollup.with_folder_sizes(entries, sizes).withColumn("name_folded", fold(F.col("name")))
-    # one range of ids to a file and folders together in it: statistics cut files and row groups out
-    sized.repartition("category", F.floor(F.col("entry_id") / (1 << 20))).sortWithinPartitions("category", "dir_path", "entry_id").write.partitionBy("category").parquet(f"{at}/entries")
+    # a file holds a range of folders: statistics leave few files to a listing or a scope
+    keys = ["category", "dir_path", "entry_id"]
+    sized.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("category").parquet(f"{at}/entries")
     written = spark.read.schema(ENTRIES).parquet(f"{at}/entries")
     n = written.count()
-    if n != entries.count() or (expected is not None and n != expected):
-        raise CatalogError(f"{n} entries written, {expected if expected is not None else entries.count()} expected: not published")
-    rollup.histogram(written).repartition("dir_path").sortWithinPartitions("dir_path").write.parquet(f"{at}/histogram")
-    rollup.extension_breakdown(written).select(*BREAKDOWN.names).sortWithinPartitions("dir_path").write.parquet(f"{at}/ext_breakdown")
+    if n != seen or (expected is not None and n != expected):
+        raise CatalogError(f"{n} entries written, {seen if expected is None else expected} expected: not published")
+    rollup.histogram(written).repartitionByRange("dir_path").sortWithinPartitions("dir_path").write.parquet(f"{at}/histogram")
+    rollup.extension_breakdown(written).select(*BREAKDOWN.names).repartitionByRange("dir_path").sortWithinPartitions("dir_path").write.parquet(f"{at}/ext_breakdown")
+    store.delete(f"{name}/scanned")
     meta = {"schema_version": version, "entry_count": n, "created": created, "snapshot": name}
     Store(spark, at).replace("META", json.dumps(meta, sort_keys=True))
     store.replace("CURRENT", name)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from ..functions.fold import ASCII_LOWER, ASCII_UPPER, tables
 from ..functions.names import categorize
 from ..schema import CATEGORY_OF, DIRECTORY
 from .catalog import Catalog, build
+from .shared import shared_dir
 
 ORDER_EXTS = (".PDF", ".csv", ".Xlsx", ".zig", ".md", ".JPG", ".tar.gz", "", ".php", ".blade.php", ".mp3", ".MOV", ".ZIP", ".unheardof")
 HOME_NAMES = (".env", "node_modules", "notes.TXT", "Makefile", "x.blade.php")
@@ -104,15 +104,6 @@ def oracle(text: str) -> str:
 _built: dict[tuple[str, str], str] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors share, as the session names it; one of our own where it names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="foliant-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The catalog of a folder of test tables, built once in a Spark application."""
     key = spark.sparkContext.applicationId, sf_dir

@@ -1,9 +1,10 @@
 """File-system scan as a Spark data source, and the rules of what is left out.
 
 ``spark.dataSource.register(FileTreeSource)``, then
-``spark.read.format("filetree").option("root", "/data").load()``. Each folder right
-below the root is a partition that a task walks on its own; the tree has to be
-mounted on the executors.
+``spark.read.format("filetree").option("root", "/data").load()``. The driver lists
+folders, level by level from the root, until it has at least ``splits`` (default 256)
+subtrees; each is a partition that a task walks on its own, and the folders above
+them are listed by tasks as well. The tree has to be mounted on the executors.
 """
 
 from __future__ import annotations
@@ -78,12 +79,15 @@ class Subtree(InputPartition):
 
 
 class FileTreeReader(DataSourceReader):
-    def __init__(self, root: str) -> None:
-        self.root = root
+    def __init__(self, root: str, splits: int) -> None:
+        self.root, self.splits = root, splits
 
     def partitions(self) -> list[InputPartition]:
-        below = [path for _, path in scan_one(self.root) if path]
-        return [Subtree(self.root, False), *(Subtree(p, True) for p in below)]
+        above, below = [], [self.root]
+        while below and len(below) < self.splits:
+            above += below
+            below = [path for folder in below for _, path in scan_one(folder) if path]
+        return [*(Subtree(p, False) for p in above), *(Subtree(p, True) for p in below)]
 
     def read(self, partition: Subtree):
         left = [partition.folder]
@@ -103,7 +107,7 @@ class FileTreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> FileTreeReader:
-        return FileTreeReader(os.path.normpath(self.options["root"]))
+        return FileTreeReader(os.path.normpath(self.options["root"]), int(self.options.get("splits", 256)))
 
 
 def scan(spark, root: str) -> DataFrame:

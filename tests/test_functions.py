@@ -18,15 +18,15 @@ def test_fold_table():
 
 
 def test_fold(spark):
-    cases = {"ΟΔΟΣ": "οδοσ", "οδος": "οδοσ", "CŒUR": "cœur", "ŁÓDŹ": "łódź", "µ": "μ", "×": "×", "ẞ": "ẞ", "K": "K", "ſ": "ſ", "İ": "İ", "Résumé Final.PDF": "résumé final.pdf", "Москва": "москва", "Ƃudget": "ƃudget", "ᲐᲜ": "ან", "": ""}
+    cases = {"ΟΔΟΣ": "οδοσ", "οδος": "οδοσ", "CŒUR": "cœur", "ŁÓDŹ": "łódź", "µ": "μ", "×": "×", "ẞ": "ẞ", "K": "K", "ſ": "ſ", "İ": "İ", "Crème Brûlée.DOCX": "crème brûlée.docx", "Москва": "москва", "Ƃudget": "ƃudget", "ᲐᲜ": "ან", "": ""}
     assert [fold.fold(t) for t in cases] == list(cases.values())
     assert column(spark, list(cases), fold.folded) == list(cases.values())
-    assert column(spark, ["MÜNCHEN"], fold.lower_ascii) == ["mÜnchen"]
+    assert column(spark, ["KÖLN Süd"], fold.lower_ascii) == ["kÖln süd"]
     assert fold.fold_bytes(b"A\xff\xc3B\x80\xe2\x82") == b"a\xff\xc3b\x80\xe2\x82"
 
 
 def test_categories_and_extensions(spark):
-    want = {"photo.png": 1, "photo.JPG": 1, "readme.md": 2, "report.pdf": 3, "data.csv": 4, "song.mp3": 5, "movie.mp4": 6, "main.zig": 7, "program.sema": 7, "backup.tar": 8, "backup.tar.gz": 8, "Makefile": 0, "": 0, ".gitignore": 0, ".env": 0, "data.json.bak": 0, "x.makefile": 7}
+    want = {"photo.png": 1, "photo.JPG": 1, "readme.md": 2, "report.pdf": 3, "data.csv": 4, "song.mp3": 5, "movie.mp4": 6, "main.zig": 7, "program.sema": 7, "backup.tar": 8, "backup.tar.gz": 8, "Makefile": 0, "": 0, ".gitignore": 0, ".env": 0, "sums.toml.old": 0, "x.makefile": 7}
     assert column(spark, list(want), names.categorize) == list(want.values())
     exts = {"foo.tar.gz": "gz", ".gitignore": None, "noext": None, "": None, "trailing.": None, "a\nb.Txt": "Txt", "..x": "x"}
     assert column(spark, list(exts), names.extension) == list(exts.values())
@@ -60,10 +60,10 @@ def test_paths(spark):
 
 def test_numbers(spark):
     got = lambda make, values, kind="bigint": column(spark, values, make, kind)
-    assert got(humanize.binary_bytes, [0, 512, 1023, 1024, 531_615_807, 1 << 40, (1 << 50) * 3]) == ["0 B", "512 B", "1023 B", "1.0 KiB", "506.9 MiB", "1.0 TiB", "3.0 PiB"]
-    assert got(humanize.duration, [-4, 850, 24_935, 2278, 65_000, 3_600_000]) == ["0ms", "850ms", "24.9s", "2.2s", "1m 05s", "60m 00s"]
-    assert got(humanize.count, [999, 5_704_872]) == ["999", "5,704,872"]
-    assert got(humanize.spaced_count, [5_704_872]) == ["5 704 872"]
+    assert got(humanize.binary_bytes, [0, 512, 1023, 1024, 48_000_000, 1 << 40, (1 << 50) * 3]) == ["0 B", "512 B", "1023 B", "1.0 KiB", "45.7 MiB", "1.0 TiB", "3.0 PiB"]
+    assert got(humanize.duration, [-4, 620, 31_480, 4199, 127_000, 3_600_000]) == ["0ms", "620ms", "31.4s", "4.1s", "2m 07s", "60m 00s"]
+    assert got(humanize.count, [999, 8_213_409]) == ["999", "8,213,409"]
+    assert got(humanize.spaced_count, [8_213_409]) == ["8 213 409"]
     sizes = [0, 999, 1000, 1049, 1050, 1150, 248_850, 612_150, 999_949, 999_951, 123_456_789, 5_000_000_000, 7_250_000_000_000, 9_000_000_000_000_000]
 
     def plain(n):

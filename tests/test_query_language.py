@@ -24,7 +24,7 @@ MB = 1 << 20
     ("", Query()),
     ("foo:bar hello", Query("foo:bar hello")),
     ("foo ext:pdf bar", Query("foo bar", (Extension("pdf"),))),
-    ("ext:PHP,html", Query("", (Extension("php,html"),))),
+    ("ext:SVG,webp", Query("", (Extension("svg,webp"),))),
     ("ext:, ext:" + "a" * 65 + " kind:x cat:y kind: :file !", Query("ext:, ext:" + "a" * 65 + " kind:x cat:y kind: :file !")),
     ("ext:PÅ ext:Ƃ", Query("", (Extension("på"), Extension("ƃ")))),
     ("!size:>1mb !date:today", Query("", (Size("gt", MB), Date("gte", 1_699_913_600)))),
@@ -53,7 +53,7 @@ def test_dates(text, ok):
         assert q.date_text(q.parse_date(text)) == text
 
 
-@pytest.mark.parametrize("text", ["ext:php,html", "!ext:blade.php,html", "kind:folder", "!kind:symlink", "cat:code", "!cat:other", "size:>1mb", "size:1mb..10mb", "size:>500kb", "size:<=0", "size:7b", "date:>2024-01-01", "date:today", "date:week", "date:month", "date:year", "date:2024-01-01..2024-02-01", "path:Src/"])
+@pytest.mark.parametrize("text", ["ext:svg,webp", "!ext:tar.zst,iso", "kind:folder", "!kind:symlink", "cat:code", "!cat:other", "size:>1mb", "size:1mb..10mb", "size:>500kb", "size:<=0", "size:7b", "date:>2024-01-01", "date:today", "date:week", "date:month", "date:year", "date:2024-01-01..2024-02-01", "path:Src/"])
 def test_printing_is_the_inverse(text):
     (c,) = parse(text, NOW).criteria
     assert q.format_criterion(c, NOW) == text
@@ -68,10 +68,10 @@ def test_printing_odd_values():
 
 def test_structured_filter():
     f = StructuredFilter
-    assert f.parse("Cat:CODE").category == "code"
-    assert f("code", frozenset({"zig", "rs"}), "fmt").encoded == "cat:code ext:rs ext:zig fmt"
-    assert f.parse("car ext:PHP,html").encoded == "ext:php,html car"
-    assert f.parse("!ext:php,html report").text == "!ext:php,html report"
+    assert f.parse("Cat:AUDIO").category == "audio"
+    assert f("audio", frozenset({"ogg", "flac"}), "live").encoded == "cat:audio ext:flac ext:ogg live"
+    assert f.parse("tour ext:SVG,webp").encoded == "ext:svg,webp tour"
+    assert f.parse("!ext:log,tmp minutes").text == "!ext:log,tmp minutes"
     assert f.parse("cat: ext: a") == f(text="a") and f.parse("cat:a cat:b").category == "b"
     assert f.parse("  ").is_empty
 
@@ -91,7 +91,7 @@ def test_facet_clicks():
     assert f("code", frozenset({"a"})).click_extension("b", "text", True) == f(None, frozenset({"a", "b"}))
     assert f("code", frozenset({"a", "b"})).click_extension("a", "code", True) == f("code", frozenset({"b"}))
     assert f().click_extension("a", "code", True) == f("code", frozenset({"a"}))
-    assert f(extensions=frozenset({"php,html"})).shows("html") and not f(extensions=frozenset({"xhtml"})).shows("html")
+    assert f(extensions=frozenset({"svg,webp"})).shows("webp") and not f(extensions=frozenset({"xwebp"})).shows("webp")
 
 
 def test_saved_filters_and_paths():
