@@ -38,7 +38,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return rules.report(docs, rules.ratios(docs, table(spark, sf_dir, "labels").where("quality = 1")))
+    return rules.report(docs, rules.ratios(docs, table(spark, sf_dir, "labels").where("quality = 1"))).drop("log_ratio")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +89,29 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: The fixed values 4, 14 bits (16384 buckets), 16777619, 2654435761, -0.25 and 50 are those of rules.py and features.py.
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (SELECT r, k, count(*) OVER (PARTITION BY r, a) AS n FROM (SELECT r, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS a FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM b))),
+repeats AS (SELECT r, count(DISTINCT pos) AS n_repeat FROM (SELECT r, unnest(range(k, k + 3)) AS pos FROM windows WHERE n > 1) GROUP BY 1),
+bytes AS (SELECT r, doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM (SELECT r, doc_id, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda y: CAST('0x' || y AS BIGINT)) AS x FROM d)),
+quads AS (SELECT r, doc_id, v AS a, lead(v, 1) OVER o AS b, lead(v, 2) OVER o AS c, lead(v, 3) OVER o AS e FROM bytes WINDOW o AS (PARTITION BY r ORDER BY i)),
+grams AS (SELECT r, doc_id, CAST((CAST(h4 AS HUGEINT) * 2654435761 % 4294967296) // 262144 AS BIGINT) AS g FROM (SELECT r, doc_id, xor(h3 * 16777619 % 4294967296, e) AS h4 FROM (SELECT *, xor(h2 * 16777619 % 4294967296, c) AS h3 FROM (SELECT *, xor(h1 * 16777619 % 4294967296, b) AS h2 FROM (SELECT *, xor(CAST(4 AS BIGINT) * 16777619 % 4294967296, a) AS h1 FROM quads WHERE e IS NOT NULL))))),
+per AS (SELECT r, g, count(*) AS n FROM grams GROUP BY ALL),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+buckets AS (SELECT g, sum(n) AS raw, coalesce(sum(n) FILTER (WHERE doc_id IN (SELECT doc_id FROM good)), 0) AS target FROM (SELECT per.*, doc_id FROM per JOIN d USING (r)) GROUP BY 1),
+sums AS (SELECT sum(raw) + 16384 AS all_raw, sum(target) + 16384 AS all_target, sum(target) AS any_target FROM buckets),
+ratio AS (SELECT g, CASE WHEN any_target = 0 THEN 0 ELSE ln((target + 1) / all_target) - ln((raw + 1) / all_raw) END AS x FROM buckets, sums),
+score AS (SELECT r, sum(n * x) / sum(n) AS mean FROM per JOIN ratio USING (g) GROUP BY 1),
+counts AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, coalesce(mean, 0) AS mean FROM b LEFT JOIN repeats USING (r) LEFT JOIN score USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT base_failed AND mean >= -0.25 AS kept FROM counts
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language, op2_quality, op3_token_files, op4_main_text, op5_decontaminate, op6_secrets, op7_byte_bpe, op8_token_counts, op9_rules, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op9_rules": OP9_SQL}

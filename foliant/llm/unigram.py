@@ -19,7 +19,9 @@ them in another order gives the same sums. Each distinct unit is counted once wh
 it stays in a bounded table. ``UnigramCounter`` checks the vocabulary for this and
 goes through whole texts otherwise.
 
-Null and empty texts have 0 tokens.
+Null and empty texts have 0 tokens. Every piece of the vocabulary is matched as text,
+control, unknown and byte pieces too, as the tokenizers library's unigram model does: a
+text that spells ``<s>`` holds that piece.
 """
 
 from __future__ import annotations
@@ -104,7 +106,6 @@ class UnigramCounter:
             return np.array([self.count(t or "") for t in col.to_pylist()], np.int64)
         if self.table.reset_if_full():
             self.used = 0
-        buf, offsets = text_bytes(col)
         # a text's first unit has no separator of its own: it is looked up with the blank put in front
         col = pa.array([(" " + t) if t else "" for t in col.to_pylist()], pa.string())
         buf, offsets = text_bytes(col)

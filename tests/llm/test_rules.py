@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 
@@ -107,7 +108,8 @@ def test_ratio_and_verdict_by_brute_force(spark):
     n = 1 << rules.BITS
     base = math.log(sum(raw.values()) + n) - math.log(sum(target.values()) + n)
     ratio = {k: math.log(target[k] + 1) - math.log(raw[k] + 1) + base for k in raw}
-    for r in queries.op9_rules(spark, sf).collect():
+    tables = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
+    for r in rules.report(tables[0], rules.ratios(*tables)).collect():
         g = grams(docs[r.doc_id])
         want = sum(map(ratio.__getitem__, g)) / max(1, len(g))
         assert abs(r.log_ratio - want) < 1e-9
@@ -120,3 +122,15 @@ def test_null_and_repeated_ids_in_the_ratio(spark):
     ratio = rules.ratios(docs, trusted)
     up = {t: sum(ratio[g] for g in grams(t)) > 0 for t in ("abcdefgh", "ijklmnop", "qrstuvwx")}
     assert up == {"abcdefgh": True, "ijklmnop": True, "qrstuvwx": False}
+
+
+def test_query_equals_sql(spark, tmp_path, odd_docs):
+    odd_docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (5, 1, 1), (6, 0, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for at, files in ((SF.replace("0.001", "0.01"), ""), (str(tmp_path), "/*.parquet")):
+        con = duckdb.connect()
+        for t in ("documents", "labels"):
+            con.sql(f"create view {t} as select * from '{at}/{t}.parquet{files}'")
+        got, want = queries.op9_rules(spark, at), con.sql(queries.OP9_SQL)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
