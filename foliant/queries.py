@@ -250,6 +250,21 @@ def _shards_read(c: Catalog) -> DataFrame:
     return shards.read_shards(c.spark, at).select(*RESULT)
 
 
+_NEXT = "CASE WHEN entry_id % 11 = 0 THEN mtime + 1 ELSE mtime END"
+_PATH = "CASE WHEN dir_path = '/' THEN '/' || name ELSE dir_path || '/' || name END"
+_STATE = "count(*) AS n, min((CASE WHEN kind = 1 THEN 0 ELSE size END, mtime, kind)) AS least, max((CASE WHEN kind = 1 THEN 0 ELSE size END, mtime, kind)) AS most"
+add("str1_changes", lambda c: watch.changes(c.entries, _next_scan(c.entries)), f"""
+SELECT path, change FROM (SELECT path, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN (a.n, a.least, a.most) <> (b.n, b.least, b.most) THEN 'modified' END AS change
+FROM (SELECT {_PATH} AS path, {_STATE} FROM entries GROUP BY 1) a
+FULL JOIN (SELECT path, {_STATE} FROM (SELECT {_PATH} AS path, kind, size, {_NEXT} AS mtime FROM entries WHERE entry_id % 7 <> 0 UNION ALL SELECT {_PATH} || '.new', kind, size, mtime FROM entries WHERE entry_id % 13 = 0) GROUP BY 1) b USING (path)) WHERE change IS NOT NULL""")
+
+
+def _next_scan(entries: DataFrame) -> DataFrame:
+    """What a later scan might give: entries gone, touched and new."""
+    later = entries.where("entry_id % 7 != 0").withColumn("mtime", F.expr(_NEXT))
+    return later.unionByName(entries.where("entry_id % 13 = 0").withColumn("name", F.concat("name", F.lit(".new"))))
+
+
 def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     second = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")

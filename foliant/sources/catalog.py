@@ -8,7 +8,9 @@ never changed. Paths may be in any store that Spark's Hadoop file systems reach.
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -116,13 +118,14 @@ def build(entries: DataFrame, root: str, expected: int | None = None, created: i
 
 
 class Catalog:
-    """An open snapshot."""
+    """An open snapshot. With ``poll``, a query first looks for a newer one if the last look is so many seconds ago."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, poll: float | None = None, clock: Callable[[], float] = time.monotonic) -> None:
+        self.spark, self.root, self.poll, self.clock = spark, root.rstrip("/"), poll, clock
         self._open()
 
     def _open(self) -> None:
+        self.looked = self.clock()
         name = Store(self.spark, self.root).read("CURRENT")
         if name is None:
             raise CatalogError(f"no catalog at {self.root}")
@@ -138,6 +141,7 @@ class Catalog:
 
     def refresh(self) -> bool:
         """Open the newest snapshot if it isn't this one."""
+        self.looked = self.clock()
         if (Store(self.spark, self.root).read("CURRENT") or "").strip() == self.identity.snapshot:
             return False
         self._open()
@@ -147,4 +151,6 @@ class Catalog:
         return self.identity.entry_count
 
     def query(self, text: str, scope: str = "/", max_depth: int = MAX_DEPTH, max_results: int = CLIENT_CAP, now: int = 0) -> DataFrame:
+        if self.poll is not None and self.clock() - self.looked >= self.poll:
+            self.refresh()
         return search(self.entries, text, scope, max_depth, max_results, now, self.version)

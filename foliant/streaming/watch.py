@@ -1,8 +1,9 @@
 """Rebuilding a catalog as changes come in.
 
-Changes are a stream of paths. Each micro-batch counts the relevant ones, and a
-trigger decides whether the snapshot is built anew: daily, after many changes, or
-some time after few.
+Changes are a stream of paths: from another system, or what a new scan differs in
+from the snapshot (``changes``, ``record``). Each micro-batch counts the relevant
+ones, and a trigger decides whether the snapshot is built anew: daily, after many
+changes, or some time after few.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.names import is_under
+from ..functions.names import is_under, join_path
+from ..schema import DIRECTORY
 
 # How often is looked, how long few changes wait, how many don't, and how old a scan may get; seconds.
 POLL = 2.0
@@ -75,6 +77,47 @@ def watch(changes: DataFrame, path: str, trigger: RebuildTrigger, own_output: st
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{POLL:g} seconds")).start()
 
 
+def watch_and_build(first_build: Callable[[], object], *args: object, **named: object) -> StreamingQuery:
+    """Start the loop (see ``watch``), then build for the first time: no change is missed in between. If the build fails the loop ends."""
+    query = watch(*args, **named)
+    try:
+        first_build()
+    except BaseException:
+        query.stop()
+        raise
+    return query
+
+
+CHANGES = "path string, change string"
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, change): entries that were added, removed or modified between two scans of a tree.
+
+    One full join by path. Rows that share a path count as one entry, modified if their
+    number, or the least or greatest of them, differ. A folder's own size is that of
+    what lies in it and is not compared.
+    """
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        row = F.struct(F.when(F.col("kind") == DIRECTORY, 0).otherwise(F.col("size")).alias("size"), "mtime", "kind")
+        state = F.struct(F.count(F.lit(1)).alias("n"), F.min(row).alias("least"), F.max(row).alias("most"))
+        return df.groupBy(join_path(F.col("dir_path"), F.col("name")).alias("path")).agg(state.alias(mark))
+
+    both = side(before, "was").join(side(after, "now"), "path", "full")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "modified")
+    return both.select("path", change.alias("change")).where("change is not null")
+
+
+def record(before: DataFrame, after: DataFrame, folder: str) -> None:
+    """Append the changes to a folder of Parquet files; ``recorded`` is the stream of them."""
+    changes(before, after).write.mode("append").parquet(folder)
+
+
+def recorded(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.readStream.schema(CHANGES).parquet(folder)
+
+
 def ticks(events: DataFrame, root: str, second: Column) -> DataFrame:
     """Changes of each root counted by polls: (root, tick, changes)."""
     return events.groupBy(F.col(root).alias("root"), F.floor(second / POLL).alias("tick")).agg(F.count("*").alias("changes"))

@@ -396,3 +396,39 @@ def test_stream_of_changes_rebuilds(spark, tmp_path):
         q.awaitTermination(60)
         now[0] += 40
     assert len(built) == 1 and catalog.Catalog(spark, root).count() == 6
+
+
+def test_changes_of_a_tree_drive_the_watch(spark, tmp_path):
+    tree, log = tmp_path / "tree", f"file://{tmp_path}/log"
+    tree.mkdir()
+    for n in ("same", "touched", "gone"):
+        (tree / n).write_text("x")
+        os.utime(tree / n, (1000, 1000))
+    scan = lambda: files.scan(spark, str(tree)).withColumn("entry_id", F.xxhash64("dir_path", "name"))
+    root = f"file://{tmp_path}/cat"
+    catalog.build(scan(), root)
+    before = catalog.Catalog(spark, root)
+    (tree / "gone").unlink()
+    os.utime(tree / "touched", (2000, 2000))
+    (tree / "fresh").write_text("y")
+    assert sorted((r.path.rsplit("/", 1)[1], r.change) for r in watch.changes(before.entries, scan()).collect()) == [("fresh", "added"), ("gone", "removed"), ("touched", "modified")]
+    order = []
+    trigger = watch.RebuildTrigger(lambda: order.append("rebuild"), 0.0)
+    watch.record(before.entries, scan(), log)
+    started = watch.watch_and_build(lambda: order.append("first build"), watch.recorded(spark, log), "path", trigger, None, f"file://{tmp_path}/ck", clock=lambda: 100.0, available_now=True)
+    started.awaitTermination(60)
+    assert trigger.rebuilds == 1 and sorted(order) == ["first build", "rebuild"]
+    with pytest.raises(ZeroDivisionError):
+        watch.watch_and_build(lambda: 1 / 0, watch.recorded(spark, log), "path", trigger, None, f"file://{tmp_path}/ck2")
+    assert not spark.streams.active
+
+
+def test_polling_finds_a_newer_snapshot(spark, tmp_path):
+    root, now = f"file://{tmp_path}/cat", [0.0]
+    catalog.build(frame(spark, GOLDEN[:1]), root)
+    c = catalog.Catalog(spark, root, poll=5.0, clock=lambda: now[0])
+    catalog.build(frame(spark, GOLDEN), root)
+    now[0] = 4.0
+    assert c.query("report").count() == 1
+    now[0] = 5.0
+    assert c.query("report").count() == 2
