@@ -73,6 +73,10 @@ class Store:
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
+    def forget(self) -> None:
+        """Delete the whole folder when the driver ends."""
+        self.fs.deleteOnExit(self.path(""))
+
 
 @dataclass(frozen=True)
 class Identity:
@@ -100,10 +104,11 @@ def build(entries: DataFrame, root: str, expected: int | None = None, created: i
     dirs.join(rollup.folder_sizes(dirs), "dir_path", "left").select(*DIRS.names).write.parquet(f"{at}/dirs")
     sizes = spark.read.schema(DIRS).parquet(f"{at}/dirs")
     fold = folded if version >= 7 else lower_ascii
-    sized = rollup.with_folder_sizes(entries, sizes).withColumn("name_folded", fold(F.col("name")))
     # a file holds a range of folders: statistics leave few files to a listing or a scope
     keys = ["category", "dir_path", "entry_id"]
-    sized.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("category").parquet(f"{at}/entries")
+    sized = rollup.with_folder_sizes(entries, sizes).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # names are folded behind the exchange, whose sample would fold them a second time
+    sized.withColumn("name_folded", fold(F.col("name"))).write.partitionBy("category").parquet(f"{at}/entries")
     written = spark.read.schema(ENTRIES).parquet(f"{at}/entries")
     n = written.count()
     if n != seen or (expected is not None and n != expected):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.fold import ASCII_LOWER, ASCII_UPPER, tables
 from ..functions.names import categorize
 from ..schema import CATEGORY_OF, DIRECTORY
-from .catalog import Catalog, build
+from .catalog import Catalog, Store, build
 from .shared import shared_dir
 
 ORDER_EXTS = (".PDF", ".csv", ".Xlsx", ".zig", ".md", ".JPG", ".tar.gz", "", ".php", ".blade.php", ".mp3", ".MOV", ".ZIP", ".unheardof")
@@ -105,10 +105,11 @@ _built: dict[tuple[str, str], str] = {}
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The catalog of a folder of test tables, built once in a Spark application."""
+    """The catalog of a folder of test tables, built once in a Spark application and deleted at its end."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _built:
         root = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
         build(raw_entries(spark, sf_dir), root, created=NOW)
+        Store(spark, root).forget()
         _built[key] = root
     return Catalog(spark, _built[key])
