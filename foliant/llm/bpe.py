@@ -45,7 +45,7 @@ LONG = 256
 NONE = 1 << 60
 #: Pieces of up to so many bytes, and pairs of tokens, whose results are remembered; how many of each.
 SHORT = 16
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .textbatch import SpanHash, white_words
+from .textbatch import span_hash, white_words
 
 # Letters a-z and all bytes of non-ASCII characters stay; A-Z are folded; the rest is a blank.
 LETTERS = np.full(256, 32, np.uint8)
@@ -14,7 +14,6 @@ LETTERS[97:123] = np.arange(97, 123)
 LETTERS[65:91] = np.arange(97, 123)
 LETTERS[128:] = np.arange(128, 256)
 
-span_hash = SpanHash()
 
 
 def byte_grams(buf: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = texts.groupBy("id", "label").agg(F.min("text").alias("text")).select(F.col("id").cast("string").alias("id"), "text", "label")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_batches(batches):
+        for batch in arrow_batches(batches, 128):
             buf, offsets = text_bytes(batch.column("text"))
             parts = [(h, np.concatenate([[0], np.cumsum(per)])) for h, per in features(buf, offsets)]
             bucket, share = [], []
@@ -141,7 +141,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_batches(batches):
+        for batch in arrow_batches(batches, 128):
             yield batch.append_column(name, pa.array(sent.value.score(batch.column(text_col))))
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))

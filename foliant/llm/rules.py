@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .features import byte_grams, group_sums
 from .session import bounded_batches
-from .textbatch import SpanHash, WordTable, arrow_batches, mix, runs, text_bytes, white_words
+from .textbatch import WordTable, arrow_batches, mix, runs, span_hash, text_bytes, white_words
 
 GRAM = 4
 BITS = 14
@@ -34,7 +34,6 @@ MIN_WORDS = 50
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[*b"#*$%&|<>"]] = 1
-_span_hash = SpanHash()
 
 
 def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -79,7 +78,7 @@ def base_counts(buf: np.ndarray, offsets: np.ndarray, table: WordTable) -> dict[
     doc = np.repeat(np.arange(docs), lines)
     full = words[b] > words[a]
     a, b, doc = a[full], b[full], doc[full]
-    key = _span_hash(buf, a, b) + mix(doc.astype(np.uint64) + np.uint64(77))
+    key = span_hash(buf, a, b) + mix(doc.astype(np.uint64) + np.uint64(77))
     _, group, size = np.unique(key, return_inverse=True, return_counts=True)
     again, seen, raw = np.zeros(docs, np.int64), set(), memoryview(data)
     for k in np.flatnonzero(size[group] > 1).tolist():

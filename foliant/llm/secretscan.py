@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import bounded_batches, room_for, sample
-from .textbatch import SpanHash, arrow_batches, fold_ascii, runs, text_bytes
+from .textbatch import arrow_batches, fold_ascii, runs, span_hash, text_bytes
 
 # Base patterns, fixed values: (kind, pattern, group that is measured, its least length).
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -71,12 +71,11 @@ WORDS = 256
 #: How many values each feature has.
 SIZES = (10 * 32, 6 * 2 * 10, 5 * 10, 2 * 8, 2 * 8, 8, len(PREFIXES) + 1, 32 * 2, 32 * 2, 4 * 2, WORDS + 1, WORDS + 1)
 _FIRST = np.cumsum((0, *SIZES))[:-1]
-_hash = SpanHash()
 
 
 def _word_hashes(words: tuple[str, ...]) -> np.ndarray:
     buf, offsets = text_bytes(pa.array(words, pa.string()))
-    return np.sort(_hash(buf, offsets[:-1], offsets[1:]))
+    return np.sort(span_hash(buf, offsets[:-1], offsets[1:]))
 
 
 _NAMES = _word_hashes(NAMES)
@@ -118,7 +117,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     named, word = np.zeros(n, bool), np.zeros(n, np.int64)
     maybe = np.flatnonzero((size >= 2) & (size <= 16))
     if len(maybe):
-        h = _hash(fold_ascii(buf), starts[maybe], ends[maybe])
+        h = span_hash(fold_ascii(buf), starts[maybe], ends[maybe])
         named[maybe] = _NAMES[np.minimum(np.searchsorted(_NAMES, h), len(_NAMES) - 1)] == h
         word[maybe] = 1 + (h & np.uint64(WORDS - 1)).astype(np.int64)
     before = np.concatenate([[False], named[:-1]]) & ~is_first[:n]
@@ -364,7 +363,7 @@ def with_spans(docs: DataFrame, field: Field, text_col: str = "text", name: str
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_batches(batches):
+        for batch in arrow_batches(batches, 128):
             spans = [[{"kind": k, "start": i, "end": j} for k, i, j in s] for s in scan(batch.column(text_col), sent.value)]
             yield batch.append_column(name, pa.array(spans, _SPANS))
 
@@ -398,7 +397,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", by: str = "[SE
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_batches(batches):
+        for batch in arrow_batches(batches, 128):
             k = batch.schema.get_field_index(text_col)
             texts = batch.column(k)
             spans = scan(texts, sent.value)

@@ -95,6 +95,10 @@ class SpanHash:
     """64-bit hashes of many byte spans of a buffer, from one running sum of b[i] * R^i."""
 
     def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        """Drop the powers, 16 bytes for each byte of the longest buffer so far."""
         self.power = self.inverse = np.ones(1, np.uint64)
 
     def _grow(self, n: int) -> None:
@@ -117,6 +121,9 @@ class SpanHash:
         return mix((total[ends] - total[starts]) * self.inverse[starts])
 
 
+span_hash = SpanHash()  # one for all, so its powers are held once
+
+
 class WordTable:
     """Gives each distinct byte string an id, 0 upward, and calls ``fill`` for strings seen first.
 
@@ -335,7 +342,8 @@ def arrow_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
 
 
 def give_back() -> None:
-    """Return freed memory that the allocators hold to the system."""
+    """Return freed memory that the allocators hold to the system, and what can be made again."""
+    span_hash.clear()
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
