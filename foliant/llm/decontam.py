@@ -122,7 +122,7 @@ class Automaton:
 
     def stream(self, words: list[int]) -> tuple[list[tuple[int, int]], set]:
         """Occurrences as (first, end) word positions, and the items that occur."""
-        s = n = 0
+        s, n, run = 0, 0, -1
         found: list[tuple[int, int]] = []
         items, held = set(), set()
         move, link, length, window, short, holder = self.next, self.link, self.length, self.window, self.short, self.holder
@@ -135,9 +135,10 @@ class Automaton:
             s = move[s][w]
             n += 1
             if n >= window:
-                if found and found[-1][1] == k - 1:
-                    found[-1] = found[-1][0], k
+                if run >= 0 and found[run][1] == k - 1:  # windows one behind the other are one stretch
+                    found[run] = found[run][0], k
                 else:
+                    run = len(found)
                     found.append((k - window, k))
                 held.add(holder[s])
             t = short[s]

@@ -4,7 +4,7 @@ import re
 import time
 
 import duckdb
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from cases import SF
@@ -33,7 +33,9 @@ def brute(docs, items, window):
     return out
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=500, deadline=None)
+@example(["b", "aaba"], "aaba", 4)
+@example(["b", "aaba", "ab", "abaab"], "aabaabaab", 4)
 @given(st.lists(st.text("abc", max_size=9), max_size=6), st.text("abcd", max_size=40), st.integers(1, 4))
 def test_automaton_finds_every_occurrence(items, doc, window):
     shard = decontam.make_shard([(str(k), [c.encode() for c in x]) for k, x in enumerate(items)], window)
