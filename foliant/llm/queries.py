@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, langid, quality, rules, secretscan, simhash, tokenfiles, unigram
+from . import bpe, decontam, fim, htmltext, langid, quality, resample, rules, secretscan, simhash, tokenfiles, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -109,9 +117,49 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 """
 
 
+#: CRC-32 by its polynomial: a table of 256 remainders, then byte by byte over each distinct feature.
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (SELECT n, 0 AS k, n AS c FROM range(256) x(n) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+fd AS (SELECT r, unnest(w) AS f FROM d UNION ALL SELECT r, w[k] || ' ' || w[k + 1] FROM (SELECT r, w, unnest(range(1, len(w))) AS k FROM d)),
+fi AS (SELECT unnest(w) AS f FROM i UNION ALL SELECT w[k] || ' ' || w[k + 1] FROM (SELECT w, unnest(range(1, len(w))) AS k FROM i)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda y: CAST('0x' || y AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS g
+  FROM (SELECT f FROM fd UNION SELECT f FROM fi), crc),
+s AS (SELECT g, count(*) AS n FROM fd JOIN hashed USING (f) GROUP BY g),
+t AS (SELECT g, count(*) AS n FROM fi JOIN hashed USING (f) GROUP BY g),
+gain AS (
+  SELECT s.g, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) AS DOUBLE) + 1) * (a.all_s + 10000) / ((CAST(s.n AS DOUBLE) + 1) * (b.all_t + 10000)))) AS BIGINT) AS v
+  FROM s LEFT JOIN t USING (g), (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) AS all_s FROM s) a, (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) AS all_t FROM t) b),
+weights AS (SELECT r, count(*) AS n, CAST(floor(sum(v) / count(*)) AS BIGINT) AS weight FROM fd JOIN hashed USING (f) JOIN gain USING (g) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS p, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN p <= 25 * placed.n // 100 THEN p END AS rank FROM scored LEFT JOIN placed USING (r)
+"""
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT *, CAST(length(t) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS x FROM d),
+c AS (
+  SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS i, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS j,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM n),
+p AS (SELECT *, substr(t, 1, i) AS prefix, substr(t, i + 1, j - i) AS middle, substr(t, j + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_quality, op3_token_files, op4_main_text, op5_decontaminate, op6_secrets, op7_byte_bpe, op8_token_counts, op9_rules, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_quality, op3_token_files, op4_main_text, op5_decontaminate, op6_secrets, op7_byte_bpe, op8_token_counts, op9_rules, op10_simhash, op11_resample, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op9_rules": OP9_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op9_rules": OP9_SQL, "op11_resample": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
