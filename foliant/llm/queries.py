@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fim, htmltext, langid, quality, resample, rules, secretscan, simhash, tokenfiles, unigram
+from . import bpe, decontam, fim, htmltext, langid, neardup, quality, resample, rules, secretscan, simhash, tokenfiles, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(table(spark, sf_dir, "documents"))
 
@@ -158,7 +162,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_quality, op3_token_files, op4_main_text, op5_decontaminate, op6_secrets, op7_byte_bpe, op8_token_counts, op9_rules, op10_simhash, op11_resample, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_language, op2_quality, op3_token_files, op4_main_text, op5_decontaminate, op6_secrets, op7_byte_bpe, op8_token_counts, op9_rules, op10_simhash, op11_resample, op12_vectors, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
