@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import LETTERS, byte_grams
-from .session import sample, bounded_batches
+from .session import bounded_batches, distinct_rows, sample
 from .textbatch import arrow_batches, text_bytes
 
 GRAMS = (2, 3)
@@ -90,14 +90,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null and label is not null")
-    found = docs.groupBy("label").count().limit(LANGUAGES + 1).collect()
+    found = docs.groupBy("label").agg(distinct_rows("id", "text").alias("rows")).limit(LANGUAGES + 1).collect()
     if len(found) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} distinct values in {label_col}")
     if not found:
         return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0, int), np.zeros(0))
     each = min(rows_each, max(1, rows // len(found)))
     # somewhat more than wanted of each language, so that chance leaves none without
-    share = spark.createDataFrame([(r.label, min(1.0, (2 * each + 20) / r["count"])) for r in found], "label string, share double")
+    share = spark.createDataFrame([(r.label, min(1.0, (2 * each + 20) / max(1, r["rows"]))) for r in found], "label string, share double")
     chosen, at = sample(docs.join(F.broadcast(share), "label"), F.col("share"), "id", "label", "text")
     place = F.row_number().over(Window.partitionBy("label").orderBy(at, "id", "text"))
     chosen = chosen.withColumn("place", place).where(F.col("place") <= each).drop("place")

@@ -3,9 +3,10 @@
 A text is cut into tokens (runs of letters, digits and ``+ / _ -``). The field tags
 each as begin (B) or inside (I) of a secret or outside (O), from
 
-* shape: length, kinds of characters, changes between them, digits, hexadecimal, prefix,
+* shape: length, kinds of characters, changes between them, their share and that of
+  capitals, the longest run of consonants (words have fewer than random letters), digits, hexadecimal, prefix,
 * neighbours: the words on both sides by a hash, whether those before name a secret, the
-  signs between, the shapes beside,
+  signs between (passwords go on behind some), the shapes beside,
 * the file: how many tokens have digits, and whether any word names a secret.
 
 It is trained by maximum likelihood (forward-backward over windows, in numpy) on at
@@ -18,7 +19,7 @@ the best path whatever its neighbours are; numpy finds these, nearly all, and th
 recursion runs over the stretches between them.
 
 Of equally good paths the one with O, or else B, at the last place where they differ
-counts. Null texts are empty. Spans are code points, end exclusive. Base spans always
+counts. What the field finds counts from LEAST bytes on. Null texts are empty. Spans are code points, end exclusive. Base spans always
 stay; a span of the field that base spans touch is cut to what they leave of it.
 """
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import bounded_batches, room_for, sample
+from .session import bounded_batches, room_for, sample, share_of
 from .textbatch import arrow_batches, fold_ascii, runs, span_hash, text_bytes
 
 # Base patterns, fixed values: (kind, pattern, group that is measured, its least length).
@@ -59,8 +60,14 @@ O, B, I = 0, 1, 2
 
 _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 4 digit, 8 sign, 16 other letters
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[*b"+/_-"]], _KIND[128:] = 1, 2, 4, 8, 16
+_CONSONANT = np.zeros(256, bool)
+_CONSONANT[[*b"bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ"]] = True
 _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdef"]] = True
+#: Signs that passwords hold, besides those of tokens.
+GLUE = b"!$@#%^&*~"
+_GLUE = np.zeros(256, bool)
+_GLUE[[*GLUE]] = True
 _LENGTH = np.zeros(4096, np.int64)
 for _least in (4, 8, 12, 16, 20, 32, 36, 41, 64):
     _LENGTH[_least:] += 1
@@ -69,7 +76,7 @@ _CHANGES = np.array([0, 1, 2, 3, 3, 4, 4, 4, 4] + [5] * 56)
 #: Buckets of neighbouring words. Only words of a usual length are told apart.
 WORDS = 256
 #: How many values each feature has.
-SIZES = (10 * 32, 6 * 2 * 10, 5 * 10, 2 * 8, 2 * 8, 8, len(PREFIXES) + 1, 32 * 2, 32 * 2, 4 * 2, WORDS + 1, WORDS + 1)
+SIZES = (10 * 32, 6 * 2 * 10, 5 * 10, 2 * 16, 2 * 16, 16, len(PREFIXES) + 1, 32 * 2, 32 * 2, 4 * 2, WORDS + 1, WORDS + 1, 10 * 5 * 10, 10 * 10)
 _FIRST = np.cumsum((0, *SIZES))[:-1]
 
 
@@ -99,12 +106,16 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         classes += bit * (counts[bit] > 0)
     digits = _SHARE[10 * counts[4] // size]
     changes = between(total(np.concatenate([[False], kind[1:] != kind[:-1]])), np.minimum(starts + 1, ends), ends)
+    a, b, _ = runs(_CONSONANT[buf], offsets)
+    harsh = np.zeros(n, np.int64)
+    np.maximum.at(harsh, np.searchsorted(starts, a, side="right") - 1, b - a)
+    upper = np.minimum(7 * counts[2] // size, 4)
     hexes = between(total(_HEX[buf]), starts, ends) == size
     begin = np.cumsum(count) - count
     is_first = np.zeros(n + 1, bool)
     is_first[begin] = True
     is_first[n] = True
-    # the signs before each token: 1 an equals sign or colon, 2 a quote, 4 a line feed or the text's start
+    # the signs before each token: 1 an equals sign or colon, 2 a quote, 4 a line feed or the text's start, 8 only such as passwords hold
     left = np.concatenate([[0], ends[:-1]])
     doc_start = np.repeat(offsets[:-1], count)
     left = np.maximum(left, doc_start)
@@ -113,7 +124,8 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         flag = np.zeros(256, bool)
         flag[[*chars]] = True
         gap[:n] |= bit * (between(total(flag[buf]), left, starts) > 0)
-    gap[is_first] |= 4
+    gap[:n] |= 8 * ((starts > left) & (between(total(_GLUE[buf]), left, starts) == starts - left))
+    gap[is_first] = gap[is_first] & 7 | 4
     named, word = np.zeros(n, bool), np.zeros(n, np.int64)
     maybe = np.flatnonzero((size >= 2) & (size <= 16))
     if len(maybe):
@@ -136,7 +148,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     share = between(total(counts[4] > 0), begin, begin + count) / np.maximum(count, 1)
     names = between(total(named), begin, begin + count) > 0
     file = np.repeat(np.digitize(share, (0.02, 0.1, 0.3)) * 2 + names, count)
-    columns = (length * 32 + classes, (_CHANGES[np.minimum(changes, 63)] * 2 + hexes) * 10 + length, digits * 10 + length, before * 8 + gap[:n], before2 * 8 + gap[:n], gap[1:], prefix, following, prev, file, word_before, word_behind)
+    columns = (length * 32 + classes, (_CHANGES[np.minimum(changes, 63)] * 2 + hexes) * 10 + length, digits * 10 + length, before * 16 + gap[:n], before2 * 16 + gap[:n], gap[1:], prefix, following, prev, file, word_before, word_behind, (np.minimum(20 * changes // size, 9) * 5 + upper) * 10 + length, np.minimum(harsh, 9) * 10 + length)
     return starts, ends, count, np.stack(columns, axis=1) + _FIRST
 
 
@@ -190,37 +202,49 @@ class Field:
         return out
 
 
-def train(numbers: np.ndarray, tags: np.ndarray, rounds: int = 80, decay: float = 1e-4) -> Field:
-    """numbers (windows, tokens, features) and tags (windows, tokens): maximum likelihood by Adam steps."""
+def train(numbers: np.ndarray, tags: np.ndarray, epochs: int = 14, batch: int = 512, decay: float = 1e-4, seed: int = 5) -> Field:
+    """numbers (windows, tokens, features) and tags (windows, tokens): maximum likelihood by Adam steps over small batches."""
     n, length, width = numbers.shape
-    features, size = numbers.reshape(-1), int(sum(SIZES))
+    size = int(sum(SIZES))
     weight, step = np.zeros((size, 3)), np.zeros((3, 3))
     if not n:
         weight[:, O] = 1.0
         return Field(weight, step)
     moments = [np.zeros_like(x) for x in (weight, weight, step, step)]
-    gold = np.eye(3)[tags]
-    for k in range(1, rounds + 1):
-        e = weight[numbers].sum(axis=2)
-        ahead, behind = np.zeros((n, length, 3)), np.zeros((n, length, 3))
-        ahead[:, 0] = e[:, 0]
-        soft = lambda x: np.logaddexp.reduce(x, axis=1)
-        for t in range(1, length):
-            ahead[:, t] = e[:, t] + soft(ahead[:, t - 1, :, None] + step)
-        for t in range(length - 2, -1, -1):
-            behind[:, t] = soft((step + (e[:, t + 1] + behind[:, t + 1])[:, None, :]).transpose(0, 2, 1))
-        norm = np.logaddexp.reduce(ahead[:, -1], axis=1)[:, None, None]
-        off = (gold - np.exp(ahead + behind - norm)).reshape(-1, 3)
-        pairs = np.exp(ahead[:, :-1, :, None] + step + (e + behind)[:, 1:, None, :] - norm[..., None])
-        up_step = np.einsum("ntab->ab", gold[:, :-1, :, None] * gold[:, 1:, None, :] - pairs) / n - decay * step
-        up = np.stack([np.bincount(features, np.repeat(off[:, c], width), size) for c in range(3)], axis=1) / n - decay * weight
-        for x, g, (m, v) in ((weight, up, moments[:2]), (step, up_step, moments[2:])):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x += 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    rng, k = np.random.default_rng(seed), 0
+    steps = epochs * -(-n // batch)
+    for _ in range(epochs):
+        order = rng.permutation(n)
+        for part in np.array_split(order, -(-n // batch)):
+            k += 1
+            up, up_step = _gradient(weight, step, numbers[part], np.eye(3)[tags[part]])
+            rate = 0.15 * (1 - 0.95 * k / steps)
+            for x, g, (m, v) in ((weight, up - decay * weight, moments[:2]), (step, up_step - decay * step, moments[2:])):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                x += rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     return Field(weight, step)
 
 
+def _gradient(weight: np.ndarray, step: np.ndarray, numbers: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean log likelihood of some windows, by the weights and by the steps: forward and backward sums."""
+    n, length, width = numbers.shape
+    e = weight[numbers].sum(axis=2)
+    ahead, behind = np.zeros((n, length, 3)), np.zeros((n, length, 3))
+    ahead[:, 0] = e[:, 0]
+    soft = lambda x: np.logaddexp.reduce(x, axis=1)
+    for t in range(1, length):
+        ahead[:, t] = e[:, t] + soft(ahead[:, t - 1, :, None] + step)
+    for t in range(length - 2, -1, -1):
+        behind[:, t] = soft((step + (e[:, t + 1] + behind[:, t + 1])[:, None, :]).transpose(0, 2, 1))
+    norm = np.logaddexp.reduce(ahead[:, -1], axis=1)[:, None, None]
+    off = (gold - np.exp(ahead + behind - norm)).reshape(-1, 3)
+    pairs = np.exp(ahead[:, :-1, :, None] + step + (e + behind)[:, 1:, None, :] - norm[..., None])
+    up_step = np.einsum("ntab->ab", gold[:, :-1, :, None] * gold[:, 1:, None, :] - pairs) / n
+    flat = numbers.reshape(-1)
+    return np.stack([np.bincount(flat, np.repeat(off[:, c], width), len(weight)) for c in range(3)], axis=1) / n, up_step
+
+
 def made_up(rng: random.Random) -> str:
     """A secret of some usual form, random."""
     pick = lambda chars, n: "".join(rng.choices(chars, k=n))
@@ -239,23 +263,53 @@ def made_up(rng: random.Random) -> str:
         lambda: pick(string.ascii_letters, rng.randint(24, 48)),
         lambda: pick(string.ascii_uppercase + string.digits, rng.randint(20, 48)),
         lambda: pick(string.ascii_letters, rng.randint(2, 6)) + rng.choice("_-") + pick(alnum, rng.randint(18, 44)),
+        lambda: pick(alnum + GLUE.decode(), rng.randint(10, 24)),
+        lambda: pick(string.ascii_letters, rng.randint(3, 7)) + pick(GLUE.decode(), 1) + pick(alnum, rng.randint(3, 8)) + pick(GLUE.decode(), rng.randint(0, 2)) + pick(string.digits, rng.randint(2, 4)),
     ])()
 
 
+#: The first few give a secret a name.
 CONTEXTS = ("{name}={s}", '{name} = "{s}"', "{name}: {s}", "{name}: '{s}'", "Bearer {s}", "{s}", "{s}", "{s}", "{s}", '"{s}"', "({s})", "{name} {s}", 'export {name}="{s}"')
 
 
+def joined(words: list[str], rng: random.Random) -> str:
+    """Words as one token: with signs between, or as programs name things, with capitals in place of signs."""
+    sign = rng.choice(("-", "_", "/", "\u00a0", "", "", ""))
+    if sign != "\u00a0" and rng.random() < (0.2 if sign else 1.0):
+        most = rng.choice((4, 8, 20))
+        words = ["".join(filter(str.isalnum, w))[: rng.randint(1, most)] for w in words]
+    if not sign:
+        words = [w[:4].upper() if rng.random() < 0.15 else w[:1].upper() + w[1:] for w in words]
+        if rng.random() < 0.3:
+            words[0] = words[0].lower()
+        if rng.random() < 0.1:
+            words.append(str(rng.randrange(100)))
+    text = sign.join(words)
+    return text.upper() if sign in ("-", "_") and rng.random() < 0.2 else text
+
+
+#: Forms in which prose and programs have the signs of passwords.
+SIGNED = ("{a}*{b}", "%{a}", "%d{a}", "{a}&{b}", "[^{a}-{b}]", "{a}%{b}", "${a}", "@{a}.{b}", "{a}@{b}.{c}", "#{a}-{b}", "{a}*{b}*{c}", "${a}/{b}", "~{a}/{b}/{c}", "{a}!", "{a}^{b}", "{a}&{b}={c}&{d}={a}", "%{a}%{b}")
+
+
+def signed(words: list[str], rng: random.Random) -> str:
+    """Words or numbers in one of the forms of SIGNED."""
+    some = [rng.choice(words)[:12] if rng.random() < 0.7 else str(rng.randrange(10 ** rng.randint(1, 5))) for _ in range(4)]
+    return rng.choice(SIGNED).format(a=some[0], b=some[1], c=some[2], d=some[3])
+
+
 def planted(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
     """The text with a few secrets made up among its words, and where they are; a few of its words, or of words joined to one token, stand as secrets would."""
     words = text.split(" ")
     out, spans, at = [], [], 0
-    places = rng.sample(range(len(words)), min(len(words), rng.randint(1, 8)))
-    secrets = set(places[: len(places) // 2 + 1])
+    places = rng.sample(range(len(words)), min(len(words), rng.randint(1, 12)))
+    secrets = set(places[: 2 * len(places) // 5 + 1])
     for k, word in enumerate(words):
         if k in places:
-            made = made_up(rng) if k in secrets else rng.choice(("-", "_", "/", "\u00a0", "\u00a0")).join(words[k : k + rng.choice((1, 1, 2, 3, 4))])
+            made = made_up(rng) if k in secrets else signed(words, rng) if rng.random() < 0.2 else joined(words[k : k + rng.choice((1, 2, 3, 4, 5, 6, 8))], rng)
             name = rng.choice(NAMES).upper() if rng.random() < 0.3 else rng.choice(NAMES)
-            word = rng.choice(CONTEXTS).format(name=name, s=made)
+            some = CONTEXTS[:4] if k in secrets and _GLUE[[*made.encode()]].any() else CONTEXTS  # only a name tells such a secret from prose
+            word = rng.choice(some).format(name=name, s=made)
             if k in secrets:
                 i = at + word.index(made)
                 spans.append((i, i + len(made)))
@@ -269,7 +323,7 @@ def examples(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     rng = random.Random(seed)
     numbers, tags = [np.zeros((0, WINDOW, len(SIZES)), np.int64)], [np.zeros((0, WINDOW), np.int64)]
     for text in texts:
-        for most, (body, spans) in ((3, (text, [])), (8, planted(text, rng))):
+        for most, (body, spans) in ((3, (text, [])), (12, planted(text, rng))):
             spans = spans + [(m.start(2), m.end(2)) if kind == "assign" else (m.start(), m.end()) for kind, m in base_matches(body)]
             # offsets in bytes
             spans = sorted((len(body[:i].encode()), len(body[:j].encode())) for i, j in spans)
@@ -297,12 +351,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
     """Train on at most ``rows`` texts; no more reach the driver, whatever ids repeat or are null."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    n = docs.count()
-    chosen, at = sample(docs.where(F.length("text") <= TRAIN_CHARS), min(1.0, rows / max(1, n)), "id", "text")
+    docs = docs.where(F.length("text") <= TRAIN_CHARS)
+    chosen, at = sample(docs, share_of(docs, rows, "id", "text"), "id", "text")
     chosen = chosen.orderBy(at, "id", "text").limit(rows).collect()
     return train(*examples(sorted(r.text for r in chosen)))
 
 
+#: Bytes of a field's span at least.
+LEAST = 8
+_ENDS = b"=" + GLUE
 _HINTS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 
 
@@ -337,8 +394,10 @@ def scan(col: pa.Array, field: Field) -> list[list[tuple[str, int, int]]]:
             spans = [(kind, m.start(), m.end()) for kind, pattern, group, least in patterns for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
             base = sorted((p, q) for _, p, q in spans)
             for x, y in found.get(k, ()):
-                while raw[y : y + 1] == b"=" and y < len(raw):  # what pads a code
+                while y < len(raw) and raw[y] in _ENDS:  # what pads a code, and a password's last signs
                     y += 1
+                if y - x < LEAST:
+                    continue
                 x, y = len(raw[:x].decode()), len(raw[:y].decode())
                 for p, q in base:
                     if x < q and p < y:

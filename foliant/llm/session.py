@@ -105,8 +105,18 @@ def room_for(df: DataFrame, name: str | None, stem: str) -> tuple[DataFrame, str
     return (df, free_name(df, stem)) if name is None else (df.drop(name), name)
 
 
+def distinct_rows(*by: str) -> Column:
+    """An aggregate: about how many distinct rows there are, by ``by``; a sketch, so repeats cost nothing and few are counted as they are."""
+    return F.approx_count_distinct(F.xxhash64(*by), 0.02)
+
+
+def share_of(rows: DataFrame, wanted: int, *by: str) -> float:
+    """The share of distinct rows that gives somewhat more than ``wanted`` of them: ``sample`` has equal rows once, however often they repeat."""
+    return min(1.0, (1.1 * wanted + 20) / max(1, rows.agg(distinct_rows(*by)).first()[0]))
+
+
 def sample(rows: DataFrame, share: float | Column, *by: str) -> tuple[DataFrame, Column]:
-    """About a ``share`` of the rows, even over a hash of the columns ``by``, equal rows once; and the order by which to limit them."""
+    """About a ``share`` of the distinct rows, even over a hash of the columns ``by``; and the order by which to limit them."""
     at = F.pmod(F.xxhash64(*by), F.lit(1 << 53))
     share = F.lit(share) if isinstance(share, float) else share
     return rows.where(at < share * float(1 << 53)).distinct(), at

@@ -192,3 +192,10 @@ def test_language_by_brute_force():
         assert got["lang_pred"][k] == (model.languages[model.of[best]] if letters else "und")
         assert abs(got["score"][k] - (cosine[best] if letters else 0)) < 1e-5
         assert got["rejected"][k] == (not letters or 1 - cosine[best] > model.radius[model.of[best]])
+
+
+def test_a_language_of_repeated_texts_is_learned(spark):
+    others = [(k, f"the words of text number {k} and more of them", "en") for k in range(300)]
+    for many in ([(None, "der die das und nicht", "de")] * 20_000, [(7, f"der die das und nicht {k % 5}", "de") for k in range(20_000)]):
+        docs = spark.createDataFrame(many + others, "doc_id long, text string, lang string").repartition(4)
+        assert langid.fit(docs).languages == ["de", "en"]

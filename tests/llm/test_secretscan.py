@@ -149,6 +149,63 @@ def test_forms_and_texts_that_were_not_trained_on(spark):
     assert found >= 0.9 * made and right >= 0.95 * spans
 
 
+def tagged(field, texts, whole):
+    """How many of ``texts`` have a field span over most of ``whole``'s string."""
+    hit = 0
+    for text, part in zip(texts, whole, strict=True):
+        spans = [(i, j) for k, i, j in secretscan.scan(pa.array([text]), field)[0]]
+        at = set(range(text.index(part), text.index(part) + len(part)))
+        hit += len(at & {x for i, j in spans for x in range(i, j)}) >= 0.8 * len(part)
+    return hit
+
+
+@pytest.fixture(scope="module")
+def large_field(spark):
+    sf = SF.replace("0.001", "0.01")
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if r.text]
+    return secretscan.train(*secretscan.examples(texts[::2])), texts[1::2]
+
+
+def test_long_names_are_no_secrets(large_field):
+    field, texts = large_field
+    names = ("AbstractSingletonProxyFactoryBean", "getUserAccountSettingsFromRequest", "max_number_of_retries_per_host", "InternationalizationServiceProvider", "8e29a1cb-4f0a-4e7c-9b0d-2f6a5b1c3d4e", "Donaudampfschifffahrtsgesellschaft", "978-3-16-148410-0", "HttpURLConnectionTimeoutException", "/usr/local/share/applications/mime", "thisIsAVeryLongVariableNameInCamelCase")
+    rng, wrong = random.Random(4), {}
+    for name in names:
+        bodies = []
+        for text in rng.sample(texts, 60):
+            words = text.split(" ")[:80]
+            words.insert(rng.randrange(len(words) + 1), name)
+            bodies.append(" ".join(words))
+        wrong[name] = tagged(field, bodies, [name] * 60)
+    print("names of 60 each taken for secrets", wrong)
+    assert wrong[names[0]] == 0 and sum(wrong.values()) <= 6
+
+
+def test_passwords_with_signs(large_field):
+    field, texts = large_field
+    rng, bodies, secrets = random.Random(6), [], []
+    for text in rng.sample(texts, 120):
+        secret = "".join(rng.choices(ALNUM + "!$@#%", k=rng.randint(12, 20)))
+        words = text.split(" ")[:80]
+        words.insert(rng.randrange(len(words) + 1), rng.choice(("password={}", 'db_password: "{}"', "passwd = '{}'", "export PASSWORD={}")).format(secret))
+        bodies.append(" ".join(words))
+        secrets.append(secret)
+    print("passwords with signs, of 120", found := tagged(field, bodies, secrets))
+    assert found >= 90
+
+
+def test_repeated_texts_do_not_empty_the_sample(spark):
+    """One text under null ids, or a few texts under one id, 20,000 times; beside them a few others."""
+    others = [(k, f"words of number {k} " * 12) for k in range(300)]
+    for many in ([(None, "the same words again " * 12)] * 20_000, [(7, f"text {k % 5} of five " * 12) for k in range(20_000)]):
+        docs = spark.createDataFrame(many + others, "doc_id long, text string").repartition(4)
+        field = secretscan.fit(docs)
+        assert np.abs(field.step).max() > 0
+        rng = random.Random(1)
+        token = f"eyJhbGciOi{''.join(rng.choices(ALNUM, k=20))}.eyJ{''.join(rng.choices(ALNUM, k=40))}.{''.join(rng.choices(ALNUM, k=43))}"
+        assert any(k == "crf" for k, *_ in secretscan.scan(pa.array([f"Authorization: Bearer {token} and more words"]), field)[0])
+
+
 def plain_numbers(text):
     """Tokens and their features, one token at a time."""
     kinds = lambda b: 1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 4 if 48 <= b <= 57 else 8 if b in b"+/_-" else 16 if b >= 128 else 0
@@ -160,12 +217,15 @@ def plain_numbers(text):
         digits = kind.count(4)
         word = raw[i:j].lower() if all(b < 128 for b in raw[i:j]) else bytes(b + 32 if 65 <= b <= 90 else b for b in raw[i:j])
         between = raw[spans[k - 1][1] if k else 0 : i]
-        gap = any(c in between for c in b"=:") + 2 * any(c in between for c in b"\"'`") + 4 * (k == 0 or b"\n" in between)
+        gap = any(c in between for c in b"=:") + 2 * any(c in between for c in b"\"'`") + 4 * (k == 0 or b"\n" in between) + 8 * (k > 0 and between != b"" and all(c in b"!$@#%^&*~" for c in between))
         facts.append({
             "length": sum(j - i >= least for least in (4, 8, 12, 16, 20, 32, 36, 41, 64)),
             "classes": sum(set(kind)),
             "share": int(s._SHARE[10 * digits // (j - i)]),
             "changes": int(s._CHANGES[min(63, sum(a != b for a, b in itertools.pairwise(kind)))]),
+            "spread": min(9, 20 * sum(a != b for a, b in itertools.pairwise(kind)) // (j - i)),
+            "harsh": min(9, max(map(len, re.findall(rb"(?i:[bcdfghjklmnpqrstvwxz])+", raw[i:j])), default=0)),
+            "upper": min(4, 7 * kind.count(2) // (j - i)),
             "hexes": all(b in b"0123456789abcdef" for b in raw[i:j]),
             "named": word.decode("latin-1") in s.NAMES, "gap": gap, "digits": digits > 0,
             "prefix": s.PREFIXES.index(raw[i : i + 4].decode("latin-1")) + 1 if j - i >= 12 and raw[i : i + 4].decode("latin-1") in s.PREFIXES else 0,
@@ -177,7 +237,7 @@ def plain_numbers(text):
     out = []
     for k, f in enumerate(facts):
         p, pp, n = (facts[x] if 0 <= x < len(facts) else none for x in (k - 1, k - 2, k + 1))
-        out.append([f["length"] * 32 + f["classes"], (f["changes"] * 2 + f["hexes"]) * 10 + f["length"], f["share"] * 10 + f["length"], p["named"] * 8 + f["gap"], pp["named"] * 8 + f["gap"], n["gap"], f["prefix"], n["shape"], p["shape"], file, p["word"], n["word"]])
+        out.append([f["length"] * 32 + f["classes"], (f["changes"] * 2 + f["hexes"]) * 10 + f["length"], f["share"] * 10 + f["length"], p["named"] * 16 + f["gap"], pp["named"] * 16 + f["gap"], n["gap"], f["prefix"], n["shape"], p["shape"], file, p["word"], n["word"], (f["spread"] * 5 + f["upper"]) * 10 + f["length"], f["harsh"] * 10 + f["length"]])
     return spans, out
 
 
@@ -200,7 +260,8 @@ def test_field_end_to_end_by_brute_force(field, spark):
         want = set()
         base = {x for k, i, j in got if k != "crf" for x in range(i, j)}
         for i, j in found:
-            while raw[j : j + 1] == b"=":
+            while j < len(raw) and raw[j] in b"=!$@#%^&*~":
                 j += 1
-            want |= set(range(len(raw[:i].decode()), len(raw[:j].decode()))) - base
+            if j - i >= 8:
+                want |= set(range(len(raw[:i].decode()), len(raw[:j].decode()))) - base
         assert want == {x for k, i, j in got if k == "crf" for x in range(i, j)}
