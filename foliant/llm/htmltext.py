@@ -3,7 +3,8 @@
 The standard library's parser streams events. Text between block tags is a *line*;
 its text-to-tag ratio is its characters over the tags met in it, RATIO at most. The
 ratios, in page order, are smoothed with a Gaussian and parted into two clusters by a
-threshold. The lines of the upper cluster choose the region: the innermost container
+threshold; where the clusters' means lie close, all lines are one. The lines of the upper
+cluster choose the region: the innermost container
 that holds them all, out to the article or main element around it. Every line of the
 region is content, short ones too.
 
@@ -12,14 +13,17 @@ and footers, hidden parts ...) lose their lines. Those that are so by habit (for
 sidebars, and containers with a class, id or role that names such a part) lose
 theirs as well, but not one that holds over half of the upper cluster. A class name
 counts if all its words are such names, or tell of place or form: ``cookie-notice``,
-``site-footer``, but neither ``no-sidebar`` nor ``ad-free``. Where articles hold
+``site-footer``, but neither ``no-sidebar`` nor ``ad-free``. Inside an article, names
+that may as well be topics (social, search, copyright, navigation ...) veto only what has
+no line of prose, so ratios decide there. Where articles hold
 over half of a wider region's cluster, what stands beside them is vetoed.
 
 Defined results: null and empty pages give empty text, as do pages of vetoed lines
 alone. If no line outside of vetoed elements is in the upper cluster, all such lines
 choose the region. Of containers that hold the same lines the innermost counts. White
 space in a line becomes one blank; lines are joined by a line feed. Broken markup
-never fails: tags close as browsers close them, unknown declarations are comments,
+never fails: character references may have any number of digits, tags close as browsers
+close them, unknown declarations are comments,
 and a tag, comment or declaration that the page's end cuts gives no text. Time and
 memory grow in line with the page, however deep its elements nest.
 """
@@ -51,6 +55,8 @@ HABIT = frozenset(("aside", "dialog", "form"))
 NAMED = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar aside complementary widget widgets related recommended share sharing social comment comments commentlist disqus respond replies menu navbar nav navigation breadcrumb breadcrumbs pagination pager toolbar masthead footer contentinfo copyright login search dialog".split())
 #: Words that may stand beside them in a name.
 FORM = frozenset("area bar block bottom box buttons container entry footer form global header inner item items left links list page panel post posts primary right secondary section site sub top wrap wrapper".split())
+#: Of the names those that also are topics: in an article only the ratios tell a section on them from such a part.
+TOPICS = frozenset("alert banner dialog login menu nav navbar navigation breadcrumb breadcrumbs pager pagination copyright search share sharing social sponsor sponsored signup subscription toolbar widget widgets".split())
 ROOTS = frozenset(("article", "main"))
 #: Elements that the words of a class or id may name; those of the rest are slugs and styles.
 NAMEABLE = (BLOCK | CELL) - HEADINGS - ROOTS - {"html", "body", "p"}
@@ -62,9 +68,15 @@ CONTAINERS = (BLOCK | {"#page"}) - HEADINGS - {"p", "li", "ul", "ol", "dl", "dt"
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "body": ("head",)}
 _WORDS = re.compile(r"[a-z0-9]+")
 _MARKUP = re.compile(r"<[a-zA-Z/!?]")
+#: Decimal references longer than any character's.
+_LONG_REFERENCE = re.compile(r"&#0*([0-9]*)")
 SIGMA = 1.0
 #: A line of so many characters a tag is prose; a larger ratio says no more, so a very long line doesn't raise the threshold.
 RATIO = 100.0
+#: What a line of prose has at least.
+PROSE = 15.0
+#: Two clusters are two if the lower one's mean is at most this share of the upper one's.
+APART = 0.6
 
 
 class Lines(HTMLParser):
@@ -80,6 +92,8 @@ class Lines(HTMLParser):
         self.names, self.parent = ["#page"], [0]
         self.outside, self.in_root = [False], [False]
         self.habit: dict[int, bool] = {}  # elements that are no content by habit: whether as comments
+        self.topics: list[int] = []  # of them, those inside an article whose names may as well be topics
+        self.titled = [False]  # a header in an article, and what stands in it without another veto
         self.open = [0]
         self.places: dict[str, list[int]] = defaultdict(list)  # where in ``open`` each element name stands
         self.blocks, self.solid = [0], [0]  # where blocks stand, and blocks other than p
@@ -87,6 +101,8 @@ class Lines(HTMLParser):
         self.tags = 0
 
     def read(self, page: str) -> Lines:
+        if "&#" in page:  # numbers of very many digits can't be converted
+            page = _LONG_REFERENCE.sub(lambda m: m[0] if len(m[0]) < 12 else f"&#{m[1]}" if 0 < len(m[1]) < 8 else "&#0" if not m[1] else "&#9999999", page)
         self.feed(page)
         if self.cdata_elem is None and _MARKUP.match(self.rawdata):
             self.rawdata = ""  # cut by the end
@@ -130,13 +146,20 @@ class Lines(HTMLParser):
         above = self.open[-1]
         outside, in_root = self.outside[above], self.in_root[above]
         number = len(self.names)
-        if not outside:
-            outside = tag in OUTSIDE or tag == "header" or self._hidden(tag, attrs)
+        titled = False
+        if not outside or self.titled[above]:
+            hidden = tag in OUTSIDE - {"header"} or self._hidden(tag, attrs)
             words = self._named(tag, attrs)
-            if not outside and (words or tag in HABIT):
-                self.habit[number] = not COMMENTS.isdisjoint(words)
-        elif tag in HEADINGS and in_root and self.names[above] == "header":
-            outside = False  # an article's own title
+            titled = in_root and not hidden and not words and tag not in HABIT and (tag == "header" or self.titled[above])
+            if not outside:
+                outside = hidden or tag == "header"
+                if not outside and (words or tag in HABIT):
+                    self.habit[number] = not COMMENTS.isdisjoint(words)
+                    if in_root and words and words <= TOPICS:
+                        self.topics.append(number)
+            elif tag in HEADINGS and titled:
+                outside = False  # an article's own title
+        self.titled.append(titled)
         self.names.append(tag)
         self.parent.append(above)
         self.outside.append(outside)
@@ -219,7 +242,7 @@ def smoothed(ratio: np.ndarray) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """Between two clusters on a line: the means' middle, moved until it stays."""
+    """Between two clusters on a line: the means' middle, moved until it stays. 0 if the means lie close."""
     cut = float(values.mean())
     for _ in range(50):
         low, high = values[values < cut], values[values >= cut]
@@ -229,6 +252,9 @@ def threshold(values: np.ndarray) -> float:
         if abs(new - cut) < 1e-9:
             break
         cut = new
+    low, high = values[values < cut], values[values >= cut]
+    if len(low) and len(high) and low.mean() > APART * high.mean():
+        return 0.0  # one cluster
     return min(cut, float(values.max()))
 
 
@@ -287,6 +313,11 @@ def main_text(html: str | None) -> str:
     cut = threshold(smooth)
     upper = (smooth >= cut).tolist()
     size = [len(text) for text, *_ in parser.lines]
+    if parser.topics:
+        prose = parser.up(parser.per_element(((ratio >= cut) & (ratio >= PROSE)).astype(float).tolist()))
+        for n in parser.topics:
+            if prose[n]:
+                del parser.habit[n]
     if parser.habit:
         out = vetoed(parser, [float(s * (up and may)) for s, up, may in zip(size, upper, ok, strict=True)])
         ok = [may and not out[n] for may, (_, _, n, _) in zip(ok, parser.lines, strict=True)]

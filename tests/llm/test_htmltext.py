@@ -138,3 +138,37 @@ def test_odd_rows(spark):
     got = sorted(map(tuple, htmltext.extract(pages).collect()), key=str)
     assert [(g[0], g[3]) for g in got] == [(1, len(htmltext.main_text(PAGE)))] * 2 + [(3, 0), (None, 0)]
     assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+def test_references_of_any_length():
+    nines = "9" * 5000
+    assert htmltext.main_text(f"a &#{nines}; b") == "a \ufffd b" == htmltext.main_text("a &#9999999; b")
+    assert htmltext.main_text(f"<p title='&#{nines}'>a &#{'0' * 6000}65; &#x{'0' * 6000}42; &#{'0' * 5000}; c &#{nines}") == "a A B \ufffd c \ufffd"
+    assert htmltext.main_text("&#0000000000000000065 &#65x &#; &#x; &#") == "A Ax &#; &#x; &#"
+
+
+def test_sections_on_topics_stay_in_an_article():
+    line = LONG.strip()
+    slugs = ("intro", "social", "search", "copyright", "navigation", "alert", "login", "share")
+    page = f"<article>{''.join(f'<section id={s}><h2>On {s}</h2><p>{LONG}</p></section>' for s in slugs)}<div class=social><a>x</a> <a>y</a></div><div class=share>Share this</div></article>"
+    assert htmltext.main_text(page) == "\n".join(f"On {s}\n{line}" for s in slugs)
+    page = f"<article><p>{LONG}</p>{''.join(f'<section id={s}><h2>On {s}</h2><p>{LONG}</p></section>' for s in ('comments', 'related', 'notice', 'newsletter', 'cookie', 'ad'))}</article>"
+    assert htmltext.main_text(page) == line
+    assert htmltext.main_text(f"<article><p>{LONG}</p><table class=navigation><tr><td>{LONG}</table><table class=navigation><tr><td><a>next</a></table></article>") == f"{line}\n{line}"
+
+
+def test_titles_in_headers():
+    line = LONG.strip()
+    for header in ("<header><h1>T</h1></header>", "<header><div><h1>T</h1><p>by us</p></div></header>", "<header><hgroup><div><h1>T</h1></div></hgroup><nav><h2>n</h2></nav></header>", "<header><h1>T</h1><div class=share><h2>s</h2></div><form><h3>f</h3></form></header>"):
+        assert htmltext.main_text(f"<article>{header}<p>{LONG}</p></article>") == f"T\n{line}"
+    assert htmltext.main_text(f"<header><div><h1>Site</h1></div></header><article><p>{LONG}</p></article>") == line
+
+
+def test_equal_articles_are_one_cluster():
+    a, b = "Of equal prose " * 6, "A second text of prose " * 4
+    for page in (f"<main><article><p>{a}</p></article><article><p>{b}</p></article></main>", f"<main><article><p>{b}</p></article><article><p>{a}</p></article></main>"):
+        got = htmltext.main_text(page)
+        assert a.strip() in got and b.strip() in got
+    ratio = htmltext.smoothed(np.array([60.0, 62, 64, 66]))
+    assert htmltext.threshold(ratio) == 0
+    assert htmltext.threshold(np.array([5.0, 5, 90, 90])) == 47.5
