@@ -14,7 +14,7 @@ from ..functions.names import category_name, kind_label, row_extension
 from ..plans import predicates
 from ..plans.query import Query, parse
 from ..schema import DIRECTORY, MAX_DEPTH, RESULT, SCHEMA_VERSION
-from ..sources.shared import cut_lineage
+from ..sources.shared import written
 
 #: Default caps: of the engine, of the client library, and of what one screen asks for.
 ENGINE_CAP, CLIENT_CAP, SCREEN_CAP = 100, 100_000, 2_000
@@ -91,7 +91,7 @@ def rank_rows(rows: DataFrame, keys: list[Column], name: str = "rank") -> DataFr
     """
     part, place = "__part", "__place"
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    held = cut_lineage(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(part, F.spark_partition_id()).withColumn(place, inside))
+    held = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(part, F.spark_partition_id()).withColumn(place, inside), "ranked")
     begin, sofar = [], 0
     for r in sorted(held.groupBy(part).count().collect()):
         begin.append((r[0], sofar))
