@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import bpe, decontam, quality, queries, secretscan, simhash
-from foliant.llm.session import discard, fresh_path, held, passing
+from foliant.llm.session import Run, fresh_path, passing
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages. What a stage read or wrote on its way is deleted once its rows are written; the last one's input when the driver ends."""
-    docs, before = queries.table(spark, sf_dir, "documents"), held()
-    for _, stage in STAGES[:-1]:
-        kept, path = stage(spark, docs, sf_dir), fresh_path(spark, "pipeline")
-        kept.write.parquet(path)
-        discard(spark, before)
-        docs = spark.read.schema(kept.schema).parquet(passing(spark, path))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = queries.table(spark, sf_dir, "documents")
+    with Run(spark) as mine:
+        for _, stage in STAGES[:-1]:
+            kept, path = stage(spark, docs, sf_dir), fresh_path(spark, "pipeline")
+            kept.write.parquet(path)
+            mine.drop()
+            docs = spark.read.schema(kept.schema).parquet(passing(spark, path))
+        return STAGES[-1][1](spark, docs, sf_dir)

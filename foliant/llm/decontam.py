@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import bounded_batches, discard, free_name, held, room_for, written
+from .session import Run, bounded_batches, free_name, room_for, written
 from .textbatch import WordTable, arrow_batches, fold_ascii, plain_words, runs, text_bytes
 
 WINDOW = 13
@@ -254,32 +254,33 @@ def passes(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, na
     A task holds one automaton, in one Python worker: between two shards the rows are
     written in the shared folder and read again, and what was read before is deleted.
     """
-    spark, before = docs.sparkSession, held()
+    spark = docs.sparkSession
     bounded_batches(spark)
     out = docs
     found = either(shards(benchmark, window, **named), Shard([], Automaton(window).build([]), window))
     shard, number = next(found), 0
-    while shard is not None:
-        following = next(found, None)
-        sent = spark.sparkContext.broadcast(shard)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=number == 0, last=following is None) -> Iterator[pa.RecordBatch]:
-            shard = sent.value
-            table = table_of(shard)
-            for batch in arrow_batches(batches):
-                new = scan(batch, text_col, shard, table)
-                if not first:
-                    k = batch.schema.get_field_index(name)
-                    new = merge(batch.column(k).to_pylist(), new)
-                    batch = batch.remove_column(k)
-                yield finish(batch, new) if last else batch.append_column(name, hits_array(new))
-
-        out = out.mapInArrow(run, schema if following is None else T.StructType([*docs.schema, T.StructField(name, HITS)]))
-        if following is not None:
-            out = written(out, "decontam-hits")
-            discard(spark, before, but=1)
-            sent.unpersist()
-        shard, number = following, number + 1
+    with Run(spark) as mine:
+        while shard is not None:
+            following = next(found, None)
+            sent = spark.sparkContext.broadcast(shard)
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent, first=number == 0, last=following is None) -> Iterator[pa.RecordBatch]:
+                shard = sent.value
+                table = table_of(shard)
+                for batch in arrow_batches(batches):
+                    new = scan(batch, text_col, shard, table)
+                    if not first:
+                        k = batch.schema.get_field_index(name)
+                        new = merge(batch.column(k).to_pylist(), new)
+                        batch = batch.remove_column(k)
+                    yield finish(batch, new) if last else batch.append_column(name, hits_array(new))
+
+            out = out.mapInArrow(run, schema if following is None else T.StructType([*docs.schema, T.StructField(name, HITS)]))
+            if following is not None:
+                out = written(out, "decontam-hits")
+                mine.drop(but=1)
+                sent.unpersist()
+            shard, number = following, number + 1
     return out
 
 

@@ -3,80 +3,16 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes in one Arrow batch at most (but one row at least); a batch is what a Python worker holds at a time.
-ARROW_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    A folder of our own is set only where the session names none and all tasks run
-    in the driver's process, as in tests: elsewhere no folder is known to be shared.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            at = tempfile.mkdtemp(prefix="foliant-")
-            spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so a lost executor costs no more than a reread."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def fresh_path(spark: SparkSession, stem: str) -> str:
-    return f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
-
+from ..sources.shared import Run, fresh_path, passing, shared_dir, written
 
-#: Folders of intermediate rows that are still there.
-_scratch: list[str] = []
+__all__ = ["ARROW_BYTES", "Run", "bounded_batches", "distinct_rows", "fresh_path", "free_name", "passing", "room_for", "sample", "share_of", "shared_dir", "written"]
 
-
-def _folder(spark: SparkSession, path: str) -> tuple:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def passing(spark: SparkSession, path: str) -> str:
-    """Have a folder that was written deleted when the driver ends, or by ``discard`` before."""
-    files, at = _folder(spark, path)
-    files.deleteOnExit(at)
-    _scratch.append(path)
-    return path
-
-
-def written(df: DataFrame, stem: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read again: a lost executor costs no more than a reread."""
-    spark = df.sparkSession
-    path = fresh_path(spark, stem)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(passing(spark, path))
-
-
-def held() -> int:
-    """How many intermediate folders there are: what ``discard`` should leave."""
-    return len(_scratch)
-
-
-def discard(spark: SparkSession, leave: int = 0, but: int = 0) -> None:
-    """Delete intermediate folders made since ``held`` gave ``leave``, except the newest ``but``."""
-    end = len(_scratch) - but
-    for path in _scratch[leave:end]:
-        files, at = _folder(spark, path)
-        files.delete(at, True)
-    del _scratch[leave:end]
+#: Bytes in one Arrow batch at most (but one row at least); a batch is what a Python worker holds at a time.
+ARROW_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import stars
-from .session import bounded_batches, cut_lineage, free_name, room_for, written
+from .session import bounded_batches, free_name, room_for, written
 from .textbatch import arrow_batches, mix
 
 WORDS = 3
@@ -209,12 +209,12 @@ def hex_digits(fp: Column) -> Column:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """A row per document: its fingerprint and the smallest id it is linked to, itself included."""
-    prints = cut_lineage(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", words, "fp").select("doc_id", "fp"))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    prints = written(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", words, "fp").select("doc_id", "fp"), "simhash-prints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = components(nodes.select("fp"))
     named = nodes.join(roots, "fp")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = cut_lineage(named.join(ids, "root").select("fp", "component_id"))
+    of = written(named.join(ids, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(of, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -227,6 +227,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-documents")
     prints = held.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
-    nodes = cut_lineage(prints.groupBy("fp").agg(first))
+    nodes = written(prints.groupBy("fp").agg(first), "simhash-nodes")
     keep = nodes.join(components(nodes.select("fp")), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return held.join(keep, row, "left_semi").select(*columns)

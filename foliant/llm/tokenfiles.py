@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import fresh_path, bounded_batches
+from .session import bounded_batches, fresh_path, passing
 from .textbatch import Pool, WordTable, arrow_batches, bpe_units, spread, sums, text_bytes
 
 BLOCK = 128
@@ -289,8 +289,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
 
 def encode_files(docs: DataFrame, tokenizer: str, path: str | None = None, with_ids: bool = False, **named: object) -> DataFrame:
-    """Write ``docs`` as a file set in the shared folder (or ``path``) and read it back."""
+    """Write ``docs`` as a file set at ``path`` and read it back; without one in the shared folder, until the driver ends."""
     spark = docs.sparkSession
-    path = path or fresh_path(spark, "token-ids")
-    write(docs, path, tokenizer, **named)
-    return read(spark, path, with_ids)
+    at = path or fresh_path(spark, "token-ids")
+    write(docs, at, tokenizer, **named)
+    return read(spark, at if path else passing(spark, at), with_ids)

@@ -119,10 +119,11 @@ def test_no_folder_stays_but_the_last(spark):
 
     docs, items = frames(spark)
     at = session.shared_dir(spark).removeprefix("file:")
-    before, made = set(os.listdir(at)), session.held()
-    left = decontam.decontaminate(docs, items, shard_bytes=8)
-    assert left.count() and len(set(os.listdir(at)) - before) == 1
-    session.discard(spark, made)
+    before = set(os.listdir(at))
+    with session.Run(spark) as mine:
+        left = decontam.decontaminate(docs, items, shard_bytes=8)
+        assert left.count() and len(set(os.listdir(at)) - before) == 1
+        mine.drop()
     assert set(os.listdir(at)) == before
 
 

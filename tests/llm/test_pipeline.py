@@ -1,6 +1,7 @@
 import hashlib
 import os
 import re
+import threading
 
 import public_tokenizers
 import pyarrow as pa
@@ -48,3 +49,18 @@ def test_stages_take_odd_and_no_rows(spark, odd_docs):
             got = stage(spark, rows, SF)
             assert name == "byte-level BPE" or got.columns == rows.columns
             assert got.count() <= rows.count()
+
+
+def test_two_pipelines_in_two_threads(spark):
+    """Neither deletes what the other one reads."""
+    want, got = {(r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()}, []
+
+    def one():
+        got.append({(r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()})
+
+    threads = [threading.Thread(target=one) for _ in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(300)
+    assert got == [want, want]

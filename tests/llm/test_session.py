@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+import time
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -36,3 +41,26 @@ def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Cluster)
+
+
+SCRIPT = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1]).config("spark.sql.shuffle.partitions", "4").getOrCreate()
+import corpus_pipeline
+from foliant.llm import queries
+from cases import SF
+for f in (queries.op3_token_files, queries.op10_simhash, queries.op11_resample, queries.op12_vectors, corpus_pipeline.run):
+    assert f(spark, SF).count()
+"""
+
+
+def test_no_file_stays_when_the_driver_ends(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | {"PYTHONPATH": f"{root}:{root}/tests/llm"}
+    subprocess.run([sys.executable, "-c", SCRIPT, f"file:{tmp_path}"], check=True, cwd=root, env=env, timeout=400)
+    for _ in range(100):  # its JVM ends a little later
+        if not (left := [f for _, _, files in os.walk(tmp_path) for f in files]):
+            break
+        time.sleep(0.2)
+    assert not left
