@@ -69,7 +69,7 @@ def _folder(spark: SparkSession, path: str) -> tuple:
 
 
 def passing(spark: SparkSession, path: str) -> str:
-    """Have a folder deleted when the driver ends, or before by the run that owns it."""
+    """Have a folder that was written deleted when the driver ends, or before by the run that owns it."""
     files, at = _folder(spark, path)
     files.deleteOnExit(at)
     owner = _current.get()
