@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import bucket_extension, join_path
 from ..schema import DIRECTORY, EXTS_KEPT
+from .search import rank_rows
+from .tree import folder_sizes, subtree_totals
+
+__all__ = ["directories", "extension_breakdown", "folder_sizes", "histogram", "numbered", "posting_lists", "scope_totals", "with_folder_sizes"]
 
 
 def directories(entries: DataFrame) -> DataFrame:
@@ -14,27 +18,6 @@ def directories(entries: DataFrame) -> DataFrame:
     return entries.groupBy("dir_path").agg(F.sum(F.when(F.col("kind") != DIRECTORY, F.col("size")).otherwise(0)).alias("local_bytes"), F.min("entry_id").alias("first_entry_id"))
 
 
-def ancestors(dirs: DataFrame) -> DataFrame:
-    """(dir_path, local_bytes, dist, ancestor): each folder with itself and all folders above it."""
-    parts = F.split("dir_path", "/", -1)
-    # /a/b: [/a/b, /a, /]; a path that begins with no slash has itself alone
-    up = F.transform(F.sequence(F.size(parts), F.lit(2), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    chain = F.when(F.col("dir_path") == "/", F.array(F.lit("/"))).when(~F.col("dir_path").startswith("/"), F.array("dir_path")).otherwise(F.concat(up, F.array(F.lit("/"))))
-    return dirs.select("dir_path", "local_bytes", F.posexplode(chain).alias("dist", "ancestor"))
-
-
-def folder_sizes(dirs: DataFrame) -> DataFrame:
-    """(dir_path, total_bytes) over each folder's subtree.
-
-    A size goes up from folder to folder as long as the next one above is itself in
-    ``dirs``; at a gap it stops. Works on folders, of which each has as many rows as
-    it lies deep; the sums are partial first, so the root is no hot spot.
-    """
-    kept = ancestors(dirs).join(dirs.select(F.col("dir_path").alias("ancestor")), "ancestor")
-    unbroken = kept.withColumn("r", F.row_number().over(Window.partitionBy("dir_path").orderBy("dist")) - 1).where("r = dist")
-    return unbroken.groupBy(F.col("ancestor").alias("dir_path")).agg(F.sum("local_bytes").alias("total_bytes"))
-
-
 def with_folder_sizes(entries: DataFrame, sizes: DataFrame) -> DataFrame:
     """Folders' own entries get the total of the folder that they name, or 0; what was scanned for them is dropped."""
     path = join_path(F.col("dir_path"), F.col("name"))
@@ -54,6 +37,33 @@ def extension_breakdown(entries: DataFrame) -> DataFrame:
     return counted.withColumn("rn", rank).where(F.col("rn") <= EXTS_KEPT)
 
 
+def numbered(dirs: DataFrame) -> DataFrame:
+    """``dirs`` with ``folder``: numbers from 1 in an order in which each subtree is a range of them."""
+    return rank_rows(dirs, [F.split("dir_path", "/", -1)], "folder")
+
+
+#: The category of rows that count folders, in what ``scope_totals`` sums up.
+FOLDERS = -1
+
+
+def scope_totals(dirs: DataFrame, histogram: DataFrame, breakdown: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a scope needs, for each folder and all that lie above one: (dir_path, first, last), the
+    range of folder numbers of its subtree; (dir_path, category, cnt); (dir_path, category, ext, cnt, rn), the
+    32 most frequent of the added lists, ties by name.
+
+    All three go up the tree in one roll-up. Lists are added whole and cut at the end.
+    """
+    none = F.lit(None).cast("long")
+    rows = dirs.select("dir_path", F.lit(FOLDERS).alias("category"), F.lit(None).cast("string").alias("ext"), F.lit(1).cast("long").alias("cnt"), F.col("folder").alias("first"), F.col("folder").alias("last"))
+    rows = rows.unionByName(histogram.select("dir_path", "category", F.lit(None).cast("string").alias("ext"), "cnt", none.alias("first"), none.alias("last")))
+    rows = rows.unionByName(breakdown.select("dir_path", "category", "ext", "cnt", none.alias("first"), none.alias("last")))
+    all_ = subtree_totals(rows, ["category", "ext"], {"cnt": F.sum("cnt"), "first": F.min("first"), "last": F.max("last")})
+    counts = all_.where(F.col("ext").isNull() & (F.col("category") != FOLDERS)).select("dir_path", "category", "cnt")
+    rank = F.row_number().over(Window.partitionBy("dir_path", "category").orderBy(F.desc("cnt"), "ext"))
+    exts = all_.where("ext is not null").select("dir_path", "category", "ext", "cnt", rank.alias("rn")).where(F.col("rn") <= EXTS_KEPT)
+    return all_.where(F.col("category") == FOLDERS).select("dir_path", "first", "last"), counts, exts
+
+
 def posting_lists(entries: DataFrame, block: int = 1 << 16) -> DataFrame:
     """(category, block, ids, cnt): sorted entry ids of each category, cut into blocks by id so no list is unbounded."""
     return entries.groupBy("category", F.floor(F.col("entry_id") / block).alias("block")).agg(F.array_sort(F.collect_list("entry_id")).alias("ids"), F.count("*").alias("cnt"))

@@ -46,10 +46,14 @@ def find_directory(dirs: DataFrame, path: str) -> DataFrame:
     return dirs.where(F.col("dir_path") == path)
 
 
-def subtree_entries(entries: DataFrame, dirs: DataFrame, scope: str) -> DataFrame:
-    """Entries in folders of a subtree, through the folder table: what a prefix predicate gives too."""
-    under = dirs.where((F.col("dir_path") == scope) | F.col("dir_path").startswith(scope + "/"))
-    return entries.join(under.select("dir_path"), "dir_path", "left_semi")
+def subtree_entries(entries: DataFrame, tree: DataFrame, scope: str) -> DataFrame:
+    """Entries in or below a folder: those whose folder's number lies in the scope's range.
+
+    tree: (dir_path, first, last), of which one row is read; the range of whole numbers that it
+    gives reaches the files' statistics. A scope that holds nothing gives no rows.
+    """
+    found = tree.where(F.col("dir_path") == scope).select("first", "last").head()
+    return entries.limit(0) if found is None else entries.where(F.col("folder").between(found.first, found.last))
 
 
 def with_folder_color(rows: DataFrame, colors: DataFrame) -> DataFrame:

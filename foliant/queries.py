@@ -25,6 +25,8 @@ NOW = demo.NOW
 #: name: (function of a catalog, SQL over the CTEs of demo.BASE_SQL or none)
 Entry = tuple[Callable[[Catalog], DataFrame], str | None]
 _REGISTRY: dict[str, Entry] = {}
+#: Searches that look up grams and read files in order of ids whatever their number: query, scope, cap.
+_BY_FILES: dict[str, tuple[str, str, int]] = {}
 
 
 def _quoted(text: str) -> str:
@@ -54,6 +56,9 @@ def add(name: str, make: Callable[[Catalog], DataFrame], sql: str | None = None)
 add_search("flt1_text", "ORDER_12", "order_12")
 add_search("flt1_text_unicode", "ÉRÉ", "éré")
 add_search("flt1_phrase_around_qualifier", "order_1 ext:pdf 2", "order_1 2", "ends_with(name_folded, '.pdf')")
+for _name, _query, _text, _extra in (("flt1_text_by_grams", "ORDER_12", "order_12", "true"), ("flt1_unicode_by_grams", "ÉRÉ", "éré", "true"), ("flt1_no_match_by_grams", "zzq no such name", "zzq no such name", "true"), ("flt1_category_by_grams", "order_1 cat:archives", "order_1", "category = 8")):
+    add_search(_name, _query, _text, _extra)
+    _BY_FILES[_name] = (_query, "/", 100_000)
 add_search("flt2_kind_folder", "kind:folder", "", "kind = 1")
 add_search("flt2_kind_negated", "!kind:directory !kind:link", "", "kind = 0")
 add_search("flt3_ext", "ext:été", "", "ends_with(name_folded, '.été')")
@@ -80,9 +85,12 @@ add_search("flt10_listing", "", "", scope="/data", depth=1)
 add_search("flt10_listing_root", "", "", scope="/", depth=1)
 add_search("flt13_everything_by_depth", "", "", depth=2, cap=500)
 add_search("lim1_cap", "order", "order", cap=250)
+add_search("lim1_cap_in_order", "order", "order", cap=250)
+add_search("lim1_cap_in_order_scope", "order_1", "order_1", scope="/data/asia", cap=40)
+_BY_FILES |= {"lim1_cap_in_order": ("order", "/", 250), "lim1_cap_in_order_scope": ("order_1", "/data/asia", 40)}
 add("flt9_scope_slash", lambda c: search(c.entries, "", "/data/asia/", MAX_DEPTH, 100_000).select("entry_id", *RESULT), _REGISTRY["flt9_scope_slash"][1])
 add("flt10_folder_listing", lambda c: list_folder(c.entries, "/docs").select("entry_id", *RESULT), f"SELECT entry_id, {ROW} FROM entries WHERE dir_path = '/docs'")
-add("flt11_subtree_through_folders", lambda c: sets.subtree_entries(c.entries, c.dirs, "/docs").select("entry_id", *RESULT), f"SELECT entry_id, {ROW} FROM entries WHERE dir_path = '/docs' OR starts_with(dir_path, '/docs/')")
+add("flt11_subtree_through_folders", lambda c: sets.subtree_entries(c.entries, c.tree, "/docs").select("entry_id", *RESULT), f"SELECT entry_id, {ROW} FROM entries WHERE dir_path = '/docs' OR starts_with(dir_path, '/docs/')")
 add("flt12_category_partition", lambda c: matching(c.entries, "cat:archives order_7", now=NOW).select("entry_id", *RESULT), f"SELECT entry_id, {ROW} FROM entries WHERE category = 8 AND contains(name_folded, 'order_7')")
 add("flt13_empty", lambda c: search(c.entries, "   ").select("entry_id", *RESULT), f"SELECT entry_id, {ROW} FROM entries WHERE false")
 add("flt14_path_under", lambda c: c.entries.select("entry_id", names.is_under(F.col("dir_path"), "/lost/x1").alias("under")), "SELECT entry_id, dir_path = '/lost/x1' OR starts_with(dir_path, '/lost/x1/') AS under FROM entries")
@@ -173,16 +181,19 @@ add("scl20_terminals", lambda c: c.spark.createDataFrame([(None,), ("",), ("kitt
 # --- aggregates -----------------------------------------------------------------------------------------------------------------
 add("agg1_histogram", lambda c: c.histogram, "SELECT dir_path, category, cnt FROM hist")
 _HIST = "SELECT c.category, CAST(coalesce(sum(hist.cnt), 0) AS BIGINT) AS cnt FROM (SELECT CAST(range AS INTEGER) AS category FROM range(9)) c LEFT JOIN hist ON hist.category = c.category AND ({}) GROUP BY 1"
-add("agg2_scoped_histogram", lambda c: facets.histogram(c.histogram, "/data/asia"), _HIST.format(_where("", "/data/asia")))
-add("agg2_histogram_of_all", lambda c: facets.histogram(c.histogram), _HIST.format("true"))
+add("agg2_scoped_histogram", lambda c: facets.histogram(c.histogram, "/data/asia", totals=c.scope_histogram), _HIST.format(_where("", "/data/asia")))
+add("agg2_histogram_of_all", lambda c: facets.histogram(c.histogram, totals=c.scope_histogram), _HIST.format("true"))
 add("agg2_histogram_of_folder", lambda c: facets.histogram(c.histogram, "/docs", 1), _HIST.format("dir_path = '/docs'"))
-add("agg2_histogram_slash", lambda c: facets.histogram(c.histogram, "/docs/"), _HIST.format("false"))
+add("agg2_histogram_slash", lambda c: facets.histogram(c.histogram, "/docs/", totals=c.scope_histogram), _HIST.format("false"))
 add("agg3_ext_breakdown", lambda c: c.ext_breakdown, "SELECT dir_path, category, ext, cnt, first_entry_id, CAST(rn AS INTEGER) AS rn FROM breakdown")
 add("agg4_folder_sizes", lambda c: c.dirs.select("dir_path", "local_bytes", "total_bytes"), "SELECT dir_path, local_bytes, total_bytes FROM dirs")
-add("agg5_scoped_ext_breakdown", lambda c: facets.extension_breakdown(c.ext_breakdown, "/data", MAX_DEPTH, 7), "SELECT ext, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, ext) AS INTEGER) AS rn FROM (SELECT ext, CAST(sum(cnt) AS BIGINT) AS cnt FROM breakdown WHERE category = 7 AND (dir_path = '/data' OR starts_with(dir_path, '/data/')) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 32)")
+add("agg2_totals_of_scopes", lambda c: c.scope_histogram, "SELECT path AS dir_path, category, CAST(sum(cnt) AS BIGINT) AS cnt FROM scopes JOIN hist ON path = '/' OR dir_path = path OR starts_with(dir_path, path || '/') GROUP BY ALL")
+add("agg5_lists_of_scopes", lambda c: c.scope_exts, "SELECT dir_path, category, ext, cnt, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY dir_path, category ORDER BY cnt DESC, ext) AS rn FROM (SELECT path AS dir_path, category, ext, CAST(sum(cnt) AS BIGINT) AS cnt FROM scopes JOIN breakdown ON path = '/' OR dir_path = path OR starts_with(dir_path, path || '/') GROUP BY ALL)) WHERE rn <= 32")
+add("flt11_folders_in_ranges", lambda c: c.tree.select("dir_path", (F.col("last") - F.col("first") + 1).alias("folders")), "SELECT path AS dir_path, count(*) AS folders FROM scopes JOIN d ON path = '/' OR dir = path OR starts_with(dir, path || '/') GROUP BY 1")
+add("agg5_scoped_ext_breakdown", lambda c: facets.extension_breakdown(c.ext_breakdown, "/data", MAX_DEPTH, 7, totals=c.scope_exts), "SELECT ext, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, ext) AS INTEGER) AS rn FROM (SELECT ext, CAST(sum(cnt) AS BIGINT) AS cnt FROM breakdown WHERE category = 7 AND (dir_path = '/data' OR starts_with(dir_path, '/data/')) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 32)")
 add("agg5_ext_breakdown_of_folder", lambda c: facets.extension_breakdown(c.ext_breakdown, "/docs/en/src1", 1, 2, 16), "SELECT ext, cnt, CAST(rn AS INTEGER) AS rn FROM breakdown WHERE dir_path = '/docs/en/src1' AND category = 2 AND rn <= 16")
 add("agg6_count", lambda c: c.entries.agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM entries")
-add("agg7_facets", lambda c: facets.facet_model(c.histogram, c.ext_breakdown, "/data"), """
+add("agg7_facets", lambda c: facets.facet_model(c.histogram, c.ext_breakdown, "/data", totals=(c.scope_histogram, c.scope_exts)), """
 SELECT category, cnt, rank, coalesce(extensions, '') AS extensions FROM (SELECT category, cnt, row_number() OVER (ORDER BY cnt DESC, category) AS rank FROM (SELECT category, cnt, count(*) OVER () AS n FROM (SELECT category, CAST(sum(cnt) AS BIGINT) AS cnt FROM hist WHERE dir_path = '/data' OR starts_with(dir_path, '/data/') GROUP BY 1)) WHERE category <> 0 OR n = 1) a
 LEFT JOIN (SELECT category, string_agg(ext || ':' || cnt, ',' ORDER BY rn) AS extensions FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY cnt DESC, ext) AS rn FROM (SELECT category, ext, CAST(sum(cnt) AS BIGINT) AS cnt FROM breakdown WHERE dir_path = '/data' OR starts_with(dir_path, '/data/') GROUP BY ALL)) WHERE rn <= 16 GROUP BY 1) b USING (category)""")
 add("agg8_capped_count", lambda c: search(c.entries, "order", max_results=2000).agg(F.count("*").alias("n"), h.result_count(F.count("*"), 2000).alias("said")), "SELECT least(count(*), 2000) AS n, least(count(*), 2000) || CASE WHEN count(*) >= 2000 THEN '+' ELSE '' END AS said FROM entries WHERE contains(name_folded, 'order')")
@@ -196,7 +207,7 @@ add("jn1_entry_folder", lambda c: sets.with_directory(c.entries, c.dirs).select(
 add("jn2_find_folder", lambda c: sets.find_directory(c.dirs, "/data/asia").select("dir_path", "total_bytes"), "SELECT dir_path, total_bytes FROM dirs WHERE dir_path = '/data/asia'")
 add("jn3_folder_own_size", lambda c: c.entries.where("kind = 1").select("entry_id", "size"), "SELECT entry_id, size FROM entries WHERE kind = 1")
 add("jn4_parents", lambda c: c.dirs.select("dir_path", names.parent(F.col("dir_path")).alias("up")).join(c.dirs.select(F.col("dir_path").alias("up"), F.col("total_bytes").alias("up_bytes")), "up"), "SELECT a.dir_path, a.up, b.total_bytes AS up_bytes FROM (SELECT dir_path, CASE WHEN regexp_extract(dir_path, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(dir_path, '^(.*)/[^/]*$', 1) END AS up FROM dirs) a JOIN dirs b ON b.dir_path = a.up")
-add("jn5_subtree_semi_join", lambda c: sets.subtree_entries(c.entries, c.dirs, "/parts").select("entry_id"), "SELECT entry_id FROM entries WHERE dir_path = '/parts' OR starts_with(dir_path, '/parts/')")
+add("jn5_subtree_semi_join", lambda c: sets.subtree_entries(c.entries, c.tree, "/parts").select("entry_id"), "SELECT entry_id FROM entries WHERE dir_path = '/parts' OR starts_with(dir_path, '/parts/')")
 add("jn6_floor_lookup", lambda c: sets.floor_lookup(c.dirs.select("dir_path", F.explode(F.sequence(F.lit(0), F.lit(400), F.lit(37)).cast("array<bigint>")).alias("pos")), sets.name_offsets(c.entries)), """
 SELECT p.dir_path, p.pos, o.entry_id FROM (SELECT dir_path, unnest(range(0, 401, 37)) AS pos FROM dirs) p JOIN (SELECT dir_path, entry_id, CAST(coalesce(sum(octet_length(encode(name))) OVER (PARTITION BY dir_path ORDER BY entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, octet_length(encode(name)) AS size FROM entries) o
 ON o.dir_path = p.dir_path AND o.start <= p.pos AND p.pos < o.start + o.size""")
@@ -280,8 +291,9 @@ DIRTY_SQL = "SELECT event_type, count(*) AS dirty FROM events WHERE user_id <> 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    by_files = {name: (lambda spark, sf_dir, q=q, scope=scope, cap=cap: demo.catalog(spark, sf_dir, index_files=0, ordered_files=0).query(q, scope, MAX_DEPTH, cap, NOW).select("entry_id", *RESULT)) for name, (q, scope, cap) in _BY_FILES.items()}
     out = {name: (lambda spark, sf_dir, make=make: make(demo.catalog(spark, sf_dir))) for name, (make, _) in _REGISTRY.items()}
-    return out | {"str2_relevant_changes": _dirty, "str3_rebuild_replay": _replay}
+    return out | by_files | {"str2_relevant_changes": _dirty, "str3_rebuild_replay": _replay}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -76,7 +76,7 @@ _CATS = ", ".join(f"('{e}', {c})" for e, c in CATEGORY_OF.items())
 FOLD = f"translate({{}}, '{tables()[0]}', '{tables()[1]}')"
 LOWER = f"translate({{}}, '{ASCII_UPPER}', '{ASCII_LOWER}')"
 
-#: CTEs for DuckDB: raw (as scanned), d (folders, own bytes), totals, entries, dirs, hist, breakdown.
+#: CTEs for DuckDB: raw (as scanned), d (folders, own bytes), totals, entries, dirs, hist, breakdown, scopes (folders and all above them).
 BASE_SQL = f"""
 cats(ext, category) AS (VALUES {_CATS}),
 files AS ({_duck_sql(FILES_SQL)}),
@@ -93,7 +93,8 @@ dirs AS (SELECT d.dir AS dir_path, d.local AS local_bytes, t.total_bytes FROM d
 hist AS (SELECT dir_path, category, count(*) AS cnt FROM entries GROUP BY ALL),
 exts AS (SELECT dir_path, category, entry_id, {FOLD.format("regexp_extract(name, '(?s)^.*[.]([^.]*)$', 1)")} AS ext FROM entries),
 counted AS (SELECT dir_path, category, ext, count(*) AS cnt, min(entry_id) AS first_entry_id FROM exts WHERE ext <> '' AND octet_length(encode(ext)) <= 15 GROUP BY ALL),
-breakdown AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dir_path, category ORDER BY cnt DESC, first_entry_id) AS rn FROM counted) WHERE rn <= 32)
+breakdown AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dir_path, category ORDER BY cnt DESC, first_entry_id) AS rn FROM counted) WHERE rn <= 32),
+scopes AS (SELECT DISTINCT CASE WHEN n = 1 THEN '/' ELSE array_to_string(p[1:n], '/') END AS path FROM (SELECT p, unnest(range(1, len(p) + 1)) AS n FROM (SELECT string_split(dir, '/') AS p FROM d WHERE dir <> '/')))
 """
 
 
@@ -104,12 +105,12 @@ def oracle(text: str) -> str:
 _built: dict[tuple[str, str], str] = {}
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The catalog of a folder of test tables, built once in a Spark application and deleted at its end."""
+def catalog(spark: SparkSession, sf_dir: str, **named: object) -> Catalog:
+    """The catalog of a folder of test tables, built once in a Spark application and deleted at its end. named: of ``Catalog``."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _built:
         root = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
         build(raw_entries(spark, sf_dir), root, created=NOW)
         Store(spark, root).forget()
         _built[key] = root
-    return Catalog(spark, _built[key])
+    return Catalog(spark, _built[key], hold=False, **named)
