@@ -114,8 +114,10 @@ def parse_size(text: str) -> int | None:
     if not found or not re.search("[0-9]", found[1]) or (power := UNITS.get(found[2].lower())) is None:
         return None
     if "." not in found[1]:
-        size = int(found[1]) << (10 * power)
-        return size if int(found[1]) <= MAX_U64 and size <= MAX_U64 else None
+        if len(found[1].lstrip("0")) > len(str(MAX_U64)):
+            return None  # and Python converts no number of over 4,300 digits
+        size = int(found[1].lstrip("0") or "0") << (10 * power)
+        return size if size <= MAX_U64 else None
     product = float(found[1]) * 1024.0**power
     return int(product) if math.isfinite(product) and product < float(MAX_U64) else None
 

@@ -3,11 +3,17 @@
 Changes are a stream of paths: from another system, or what a new scan differs in
 from the snapshot (``changes``, ``record``). Each micro-batch counts the relevant
 ones, and a trigger decides whether the snapshot is built anew: daily, after many
-changes, or some time after few.
+changes, or some time after few. A heartbeat makes micro-batches when nothing
+changes, so few changes don't wait for the next one.
+
+The trigger's count and times lie beside the stream's checkpoint, with the number of the
+micro-batch that they include. A restart goes on from there: a batch that is delivered
+again is not counted again, and a rebuild that was cut off is done again.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -19,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.names import is_under, join_path
 from ..schema import DIRECTORY
+from ..sources.catalog import Store
 
 # How often is looked, how long few changes wait, how many don't, and how old a scan may get; seconds.
 POLL = 2.0
@@ -34,34 +41,62 @@ def should_rebuild(dirty: int, since_rebuild: float, since_full: float) -> bool:
 @dataclass
 class RebuildTrigger:
     """Counts changes and rebuilds. The count is taken back before a rebuild, so one that
-    fails waits for a new change; its time does not count as one of a rebuild."""
+    fails waits for a new change; its time does not count as one of a rebuild.
+
+    With a ``ledger`` (a text's reader and writer) what it knows outlives the driver.
+    """
 
     rebuild: Callable[[], None]
     started: float
     dirty: int = 0
+    batch: int = -1
+    ledger: tuple[Callable[[], str | None], Callable[[str], None]] | None = None
 
     def __post_init__(self) -> None:
         self.last = self.full = self.started
         self.rebuilds = self.failures = 0
-
-    def step(self, changes: int, now: float) -> bool:
-        self.dirty += changes
-        if not should_rebuild(self.dirty, now - self.last, now - self.full):
+        self.cut_off: str | None = None
+        if self.ledger and (text := self.ledger[0]()):
+            held = json.loads(text)
+            self.dirty, self.batch, self.last, self.full, self.cut_off = (held[k] for k in ("dirty", "batch", "last", "full", "rebuilding"))
+
+    def _save(self, rebuilding: str | None = None) -> None:
+        if self.ledger:
+            self.ledger[1](json.dumps({"dirty": self.dirty, "batch": self.batch, "last": self.last, "full": self.full, "rebuilding": rebuilding}))
+
+    def step(self, changes: int, now: float, batch: int | None = None) -> bool:
+        """True if it has rebuilt. A ``batch`` that was counted before counts nothing."""
+        if batch is None or batch > self.batch:
+            self.dirty += changes
+            self.batch = self.batch if batch is None else batch
+        daily = now - self.full >= DAILY or self.cut_off == "daily"
+        if not self.cut_off and not should_rebuild(self.dirty, now - self.last, now - self.full):
+            if changes:
+                self._save()
             return False
-        daily = now - self.full >= DAILY
         self.dirty = 0
+        self._save("daily" if daily else "changes")  # a driver that dies from here on rebuilds again
+        self.cut_off = None
         try:
             self.rebuild()
         except Exception:
             self.failures += 1
+            self._save()
             return False
         self.rebuilds += 1
         self.last = now
         if daily:
             self.full = now
+        self._save()
         return True
 
 
+def kept_trigger(spark: SparkSession, rebuild: Callable[[], None], started: float, checkpoint: str) -> RebuildTrigger:
+    """A trigger whose ledger lies beside a stream's checkpoint: what an earlier one there knew, or a new one."""
+    store = Store(spark, f"{checkpoint.rstrip('/')}-trigger")
+    return RebuildTrigger(rebuild, started, ledger=(lambda: store.read("STATE"), lambda text: store.replace("STATE", text)))
+
+
 def relevant(changes: DataFrame, path: str, own_output: str | None) -> DataFrame:
     """Changes but those under the catalog's own folder."""
     return changes if own_output is None else changes.where(~is_under(F.col(path), own_output))
@@ -70,11 +105,15 @@ def relevant(changes: DataFrame, path: str, own_output: str | None) -> DataFrame
 def watch(changes: DataFrame, path: str, trigger: RebuildTrigger, own_output: str | None, checkpoint: str, clock: Callable[[], float] = time.time, available_now: bool = False) -> StreamingQuery:
     """Start the loop over a stream of changes. Start it before the first full build, so that no change is missed."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        trigger.step(df.count(), clock())
+    def batch(df: DataFrame, number: int) -> None:
+        trigger.step(df.where("path is not null").count(), clock(), number)
 
-    writer = relevant(changes, path, own_output).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{POLL:g} seconds")).start()
+    paths = relevant(changes, path, own_output).select(F.col(path).alias("path"))
+    if available_now:
+        return paths.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    beats = changes.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    paths = paths.unionByName(beats.select(F.lit(None).cast("string").alias("path")))
+    return paths.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{POLL:g} seconds").start()
 
 
 def watch_and_build(first_build: Callable[[], object], *args: object, **named: object) -> StreamingQuery:
