@@ -1,29 +1,41 @@
-"""File-system scan as a Spark data source, and the rules of what is left out.
+"""File-system scans, and the rules of what is left out. The tree has to be mounted on the executors.
 
+``scan`` goes in rounds: the folders still to be listed are a table, dealt out to a
+fixed number of tasks; each lists its own, goes on below them for a while, and gives
+back the folders that it didn't come to. The driver lists nothing. A root of a
+million folders is spread over all tasks in the second round, a deep chain is
+walked in few rounds, and a lost executor costs the round at hand.
+
+The same as a data source, read when it is used:
 ``spark.dataSource.register(FileTreeSource)``, then
 ``spark.read.format("filetree").option("root", "/data").load()``. The driver lists
 folders, level by level from the root, until it has at least ``splits`` (default 256)
 subtrees; each is a partition that a task walks on its own, and the folders above
-them are listed by tasks as well. The tree has to be mounted on the executors.
+them are listed by tasks as well.
 """
 
 from __future__ import annotations
 
 import os
 import stat
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.names import categorize, join_path
 from ..schema import DIRECTORY, FILE, SYMLINK
+from .shared import fresh_path, passing
 
 # Names and path ends that are not scanned.
 EXCLUDED_NAMES = (".git", "node_modules", ".Trash", "__pycache__", ".DS_Store", ".cache", ".npm", ".yarn", ".Spotlight-V100", ".fseventsd")
 EXCLUDED_PATHS = ("Library/Caches", "Library/Logs", "Library/Developer")
 #: Bytes of a path; folders beyond are skipped with all below.
 MAX_PATH = 4096
+#: Folders that a task lists below its own in one round, and rows that it hands on at a time.
+BUDGET, ROWS = 4096, 8192
 SCHEMA = "name string, dir_path string, size bigint, mtime bigint, kind int"
 
 
@@ -110,8 +122,51 @@ class FileTreeSource(DataSource):
         return FileTreeReader(os.path.normpath(self.options["root"]), int(self.options.get("splits", 256)))
 
 
-def scan(spark, root: str) -> DataFrame:
-    """(name, dir_path, size, mtime, kind, category) of a tree; size as allocated on disk, folders are category 0."""
-    spark.dataSource.register(FileTreeSource)
-    rows = spark.read.format("filetree").option("root", root).load()
+def _listed(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """Entries of the folders given and of up to ``budget`` below them; folders that are left come as ``todo``."""
+    rows: list[tuple] = []
+
+    def hand_on() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["name", "dir_path", "size", "mtime", "kind", "todo"])
+
+    left: list[str] = []
+    for batch in batches:
+        for folder in batch.column("todo").to_pylist():
+            for row, path in scan_one(folder):  # an unreadable folder fails the scan: no snapshot is made of half a tree
+                rows.append((*row, None))
+                if path:
+                    left.append(path)
+                if len(rows) >= ROWS:
+                    yield hand_on()
+    while left and budget > 0:
+        budget -= 1
+        for row, path in scan_one(left.pop()):
+            rows.append((*row, None))
+            if path:
+                left.append(path)
+            if len(rows) >= ROWS:
+                yield hand_on()
+    for path in left:
+        rows.append((None, None, None, None, None, path))
+        if len(rows) >= ROWS:
+            yield hand_on()
+    if rows:
+        yield hand_on()
+
+
+def scan(spark: SparkSession, root: str, partitions: int | None = None, budget: int = BUDGET) -> DataFrame:
+    """(name, dir_path, size, mtime, kind, category) of a tree as it is now; size as allocated on disk, folders are category 0."""
+    n = partitions or 4 * spark.sparkContext.defaultParallelism
+    at, schema, k = fresh_path(spark, "scan"), f"{SCHEMA}, todo string", 0
+    todo = spark.createDataFrame([(os.path.normpath(root),)], "todo string")
+    while True:
+        todo.repartition(n if k else 1).mapInArrow(lambda batches: _listed(batches, budget), schema).write.parquet(f"{at}/{k}")
+        held = spark.read.schema(schema).parquet(f"{at}/{k}")
+        todo, k = held.where("todo is not null").select("todo"), k + 1
+        if not todo.head(1):
+            break
+    passing(spark, at)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(at).where("name is not null").drop("todo")
     return rows.withColumn("category", F.when(F.col("kind") == DIRECTORY, 0).otherwise(categorize(F.col("name"))))
