@@ -103,16 +103,21 @@ def relevant(changes: DataFrame, path: str, own_output: str | None) -> DataFrame
 
 
 def watch(changes: DataFrame, path: str, trigger: RebuildTrigger, own_output: str | None, checkpoint: str, clock: Callable[[], float] = time.time, available_now: bool = False) -> StreamingQuery:
-    """Start the loop over a stream of changes. Start it before the first full build, so that no change is missed."""
+    """Start the loop over a stream of changes. Start it before the first full build, so that no change is missed.
+
+    If they have a column ``at``, the changes of one path at one time are one.
+    """
+    timed = "at" in changes.columns
 
     def batch(df: DataFrame, number: int) -> None:
-        trigger.step(df.where("path is not null").count(), clock(), number)
+        found = df.where("path is not null")
+        trigger.step((found.distinct() if timed else found).count(), clock(), number)
 
-    paths = relevant(changes, path, own_output).select(F.col(path).alias("path"))
+    paths = relevant(changes, path, own_output).select(F.col(path).alias("path"), *(["at"] if timed else []))
     if available_now:
         return paths.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     beats = changes.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
-    paths = paths.unionByName(beats.select(F.lit(None).cast("string").alias("path")))
+    paths = paths.unionByName(beats.select(F.lit(None).cast("string").alias("path")), allowMissingColumns=True)
     return paths.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{POLL:g} seconds").start()
 
 
