@@ -116,11 +116,9 @@ def test_facets_of_a_scope_read_one_folder(spark, built):
     _, _, c, _ = built
     for scope in ("/", "/a", "/a/", "/b/x1", "/only", "/nothing", ""):
         assert facets.histogram(c.histogram, scope, totals=c.scope_histogram).collect() == facets.histogram(c.histogram, scope).collect()
-        for category in range(10):
-            for most in (0, 3, 32, 99):
-                got, want = (facets.extension_breakdown(c.ext_breakdown, scope, MAX_DEPTH, category, most, totals=t) for t in (c.scope_exts, None))
-                if category in (1, 9) or most == 3:
-                    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        for category, most in ((1, 99), (2, 3), (1, 0), (9, 32))[: 4 if scope == "/a" else 2]:
+            got, want = (facets.extension_breakdown(c.ext_breakdown, scope, MAX_DEPTH, category, most, totals=t) for t in (c.scope_exts, None))
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
         if scope:
             got, want = (facets.facet_model(c.histogram, c.ext_breakdown, scope, exts=5, totals=t) for t in ((c.scope_histogram, c.scope_exts), None))
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
@@ -145,7 +143,7 @@ def test_grams_choose_files_and_lose_no_match(spark, built):
     rows, _, c, plain = built
     assert len(c.files) > 20
     for text in QUERIES:
-        for scope in ("/", "/a"):
+        for scope in ("/", "/a")[: 2 if text in ("e", "report_39") else 1]:
             want = plain.query(text, scope).collect()
             assert c.query(text, scope).collect() == want
             assert c.query(text, scope, max_results=7).collect() == want[:7]
