@@ -6,8 +6,8 @@ character that no piece has costs the least score less 10 and counts as its byte
 the vocabulary has them all, as one unknown otherwise, with neighbours fused.
 
 An Aho-Corasick automaton lists all pieces that occur in a text with one scan. The
-dynamic program keeps, for each position, the best score and the number of pieces
-on that path, no back pointers, as only the count is asked for. Ties are broken as
+dynamic program keeps, for as many positions as the longest piece has characters, the
+best score and the number of pieces on that path, no back pointers, as only the count is asked for. Ties are broken as
 the tokenizer breaks them: a position's starts are tried from the left and a later
 one must be strictly better, so of equal paths the one with the longest last piece
 wins.
@@ -57,6 +57,7 @@ class UnigramCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(piece) for piece, _ in vocabulary), default=1) or 1
         self.unknown_score = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
         pieces = {p for p, _ in vocabulary}
         self.has_bytes = all(f"<0x{b:02X}>" in pieces for b in range(256))
@@ -67,30 +68,32 @@ class UnigramCounter:
 
     def count_prepared(self, text: str) -> int:
         """Pieces on the best path of a text whose blanks are replaced already."""
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(text):
-            ends[end].append(match)
-        best, count, fused = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for k in range(n):
-            top, matches = None, ends[k]
+        ring = self.longest + 1  # no piece reaches further back
+        best, count, fused = [0.0] * ring, [0] * ring, False
+        occurrences, none = self.automaton.iter(text), (len(text), (0, 0.0))
+        end, match = next(occurrences, none)
+        for k, char in enumerate(text):
+            top, matches = None, []
+            while end == k:
+                matches.append(match)
+                end, match = next(occurrences, none)
             matches.sort(reverse=True)  # the longest first: the leftmost start
             for size, score in matches:
-                value = best[k + 1 - size] + score
+                value = best[(k + 1 - size) % ring] + score
                 if top is None or value > top:
-                    top, pieces = value, count[k + 1 - size] + 1
+                    top, pieces = value, count[(k + 1 - size) % ring] + 1
             single = bool(matches) and matches[-1][0] == 1
             unknown = False
             if not single:
-                value = best[k] + self.unknown_score
+                value = best[k % ring] + self.unknown_score
                 if top is None or value > top:
                     unknown, top = True, value
                     if self.has_bytes:
-                        pieces = count[k] + len(text[k].encode())
+                        pieces = count[k % ring] + len(char.encode())
                     else:
-                        pieces = count[k] + (not fused[k])
-            best[k + 1], count[k + 1], fused[k + 1] = top, pieces, unknown
-        return count[n]
+                        pieces = count[k % ring] + (not fused)
+            best[(k + 1) % ring], count[(k + 1) % ring], fused = top, pieces, unknown
+        return count[len(text) % ring]
 
     def count(self, text: str) -> int:
         return self.count_prepared(BLANK + text.replace(" ", BLANK)) if text else 0

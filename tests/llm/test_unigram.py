@@ -1,3 +1,5 @@
+import tracemalloc
+
 import public_tokenizers
 import pyarrow as pa
 from hypothesis import given, settings
@@ -42,6 +44,18 @@ def test_ties_in_small_vocabularies(pieces, text):
     assert own.batch(pa.array([text])).tolist() == [library(vocabulary, False)(text)]
 
 
+def test_memory_does_not_grow_with_a_text():
+    own, lib = held()
+    text = "wide\t \x0b words▁and  Ünïcode " * 12_000
+    prepared = unigram.BLANK + text.replace(" ", unigram.BLANK)
+    tracemalloc.start()
+    got = own.count_prepared(prepared)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == lib(text)
+    assert peak < 8 * len(text)  # the text itself, as the automaton holds it; lists for each character took over 100
+
+
 def test_documents(spark):
     _, lib = held()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
