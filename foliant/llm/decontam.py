@@ -7,9 +7,10 @@ Where that length reaches ``window`` words, the last ``window`` of them are an
 occurrence; an item of fewer words occurs as a whole. Words inside occurrences
 are hit; documents over the coverage limit are contaminated, and spans can be cut.
 
-The items are handled in shards of bounded size, each one automaton that is
-sent to the tasks; the documents pass the shards one behind the other without a
-shuffle, so neither side ever meets the other in a join. Usual benchmarks are one
+The items are handled in shards of bounded size, each one automaton, built in the
+driver and laid flat in arrays. Up to ``PASS_SHARDS`` of them are sent to the tasks
+together, and a pass of the documents streams each text through all of these; there
+is no shuffle, so neither side ever meets the other in a join. Usual benchmarks are one
 shard. A long item is cut into chunks that overlap by a window less one word, so no
 window is lost and no shard is larger than its bound by more than one chunk.
 
@@ -20,9 +21,10 @@ are hit like any other and count as one item together; the digest of ids leaves
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .session import Run, bounded_batches, free_name, room_for, written
-from .textbatch import WordTable, arrow_batches, fold_ascii, plain_words, runs, text_bytes
+from .textbatch import WordTable, arrow_batches, fold_ascii, plain_words, runs, spread, text_bytes
 
 WINDOW = 13
-#: Bytes of item text in one automaton (about a hundred bytes of a worker's memory for each), and words in a chunk of an item.
+#: Bytes of item text in one automaton (about a hundred bytes of the driver's memory for each while it is built, ten once it is flat), and words in a chunk of an item.
 SHARD_BYTES = 1_000_000
 CHUNK = 1000
+#: Flat automata that a worker holds at a time.
+PASS_SHARDS = 8
+#: States whose moves a worker holds as a dict, for each automaton.
+OPEN_STATES = 1 << 15
 #: Contaminated if at least one in so many words is hit.
 COVERAGE = 20
 
@@ -53,9 +59,28 @@ def item_words(texts: pa.Array) -> list[list[bytes]]:
     return out
 
 
+@dataclass
+class Lists:
+    """A list of numbers for each state, end to end."""
+
+    offsets: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, rows: Iterable[Iterable[int]]) -> Lists:
+        values, ends = array("i"), array("q", [0])
+        for row in rows:
+            values.extend(row)
+            ends.append(len(values))
+        return cls(np.array(ends, np.int64), np.array(values, np.int32))
+
+    def __getitem__(self, state: int) -> list[int]:
+        return self.values[self.offsets[state] : self.offsets[state + 1]].tolist()
+
+
 @dataclass
 class Automaton:
-    """Suffix automaton of many word sequences. State 0 is the root."""
+    """Suffix automaton of many word sequences, as it is built. State 0 is the root."""
 
     window: int = WINDOW
     next: list[dict[int, int]] = field(default_factory=lambda: [{}])
@@ -120,19 +145,69 @@ class Automaton:
                 out[s] = out[self.link[s]]
         return out
 
+    def flat(self) -> FlatAutomaton:
+        items = sorted({x for found in self.of_window.values() for x in found} | {x for sizes in self.whole.values() for found in sizes.values() for x in found}, key=lambda x: (x is None, x or ""))
+        number = {x: k for k, x in enumerate(items)}
+        states, none = range(len(self.link)), {}
+        return FlatAutomaton(
+            self.window,
+            items,
+            words=Lists.of(self.next),
+            targets=Lists.of(m.values() for m in self.next),
+            link=np.array(self.link, np.int32),
+            length=np.array(self.length, np.int32),
+            holder=np.array(self.holder, np.int32),
+            short=np.array(self.short, np.int32),
+            of_window=Lists.of(map(number.__getitem__, self.of_window.get(s, ())) for s in states),
+            whole_sizes=Lists.of((size for size, found in self.whole.get(s, none).items() for _ in found) for s in states),
+            whole_items=Lists.of((number[x] for found in self.whole.get(s, none).values() for x in found) for s in states),
+        )
+
+
+@dataclass
+class FlatAutomaton:
+    """The automaton in arrays: what is sent, and what texts are streamed through.
+
+    Moves of a state become a dict when a text first comes there; so many dicts are held, then none.
+    """
+
+    window: int
+    items: list[str | None]
+    words: Lists
+    targets: Lists
+    link: np.ndarray
+    length: np.ndarray
+    holder: np.ndarray
+    short: np.ndarray
+    of_window: Lists
+    whole_sizes: Lists
+    whole_items: Lists
+    opened: dict[int, dict[int, int]] = field(default_factory=dict, repr=False)
+
+    def open(self, state: int) -> dict[int, int]:
+        if len(self.opened) >= OPEN_STATES:
+            self.opened.clear()
+        moves = self.opened[state] = dict(zip(self.words[state], self.targets[state], strict=True))
+        return moves
+
     def stream(self, words: list[int]) -> tuple[list[tuple[int, int]], set]:
         """Occurrences as (first, end) word positions, and the items that occur."""
         s, n, run = 0, 0, -1
         found: list[tuple[int, int]] = []
         items, held = set(), set()
-        move, link, length, window, short, holder = self.next, self.link, self.length, self.window, self.short, self.holder
+        opened, window = self.opened, self.window
+        link, length, short, holder = map(memoryview, (self.link, self.length, self.short, self.holder))
         for k, w in enumerate(words, 1):
-            while s and w not in move[s]:
+            while True:
+                moves = opened.get(s)
+                to = (self.open(s) if moves is None else moves).get(w)
+                if to is not None or not s:
+                    break
                 s = link[s]
                 n = length[s]
-            if w not in move[s]:
+            if to is None:
                 continue
-            s = move[s][w]
+            s = to
             n += 1
             if n >= window:
                 if run >= 0 and found[run][1] == k - 1:  # windows one behind the other are one stretch
@@ -143,18 +218,22 @@ class Automaton:
                 held.add(holder[s])
             t = short[s]
             while t > 0:  # at most one state for each length under the window
-                for size, whole in self.whole[t].items():
+                for size, item in zip(self.whole_sizes[t], self.whole_items[t], strict=True):
                     if size <= n:
                         found.append((k - size, k))
-                        items |= whole
+                        items.add(item)
                 t = short[link[t]]
-        return found, items.union(*(self.of_window[h] for h in held))
+        return found, {self.items[x] for x in items.union(*(self.of_window[h] for h in held))}
 
 
 @dataclass
 class Shard:
+    """``pairs``: the items' pairs of neighbouring words, as first * ``words`` + second, in order; ``words``: how many words it has."""
+
     vocabulary: list[bytes]
-    automaton: Automaton
+    automaton: FlatAutomaton
+    words: int
+    pairs: np.ndarray
     least: int
 
 
@@ -163,7 +242,29 @@ def make_shard(rows: list[tuple[str | None, list[bytes]]], window: int) -> Shard
     sequences = [(item, [vocabulary.setdefault(w, len(vocabulary)) for w in words]) for item, words in rows if words]
     if not sequences:
         return None
-    return Shard(list(vocabulary), Automaton(window).build(sequences), min(window, *(len(w) for _, w in sequences)))
+    pairs = np.unique(np.concatenate([np.array(w[:-1], np.int64) * len(vocabulary) + np.array(w[1:], np.int64) for _, w in sequences]))
+    return Shard(list(vocabulary), Automaton(window).build(sequences).flat(), len(vocabulary), pairs, min(window, *(len(w) for _, w in sequences)))
+
+
+@dataclass
+class Pack:
+    """The shards of one pass: all their words, and for each shard the shard's own number of each (-1: it has no such word)."""
+
+    vocabulary: list[bytes]
+    shards: list[tuple[Shard, np.ndarray]]
+
+    @classmethod
+    def of(cls, shards: list[Shard]) -> Pack:
+        number: dict[bytes, int] = {}
+        for shard in shards:
+            for w in shard.vocabulary:
+                number.setdefault(w, len(number))
+        out = []
+        for shard in shards:
+            own = np.full(len(number), -1, np.int32)
+            own[[number[w] for w in shard.vocabulary]] = np.arange(len(shard.vocabulary))
+            out.append((replace(shard, vocabulary=[]), own))
+        return cls(list(number), out)
 
 
 def chunks(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -200,27 +301,47 @@ HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_
 _HITS = pa.schema([("n_words", pa.int64()), ("hit_words", pa.list_(pa.int64())), ("hit_bytes", pa.list_(pa.int64())), ("hit_items", pa.list_(pa.string()))])
 
 
-def scan(batch: pa.RecordBatch, text_col: str, shard: Shard, table: WordTable) -> dict[str, list]:
-    """For each text its words, the words hit, their byte ranges (start, end, start, ...) and items.
+def stretches(ids: np.ndarray, first: np.ndarray, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of words that are worth streaming: as long as the shortest window, of words and of pairs of words that items have.
 
-    Only runs of words that items have, as long as the shortest window, are
-    streamed: any other word takes the automaton back to its root.
+    Anything else between two words would take the automaton back to its root, or one word from it.
     """
+    begin, end, _ = runs(ids >= 0, first)
+    long = end - begin >= shard.least
+    begin, end = begin[long], end[long]
+    at = spread(begin, end - begin)
+    if not len(at):
+        return begin, end
+    opens = np.zeros(len(at), bool)
+    opens[np.cumsum(end - begin) - (end - begin)] = True
+    key = ids[at[:-1]].astype(np.int64) * shard.words + ids[at[1:]]
+    slot = np.minimum(np.searchsorted(shard.pairs, key), len(shard.pairs) - 1) if len(shard.pairs) else None
+    opens[1:] |= True if slot is None else shard.pairs[slot] != key
+    begin, end = at[opens], at[np.append(opens[1:], True)] + 1
+    long = end - begin >= shard.least
+    return begin[long], end[long]
+
+
+def scan(batch: pa.RecordBatch, text_col: str, pack: Pack, table: WordTable) -> dict[str, list]:
+    """For each text its words, the words hit, their byte ranges (start, end, start, ...) and items."""
     buf, offsets = text_bytes(batch.column(text_col))
     buf = fold_ascii(buf)
     starts, ends, count = plain_words(buf, offsets)
     ids = table.ids(buf, starts, ends, add=False)
+    known = ids >= 0
     first = np.concatenate([[0], np.cumsum(count)])
-    begin, end, _ = runs(ids >= 0, first)
     out: dict[int, tuple[set, set]] = {}
-    for i, j in zip(*(x[end - begin >= shard.least].tolist() for x in (begin, end)), strict=True):
-        found, items = shard.automaton.stream(ids[i:j].tolist())
-        if found:
-            doc = int(np.searchsorted(first, i, side="right")) - 1
-            words, all_items = out.setdefault(doc, (set(), set()))
-            for a, b in found:
-                words.update(range(i + a, i + b))
-            all_items |= items
+    for shard, numbers in pack.shards:
+        own = np.full(len(ids), -1, np.int32)
+        own[known] = numbers[ids[known]]
+        for i, j in zip(*(x.tolist() for x in stretches(own, first, shard)), strict=True):
+            found, items = shard.automaton.stream(own[i:j].tolist())
+            if found:
+                doc = int(np.searchsorted(first, i, side="right")) - 1
+                words, all_items = out.setdefault(doc, (set(), set()))
+                for a, b in found:
+                    words.update(range(i + a, i + b))
+                all_items |= items
     none: list = []
     hit_words, hit_bytes, hit_items = ([none] * len(count) for _ in range(3))
     for doc, (words, items) in out.items():
@@ -236,39 +357,45 @@ def in_order(items: set[str | None]) -> list[str | None]:
     return sorted(items, key=lambda x: (x is None, x or ""))
 
 
-def table_of(shard: Shard) -> WordTable:
-    """The shard's words, with the automaton's numbers."""
+def table_of(vocabulary: list[bytes]) -> WordTable:
+    """Words with their places in the list."""
     table = WordTable(None)
-    if shard.vocabulary:
-        buf, offsets = text_bytes(pa.array([w.decode() for w in shard.vocabulary], pa.string()))
-        back = np.zeros(len(shard.vocabulary) + 1, np.int64)  # the table numbers words in an order of its own
-        back[table.ids(buf, offsets[:-1], offsets[1:])] = np.arange(len(shard.vocabulary))
+    if vocabulary:
+        buf, offsets = text_bytes(pa.array([w.decode() for w in vocabulary], pa.string()))
+        back = np.zeros(len(vocabulary) + 1, np.int64)  # the table numbers words in an order of its own
+        back[table.ids(buf, offsets[:-1], offsets[1:])] = np.arange(len(vocabulary))
         table.id = back[table.id].astype(np.int32)
         table.long = {w: int(back[k]) for w, k in table.long.items()}
     return table
 
 
-def passes(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, name: str, finish: Callable[[pa.RecordBatch, dict[str, list]], pa.RecordBatch], schema: T.StructType, **named: object) -> DataFrame:
+def packs(found: Iterator[Shard], size: int) -> Iterator[Pack]:
+    """``size`` shards at a time."""
+    while shards := list(islice(found, size)):
+        yield Pack.of(shards)
+
+
+def passes(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, name: str, finish: Callable[[pa.RecordBatch, dict[str, list]], pa.RecordBatch], schema: T.StructType, pass_shards: int = PASS_SHARDS, **named: object) -> DataFrame:
     """``docs`` through all shards; ``finish`` makes rows of ``schema`` of a batch and its hits, in the last pass.
 
-    A task holds one automaton, in one Python worker: between two shards the rows are
-    written in the shared folder and read again, and what was read before is deleted.
+    A worker holds ``pass_shards`` flat automata at most. If there are more, the rows are
+    written in the shared folder and read again between two passes, and what was read before is deleted.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     out = docs
-    found = either(shards(benchmark, window, **named), Shard([], Automaton(window).build([]), window))
-    shard, number = next(found), 0
+    found = packs(shards(benchmark, window, **named), pass_shards)
+    pack, number = next(found, Pack([], [])), 0
     with Run(spark) as mine:
-        while shard is not None:
+        while pack is not None:
             following = next(found, None)
-            sent = spark.sparkContext.broadcast(shard)
+            sent = spark.sparkContext.broadcast(pack)
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent, first=number == 0, last=following is None) -> Iterator[pa.RecordBatch]:
-                shard = sent.value
-                table = table_of(shard)
+                pack = sent.value
+                table = table_of(pack.vocabulary)
                 for batch in arrow_batches(batches):
-                    new = scan(batch, text_col, shard, table)
+                    new = scan(batch, text_col, pack, table)
                     if not first:
                         k = batch.schema.get_field_index(name)
                         new = merge(batch.column(k).to_pylist(), new)
@@ -280,7 +407,7 @@ def passes(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, na
                 out = written(out, "decontam-hits")
                 mine.drop(but=1)
                 sent.unpersist()
-            shard, number = following, number + 1
+            pack, number = following, number + 1
     return out
 
 
@@ -294,15 +421,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
     return passes(docs, benchmark, text_col, window, name, lambda batch, hits: batch.append_column(name, hits_array(hits)), T.StructType([*docs.schema, T.StructField(name, HITS)]), **named)
 
 
-def either(found: Iterator[Shard], otherwise: Shard) -> Iterator[Shard]:
-    """What is found, one at a time, or ``otherwise`` if nothing is."""
-    first = next(found, otherwise)
-    yield first
-    yield from found
-
-
 def merge(old: list[dict], new: dict[str, list]) -> dict[str, list]:
-    """Hits of an earlier shard and of this one."""
+    """Hits of earlier passes and of this one."""
     for k, was in enumerate(old):
         at = dict(zip(was["hit_words"], zip(was["hit_bytes"][::2], was["hit_bytes"][1::2], strict=True), strict=True))
         at |= dict(zip(new["hit_words"][k], zip(new["hit_bytes"][k][::2], new["hit_bytes"][k][1::2], strict=True), strict=True))

@@ -1,9 +1,11 @@
 import hashlib
 import os
+import pickle
 import re
 import time
 
 import duckdb
+import pyarrow as pa
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
@@ -69,7 +71,8 @@ def test_odd_rows_in_one_and_many_shards(spark):
     docs, items = frames(spark)
     want = sorted(brute(DOCS, [i for i in ITEMS if i[0] is not None], 13), key=str)
     assert sorted(map(tuple, decontam.report(docs, items).collect()), key=str) == want
-    assert sorted(map(tuple, decontam.report(docs, items, shard_bytes=20).collect()), key=str) == want
+    for pass_shards in (1, 2, 8):
+        assert sorted(map(tuple, decontam.report(docs, items, shard_bytes=20, pass_shards=pass_shards).collect()), key=str) == want
     assert decontam.report(docs.limit(0), items).count() == 0
     assert {r.n_hit for r in decontam.report(docs, items.limit(0)).collect()} == {0}
 
@@ -110,8 +113,45 @@ def test_long_items_in_chunks_and_bounded_shards(spark):
     docs = [(k, "zz " + " ".join(w[k : k + n]) + " zz zz") for k, n in ((0, 13), (980, 30), (985, 13), (988, 13), (1, 12), (4987, 13), (4986, 14), (0, 5000))]
     want = sorted(brute(docs, [(r.item_id, r.text) for r in items.collect()], 13))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    for size in (6000, 1 << 20):
-        assert sorted(map(tuple, decontam.report(frame, items, shard_bytes=size).collect())) == want
+    for size, pass_shards in ((6000, 1), (6000, 8), (1 << 20, 8)):
+        assert sorted(map(tuple, decontam.report(frame, items, shard_bytes=size, pass_shards=pass_shards).collect())) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abc", max_size=9), max_size=6), st.lists(st.text("abcd.", max_size=30), max_size=4), st.integers(1, 4), st.integers(1, 3))
+def test_scan_of_packs_finds_every_occurrence(items, docs, window, size):
+    made = [decontam.make_shard([(str(k), [c.encode() for c in x])], window) for k, x in enumerate(items)]
+    docs = [" ".join(d) for d in docs]
+    batch, found = pa.RecordBatch.from_pydict({"text": pa.array(docs, pa.string())}), None
+    for pack in decontam.packs(filter(None, made), size):
+        pack = pickle.loads(pickle.dumps(pack))
+        new = decontam.scan(batch, "text", pack, decontam.table_of(pack.vocabulary))
+        found = new if found is None else decontam.merge([{k: found[k][d] for k in found} for d in range(len(docs))], new)
+    if found and docs:
+        want = brute(enumerate(docs), [(k, " ".join(x)) for k, x in enumerate(items)], window)
+        assert [(len(a), len(b)) for a, b in zip(found["hit_words"], found["hit_items"], strict=True)] == [(w[2], w[3]) for w in want]
+
+
+def test_ten_megabytes_of_items_in_two_passes(spark, tmp_path, monkeypatch):
+    # 60,000 items of words like w17, each 25 words or some more; documents quote some of them
+    word = "concat('w', pmod(xxhash64(id, k), 5000))"
+    items = spark.range(60_000).selectExpr("id as item_id", f"array_join(transform(sequence(1, 25 + cast(id % 7 as int)), k -> {word}), ' ') as text")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    items = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    quoted = items.where("item_id % 97 = 0").selectExpr("item_id as doc_id", "concat(repeat('pad w1 ', cast(item_id % 50 as int)), substring_index(text, ' ', 12 + cast(item_id % 3 as int)), ' zz ', text) as text")
+    fresh = spark.range(1_000_000, 1_001_000).selectExpr("id as doc_id", f"array_join(transform(sequence(1, 200), k -> {word}), ' ') as text")
+    quoted.union(fresh).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    writes, write = [], decontam.written
+    monkeypatch.setattr(decontam, "written", lambda df, stem: writes.append(stem) or write(df, stem))
+    got = sorted(map(tuple, decontam.report(docs, items).collect()))
+    assert len(writes) == 1  # between two passes
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert con.sql("select sum(strlen(text)) from benchmark").fetchall()[0][0] > 9_000_000
+    assert got == sorted(con.sql(queries.OP5_SQL).fetchall())
+    assert sum(r[5] for r in got) > 600
 
 
 def test_no_folder_stays_but_the_last(spark):
@@ -121,7 +161,7 @@ def test_no_folder_stays_but_the_last(spark):
     at = session.shared_dir(spark).removeprefix("file:")
     before = set(os.listdir(at))
     with session.Run(spark) as mine:
-        left = decontam.decontaminate(docs, items, shard_bytes=8)
+        left = decontam.decontaminate(docs, items, shard_bytes=8, pass_shards=1)
         assert left.count() and len(set(os.listdir(at)) - before) == 1
         mine.drop()
     assert set(os.listdir(at)) == before
