@@ -6,10 +6,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from foliant import queries
 from foliant.functions.fold import folded
 from foliant.operators import facets, rollup, search, sets
 from foliant.operators.search import CancelToken, Cancelled, QuerySession, QueryTooLong
-from foliant.schema import MAX_DEPTH, RAW
+from foliant.schema import MAX_DEPTH, RAW, RESULT
 from foliant.sources import catalog, files, shards
 from foliant.sources.userstate import UserState
 from foliant.streaming import watch
@@ -236,6 +237,24 @@ def test_ranks_over_ranges(spark):
     assert search.rank_rows(rows.limit(0), [F.asc("k")]).count() == 0
 
 
+def test_ranks_compare_columns_not_expressions(spark, tmp_path, monkeypatch):
+    rows = [(n, f"/d{k % 3}", k % 7, k, int(k % 10 == 0), k % 9) for k, n in enumerate(("B.txt", "a.txt", "É", "é", "b.TXT", "Ab") * 40)]
+    catalog.build(frame(spark, rows), f"file://{tmp_path}/cat")
+    made, plans, written = catalog.Catalog(spark, f"file://{tmp_path}/cat"), [], search.written
+
+    def seen(df, stem):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, stem)
+
+    monkeypatch.setattr(search, "written", seen)
+    for column, ascending, folders in (("category", False, True), ("name", True, False), ("size", False, True)):
+        got = queries._REGISTRY[f"srt1_{column}_{'asc' if ascending else 'desc_folders'}"][0](made)
+        want = made.entries.select("entry_id", *RESULT).orderBy(*search.sort_keys(column, ascending, folders), "entry_id").collect()
+        assert [(k, *r) for k, r in enumerate(want, 1)] == [tuple(r) for r in got.orderBy("rank").collect()]
+    sorts = [line for plan in plans for line in plan.splitlines() if "Sort [" in line or "rangepartitioning" in line]
+    assert len(sorts) == 6 and not any(f in line for line in sorts for f in ("translate", "lower", "CASE", "element_at"))
+
+
 def test_blocks_of_a_big_folder(spark, monkeypatch):
     monkeypatch.setattr(sets, "ID_BLOCK", 8)
     rows = [("n" * (1 + k % 4), "/d", 1, 1, 0, k // 6 % 3) for k in range(100)]
