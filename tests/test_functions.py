@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import fold, humanize, names
 from foliant.operators import sets
+from foliant.schema import CATEGORY_OF
+from foliant.sources import demo
 
 
 def column(spark, values, make, kind="string"):
@@ -38,6 +40,24 @@ def test_categories_and_extensions(spark):
     assert column(spark, [0, 3, 9, -1], names.category_name, "int") == ["Other", "Documents", "Other", "Other"]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_categories_of_rows(spark):
+    files = {f"x.{e}": c for ext, c in CATEGORY_OF.items() for e in (ext, ext.upper())} | {"x.m\u212av": 0, "x.\n": 0, "x.pdf\n": 0, "a.b/c": 0, "..pdf": 3, ".pdf": 0, "pdf": 0, "x.": 0, "x.pdf.": 0, "": 0}
+    rows = spark.createDataFrame([(n, 0) for n in files] + [("x.pdf", 1), (None, 0)], "name string, kind int")
+    got = names.with_category(rows)
+    assert got.columns == ["name", "kind", "category"] and dict(got.dtypes)["category"] == "int"
+    assert {(r.name, r.kind): r.category for r in got.collect()} == {(n, 0): c for n, c in files.items()} | {("x.pdf", 1): 0, (None, 0): 0}
+    plan = plan_of(got)
+    assert "element_at" not in plan and plan.count("translate(") == 1  # the key is made once, no map is searched
+
+
+def test_the_first_word_of_a_text_makes_no_list_of_words():
+    assert "split_part(coalesce(text" in demo.FILES_SQL and "split_part(coalesce(text" not in demo._spark_sql(demo.FILES_SQL)
+
+
 def test_escapes(spark):
     texts = ["plain", "we\tird\nna\\me", "\\t", "\\\\n", "end\\", "\\x", "", "a\\\tb"]
     escaped = column(spark, texts, names.escape_tsv)
