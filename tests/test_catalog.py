@@ -192,6 +192,24 @@ def test_snapshots(spark, tmp_path):
     assert catalog.Catalog(spark, root).query("x").count() == 0
 
 
+def test_grams_are_those_of_each_file(spark, tmp_path, monkeypatch):
+    plans, grams = [], catalog._grams
+
+    def seen(*args):
+        plans.append((found := grams(*args))._jdf.queryExecution().optimizedPlan().toString())
+        return found
+
+    monkeypatch.setattr(catalog, "_grams", seen)
+    rows = [(n, "/d", 1, 1, 0, k % 3) for k, n in enumerate(("alpha.txt", "ab", "Ünïcode🎉x", "abc", "aaaaaaa", "KÖLN", "", "report.pdf", "x🎉y🎉"))]
+    catalog.build(frame(spark, rows), f"file://{tmp_path}/cat")
+    made = catalog.Catalog(spark, f"file://{tmp_path}/cat")
+    want = {(k, g) for k, f in enumerate(made.files) for r in made.read([f]).collect() for g in catalog.gram_hashes(r.name_folded)}
+    assert len({f.path.split("/")[-1] for f in made.files}) < len(made.files)  # one task's files have one name
+    got = [(r.file, r.gram) for r in made.grams.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert len(plans) == 1 and "lambdafunction" not in plans[0]
+
+
 def test_a_tree_that_changes_while_it_is_built(spark, tmp_path, monkeypatch):
     tree = tmp_path / "tree"
     for k in range(30):
