@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant import queries
-from foliant.functions.fold import folded
+from foliant.functions.fold import fold, folded
 from foliant.operators import facets, rollup, search, sets
 from foliant.operators.search import CancelToken, Cancelled, QuerySession, QueryTooLong
 from foliant.schema import MAX_DEPTH, RAW, RESULT
@@ -161,6 +161,23 @@ def test_breakdown_keeps_32_and_first_ties(spark):
     assert [(r.ext, r.cnt) for r in facets.extension_breakdown(merged, "/home/u", MAX_DEPTH, 3).collect()] == [("pdf", 2)]
 
 
+def test_breakdown_folds_spellings_and_not_names(spark):
+    exts = ("PDF", "pdf", "Pdf", "É", "é", "x" * 16, "", "txt")
+    rows = frame(spark, [(f"f{k}.{exts[k * 5 % 8]}" if k % 9 else f"plain{k}", "/d", 1, 1, 0, 3) for k in range(200)])
+    got = rollup.extension_breakdown(rows)
+    counts = {}
+    for r in rows.collect():
+        ext = fold(r.name.rpartition(".")[2]) if "." in r.name else ""
+        if ext and len(ext.encode()) <= 15:
+            counts.setdefault(ext, []).append(r.entry_id)
+    want = sorted(((len(ids), min(ids), ext) for ext, ids in counts.items()), key=lambda x: (-x[0], x[1]))
+    assert [tuple(r) for r in got.select("cnt", "first_entry_id", "ext", "rn").orderBy("rn").collect()] == [(*w, k) for k, w in enumerate(want, 1)]
+    # what lies below the first aggregate works on names: no folding there
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first = max(k for k, line in enumerate(lines) if "Aggregate [" in line)
+    assert not any("translate" in line for line in lines[first + 1 :])
+
+
 def test_floor_lookup_and_lengths(spark):
     rows = frame(spark, [("report", "/d", 1, 1, 0, 0), ("notes", "/d", 1, 1, 0, 0), ("é", "/e", 1, 1, 0, 0)])
     at = spark.createDataFrame([("/d", p) for p in (0, 5, 6, 10, 11)] + [("/e", 1), ("/e", 2)], "dir_path string, pos long")
