@@ -44,6 +44,15 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_ascii_has_a_short_way_to_the_same_fold(spark):
+    every = [chr(k) for k in (*range(1, 0xD800), *range(0xE000, 0x20000))]
+    texts = ["".join(every[k : k + 64]) for k in range(0, len(every), 64)] + ["A", "ÀA", "AZ[a\x7f", "", None]
+    assert column(spark, texts, fold.folded) == [t and fold.fold(t) for t in texts]
+    assert column(spark, texts, fold.lower_ascii) == [t and fold.fold_ascii(t) for t in texts]
+    for make in (fold.folded, fold.lower_ascii):
+        assert "lower(" in plan_of(spark.createDataFrame([("A",)], "v string").select(make(F.col("v"))))
+
+
 def test_categories_of_rows(spark):
     files = {f"x.{e}": c for ext, c in CATEGORY_OF.items() for e in (ext, ext.upper())} | {"x.m\u212av": 0, "x.\n": 0, "x.pdf\n": 0, "a.b/c": 0, "..pdf": 3, ".pdf": 0, "pdf": 0, "x.": 0, "x.pdf.": 0, "": 0}
     rows = spark.createDataFrame([(n, 0) for n in files] + [("x.pdf", 1), (None, 0)], "name string, kind int")
