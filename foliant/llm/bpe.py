@@ -18,8 +18,9 @@ A document is the same tree one level up: matches of the pattern are encoded on
 their own, so joins between them are plain concatenation. Decoding is a tree too:
 tokens' bytes are joined pair by pair, level by level, until one string is left.
 
-Windows of a usual piece are a few bytes. Results of short pieces, and of pairs that
-were asked for, are remembered in tables of bounded size.
+Windows of a usual piece are a few bytes. Results of pieces, and of pairs that were
+asked for, are remembered in tables of bounded size. The trees of a batch's new pieces
+are built together, a level at a time (see forest.py).
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .forest import SPAN, Forest
 from .session import bounded_batches
-from .textbatch import Pool, WordTable, arrow_batches, bpe_units, spread, sums, text_bytes
+from .textbatch import USUAL, Pool, WordTable, arrow_batches, spread, sums, text_bytes, usual_pieces
 
 #: Windows of over so many bytes are merged with a heap.
 LONG = 256
@@ -46,6 +48,10 @@ NONE = 1 << 60
 #: Pieces of up to so many bytes, and pairs of tokens, whose results are remembered; how many of each.
 SHORT = 16
 REMEMBERED = 1 << 17
+#: Fewer pieces than this are encoded one by one.
+FEW = 64
+#: Ids that the table of pieces holds, for each piece that it may hold.
+IDS = 8
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -66,6 +72,7 @@ class TreeBPE:
         self.stable = lru_cache(REMEMBERED)(self._stable)
         self.short = lru_cache(REMEMBERED)(self._halves)
         self.whole = {t for t in ranks if len(self._merge_short(t)) > 1}  # tokens that merging never makes: none in usual vocabularies
+        self.forest = Forest(ranks, self.whole)
 
     def merge(self, piece: bytes) -> list[int]:
         """A window's encoding: of all neighbours that make a token the least rank merges first, the leftmost of equals."""
@@ -136,6 +143,23 @@ class TreeBPE:
         """One match of the pattern; one that is a token which merging never makes is that token."""
         return [self.ranks[piece]] if piece in self.whole else self.tree(piece)
 
+    def pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``piece`` of many: ids end to end, and how many each has. All short ones grow level by level together."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        near = (size > 0) & (size <= SPAN) & (len(pieces) >= FEW)
+        if self.whole:
+            near &= np.fromiter((p not in self.whole for p in pieces), bool, len(pieces))
+        far = [self.piece(pieces[k]) for k in np.flatnonzero(~near).tolist()]
+        count = np.zeros(len(pieces), np.int64)
+        count[~near] = [len(r) for r in far]
+        ids = np.zeros(0, np.int64)
+        if near.any():
+            ids, count[near] = self.forest.grow(np.frombuffer(b"".join(p for p, n in zip(pieces, near.tolist(), strict=True) if n), np.uint8), size[near])
+        out, first = np.zeros(int(count.sum()), np.int32), np.cumsum(count) - count
+        out[spread(first[near], count[near])] = ids
+        out[spread(first[~near], count[~near])] = np.fromiter((i for r in far for i in r), np.int32)
+        return out, count
+
     def text(self, text: str) -> list[int]:
         return [i for m in self.matches(text) for i in self.piece(m.encode())]
 
@@ -152,47 +176,39 @@ def joined(parts: list[bytes]) -> bytes:
 
 
 class DocumentEncoder:
-    """TreeBPE over batches: each distinct unit (see bpe_units) once while it stays in a bounded table."""
+    """TreeBPE over batches: each distinct match of the pattern once while it stays in a bounded table."""
 
     def __init__(self, ranks_path: str, pattern: str, capacity: int = 1 << 19) -> None:
-        self.bpe = TreeBPE(load_ranks(ranks_path), pattern)
+        self.bpe, self.pattern = TreeBPE(load_ranks(ranks_path), pattern), pattern
         self.pool = Pool(np.int32)
-        self.joined: list[bytes] = []  # each unit's ids in decimal
-        self.table = WordTable(self._fill, capacity)
-        self.token_bytes = np.empty(max(self.bpe.bytes) + 1, object)
+        self.table = WordTable(lambda pieces: self.pool.extend_flat(*self.bpe.pieces(pieces)), capacity)
+        self.token_bytes, self.digits = (np.empty(max(self.bpe.bytes) + 1, object) for _ in range(2))
         for i, b in self.bpe.bytes.items():
-            self.token_bytes[i] = b
-
-    def _fill(self, units: list[bytes]) -> None:
-        rows = [self.bpe.text(u.decode()) for u in units]
-        self.pool.extend(rows)
-        self.joined += [",".join(map(str, r)).encode() for r in rows]
+            self.token_bytes[i], self.digits[i] = b, b"%d" % i
+
+    def _cut(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A buffer, starts and ends of the matches in it, and matches per text."""
+        if self.pattern == USUAL:
+            col.validate(full=True)  # texts are UTF-8
+            buf, offsets = text_bytes(col)
+            return buf, *usual_pieces(buf, offsets)
+        found = [[m.encode() for m in self.bpe.matches(text or "") if m] for text in col.to_pylist()]
+        buf, offsets = text_bytes(pa.array([b"".join(f).decode() for f in found], pa.large_string()))
+        size = np.fromiter((len(m) for f in found for m in f), np.int64)
+        end = np.cumsum(size)
+        return buf, end - size, end, np.fromiter(map(len, found), np.int64, len(found))
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Ids end to end, how many each text has, and each text's ids in decimal."""
+        if self.pool.used > IDS * self.table.capacity:
+            self.table.clear()  # pieces were long
+            self.pool.clear()
         if self.table.reset_if_full():
             self.pool.clear()
-            self.joined.clear()
-        buf, offsets = text_bytes(col)
-        starts, ends, units, regular = bpe_units(buf, offsets)
-        rows = self.table.ids(buf, starts, ends)
-        ids, count = self.pool.gather(rows)
-        per = sums(count, units)
-        joined, end = self.joined, np.cumsum(units)
-        rows = rows.tolist()
-        digits = [b",".join([joined[r] for r in rows[e - n : e]]) for e, n in zip(end.tolist(), units.tolist(), strict=True)]
-        odd = np.flatnonzero(~regular)
-        if len(odd):
-            rest = [self.bpe.text(buf[offsets[k] : offsets[k + 1]].tobytes().decode()) for k in odd.tolist()]
-            per[odd] = [len(x) for x in rest]
-            merged = np.zeros(int(per.sum()), np.int32)
-            first = np.cumsum(per) - per
-            merged[spread(first[regular], per[regular])] = ids
-            merged[spread(first[odd], per[odd])] = np.fromiter((i for x in rest for i in x), np.int32)
-            ids = merged
-            for k, x in zip(odd.tolist(), rest, strict=True):
-                digits[k] = ",".join(map(str, x)).encode()
-        return ids, per, digits
+        buf, starts, ends, pieces = self._cut(col)
+        ids, count = self.pool.gather(self.table.ids(buf, starts, ends))
+        per = sums(count, pieces)
+        return ids, per, [b",".join(self.digits[ids[e - n : e]].tolist()) for e, n in zip(np.cumsum(per).tolist(), per.tolist(), strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return joined(self.token_bytes[ids].tolist())

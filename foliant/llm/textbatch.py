@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -332,6 +333,59 @@ def bpe_units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, count, ~bad
 
 
+#: The usual byte-level pattern, which usual_pieces knows.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_SIGN, _LETTER, _NUMBER, _BLANK = range(4)
+
+
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Of each code point: letter, number, white space or another sign."""
+    import regex
+
+    points, out = "".join(map(chr, range(0x110000))), np.full(0x110000, _SIGN, np.uint8)
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
+        for m in regex.finditer(pattern, points):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def usual_pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the matches of USUAL, and matches per text: they cover the texts."""
+    n = int(offsets[-1])
+    at = np.flatnonzero((buf[:n] & 0xC0) != 0x80)
+    m = len(at)
+    lead = np.zeros(m + 3, np.uint8)  # and nothing behind the last
+    lead[:m] = buf[at]
+    kind = _kinds()[lead[:m]]
+    wide = np.flatnonzero(lead[:m] >= 0x80)
+    if len(wide):
+        a, b, c, d = (buf[at[wide] + k].astype(np.int64) & (0xFF if k == 0 else 0x3F) for k in range(4))
+        two, three, four = (a & 31) << 6 | b, (a & 15) << 12 | b << 6 | c, (a & 7) << 18 | b << 12 | c << 6 | d
+        kind[wide] = _kinds()[np.where(a < 0xE0, two, np.where(a < 0xF0, three, four))]
+    first = np.ones(m + 3, bool)  # of a text
+    first[:m] = False
+    full = offsets[:-1][np.diff(offsets) > 0]
+    first[np.searchsorted(at, full)] = True
+    start = np.ones(m + 3, bool)
+    if m:
+        start[1:m] = kind[1:] != kind[:-1]
+        blank = kind == _BLANK
+        follows = np.append(~blank[1:], False) & ~first[1 : m + 1]  # something else comes next
+        start[:m] |= blank & follows  # the last of white space stands apart from the rest
+        start[1:m] &= blank[1:] | (lead[: m - 1] != 32)  # and takes what comes next along, if it is U+0020
+        start[first] = True
+        quote = np.flatnonzero(start[:m] & (lead[:m] == 39))
+        b, c = lead[quote + 1], lead[quote + 2]
+        short = quote[np.isin(b, list(b"stmd")) & ~first[quote + 1]]
+        long = quote[np.isin(b.astype(np.int64) << 8 | c, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")]) & ~first[quote + 1] & ~first[quote + 2]]
+        for found, length in ((short, 2), (long, 3)):
+            start[found + 1] = False
+            start[found + length] = True
+    starts = at[start[:m]]
+    return starts, np.append(starts[1:], n)[: len(starts)], np.diff(np.searchsorted(starts, offsets))
+
+
 def arrow_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of 1 to ``rows`` rows. At a task's end its memory goes back: workers live on and share an executor's."""
     try:
